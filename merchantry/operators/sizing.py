@@ -1,0 +1,27 @@
+"""Size checks that come before any broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
+
+SMALL_ROWS = 20_000
+
+
+def rows_if_few(df: DataFrame, max_rows: int = SMALL_ROWS) -> list[Row] | None:
+    """All rows when there are at most max_rows of them, else None. Fetches max_rows + 1 at most."""
+    rows = df.limit(max_rows + 1).collect()
+    return rows if len(rows) <= max_rows else None
+
+
+def known_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """For a per-company figure: computed now and marked for broadcast when it is small.
+
+    A company may hold a third of all facts, so joining the facts with one row per
+    company by a shuffle on the company is the plan to avoid. When the figure is not
+    small it is returned as it was, and the join is left to the run-time skew split.
+    """
+    rows = rows_if_few(df, max_rows)
+    if rows is None:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
