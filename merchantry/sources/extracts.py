@@ -17,6 +17,7 @@ from merchantry.operators.prep import filter_in
 # Account types on each statement.
 BALANCE_TYPES = ["Asset", "Liability"]
 INCOME_TYPES = ["Income", "Expenditure"]
+ALL_PROJECTS = "(all)"
 ACCOUNT_COLUMNS = ["zid", "ac_code", "ac_name", "ac_type", "ac_lv1", "ac_lv2", "ac_lv3", "ac_lv4"]
 
 
@@ -128,11 +129,13 @@ def gl_rollup(
     years: Sequence[int] | None = None,
     zids: Sequence[int] | None = None,
     projects: Sequence[str] | None = None,
+    by_project: bool = True,
 ) -> DataFrame:
     """Ledger totals per company, project, account, year and month, all companies at once.
 
     A balance sheet takes every month up to the end, opening balances (month 0) included;
-    an income statement takes the months between start and end.
+    an income statement takes the months between start and end. ``by_project=False`` puts all
+    projects of a company together.
     """
     types = BALANCE_TYPES if balance_sheet else INCOME_TYPES
     chosen = accounts.filter(F.col("ac_type").isin(types)).select("zid", "ac_code")
@@ -142,6 +145,8 @@ def gl_rollup(
     if start_month and not balance_sheet:
         dated = dated.filter(F.col("month") >= start_month)
     lines = filter_in(filter_in(details, "zid", zids), "project", projects)
+    if not by_project:
+        lines = lines.withColumn("project", F.lit(ALL_PROJECTS))
     return _postings(chosen, lines, dated).groupBy("zid", "project", "ac_code", "year", "month").agg(
         F.sum("value").alias("value")
     )
