@@ -1 +1,83 @@
-"""Registered queries."""
+"""Table synchronisation."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from merchantry.cases import case
+from merchantry.operators import sync
+from merchantry.session import new_folder
+from merchantry.sources import sinks
+from merchantry.sources.driver_tables import DriverTables
+from merchantry.streaming import sync_stream
+
+KEYS = ["o_orderkey", "o_custkey"]
+
+_FRESH = """
+    SELECT s.* FROM f_source s, (SELECT max(itime) AS i, max(utime) AS u FROM f_target) m
+    WHERE s.itime > m.i OR s.utime > m.u"""
+_MISSING = "SELECT * FROM f_source WHERE (o_orderkey, o_custkey) NOT IN (SELECT (o_orderkey, o_custkey) FROM f_target)"
+
+
+@case("sync_watermarks", """
+    SELECT 'source' AS table_name, max(itime) AS itime, max(utime) AS utime FROM f_source
+    UNION ALL SELECT 'target', max(itime), max(utime) FROM f_target""")
+def sync_watermarks(t: DriverTables) -> DataFrame:
+    return sync.watermarks({"source": t.sync_source(), "target": t.sync_target(), "stock": t.raw("region")})
+
+
+@case("incremental_extract", _FRESH)
+def incremental_extract(t: DriverTables) -> DataFrame:
+    return sync.incremental_extract(t.sync_source(), t.sync_target())
+
+
+@case("missing_rows", _MISSING)
+def missing_rows(t: DriverTables) -> DataFrame:
+    return sync.missing_rows(t.sync_source(), t.sync_target(), KEYS)
+
+
+@case("sync_append", f"""
+    SELECT * FROM f_target UNION ALL
+    (SELECT * FROM ({_FRESH}) UNION SELECT * FROM ({_MISSING}))""")
+def sync_append(t: DriverTables) -> DataFrame:
+    return sync.synchronise(t.sync_source(), t.sync_target(), KEYS, "append")
+
+
+@case("sync_merge", """
+    SELECT * FROM f_target WHERE true
+    UNION SELECT * FROM f_source""")
+def sync_merge(t: DriverTables) -> DataFrame:
+    """Target rows are unchanged source rows, so merging ends at the source itself."""
+    return sync.synchronise(t.sync_source(), t.sync_target(), KEYS, "merge")
+
+
+@case("sync_merge_twice", "SELECT * FROM f_source")
+def sync_merge_twice(t: DriverTables) -> DataFrame:
+    source = t.sync_source()
+    once = sync.synchronise(source, t.sync_target(), KEYS)
+    return sync.synchronise(source, once, KEYS)
+
+
+@case("surrogate_key", """
+    SELECT o_orderkey, o_custkey, sha256(concat_ws(chr(31), CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR))) AS uuid
+    FROM orders""")
+def surrogate_key(t: DriverTables) -> DataFrame:
+    return sync.surrogate_key(t.raw("orders").select(*KEYS), KEYS)
+
+
+@case("full_refresh", """
+    SELECT zid, itemcode, CAST(stockqty AS DOUBLE) AS stockqty, CAST(stockvalue AS DOUBLE) AS stockvalue FROM f_stock""")
+def full_refresh(t: DriverTables) -> DataFrame:
+    from merchantry.operators.prep import decimal_to_double
+    path = new_folder(t.spark, "stock")
+    # The first content is replaced as a whole by the second.
+    sinks.full_refresh(t.stock_table().withColumn("stockqty", F.lit(0).cast("decimal(38,4)")), path)
+    return decimal_to_double(sinks.full_refresh(t.stock_table(), path))
+
+
+@case("sync_stream", "SELECT * FROM f_source")
+def streamed(t: DriverTables) -> DataFrame:
+    # The pattern matches the one table, be it a single file or a folder of part files.
+    return sync_stream.run_available(
+        t.spark, f"{t.root}/orders*.parquet", new_folder(t.spark, "stream"), KEYS, t.sync_rows)

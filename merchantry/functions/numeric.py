@@ -39,11 +39,18 @@ def zero_as_null(value: Column) -> Column:
     return F.when(value != 0, value)
 
 
+def half_even(value: Column, digits: int = 0) -> Column:
+    """Round the scaled double half to even, so 1.225 (stored as 1.22500000000000009) gives 1.23."""
+    scale = 10.0 ** digits
+    number = value.cast("double")
+    return F.rint(number) if digits == 0 else F.rint(number * scale) / scale
+
+
 def clean_number(value: Column, digits: int = 0) -> Column:
     """Infinite or missing to 0, the rest rounded half to even."""
     number = value.cast("double")
     finite = F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
-    return F.coalesce(F.bround(finite, digits), F.lit(0.0))
+    return F.coalesce(half_even(finite, digits), F.lit(0.0))
 
 
 def skewness_unbiased(value: Column) -> Column:

@@ -110,7 +110,7 @@ def spread_stats(df: DataFrame, keys: Sequence[str], value: str, digits: int = 2
         "kurt": numeric.kurtosis_unbiased(v),
     }
     return require_keys(df, keys).groupBy(*keys).agg(
-        *[F.bround(figure, digits).alias(name) for name, figure in figures.items()]
+        *[numeric.half_even(figure, digits).alias(name) for name, figure in figures.items()]
     )
 
 

@@ -49,7 +49,7 @@ def net_cells(
 
 def _rounded(name: str, digits: int | None):
     exact = F.col(name)
-    return (exact if digits is None else F.bround(exact, digits)).cast("double").alias(name)
+    return (exact if digits is None else numeric.half_even(exact, digits)).cast("double").alias(name)
 
 
 def net_by_period(

@@ -131,7 +131,7 @@ def purchase_basket(receipts: DataFrame, digits: int = 4, max_paired_items: int
     for k in range(1, TOP + 1):
         here = F.col("rank") == k
         slots += [F.max(F.when(here, F.col("other"))).alias(f"item_{k}"),
-                  F.bround(F.max(F.when(here, F.col("support"))), digits).alias(f"support_{k}")]
+                  numeric.half_even(F.max(F.when(here, F.col("support"))), digits).alias(f"support_{k}")]
     report = ranked.groupBy("zid", "itemcode").agg(*slots)
     return (
         counts.join(_item_facts(receipts).select("zid", "itemcode", "itemname"), ["zid", "itemcode"])
@@ -157,7 +157,7 @@ def sales_basket(sales: DataFrame, stock: DataFrame | None = None, digits: int =
         slots += [
             F.max(F.when(here, F.col("other"))).alias(f"item_{k}"),
             F.max(F.when(here, F.col("other_name"))).alias(f"item_{k}_name"),
-            F.bround(F.max(F.when(here, F.col("support"))), digits).alias(f"support_{k}"),
+            numeric.half_even(F.max(F.when(here, F.col("support"))), digits).alias(f"support_{k}"),
             F.max(F.when(here, F.col("other_sales"))).alias(f"item_{k}_sales"),
         ]
     report = ranked.groupBy("zid", "itemcode").agg(
@@ -192,5 +192,5 @@ def basket_matrix(sales: DataFrame, rows: int = 100, max_paired_items: int = MAX
         "zid", "itemcode", (F.col("support_sum") / F.col("all_items")).alias("mean_support"))
     columns = chosen.select("zid", F.col("itemcode").alias("other"))
     return cells.join(chosen, ["zid", "itemcode"]).join(columns, ["zid", "other"]).select(
-        "zid", "itemcode", "other", F.bround("support", 4).alias("support"),
-        F.bround("mean_support", 8).alias("mean_support"))
+        "zid", "itemcode", "other", numeric.half_even(F.col("support"), 4).alias("support"),
+        numeric.half_even(F.col("mean_support"), 8).alias("mean_support"))

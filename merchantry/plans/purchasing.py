@@ -21,7 +21,7 @@ SHIPMENT_MARK = "MDKF"
 
 
 def _rounded(column: Column, digits: int | None) -> Column:
-    return (column if digits is None else F.coalesce(F.bround(column, digits), F.lit(0))).cast("double")
+    return (column if digits is None else F.coalesce(numeric.half_even(column, digits), F.lit(0))).cast("double")
 
 
 def weekly_sales_after(sales: DataFrame, receipts: DataFrame) -> DataFrame:

@@ -30,9 +30,9 @@ def sales_summary(sales: DataFrame, returns: DataFrame) -> DataFrame:
     both = sold.join(back, "zid", "full").fillna(0)
     sales_total, return_total = F.col("total_sales"), F.col("total_returns")
     return both.select(
-        "zid", F.bround(sales_total, 2).cast("double").alias("total_sales"),
-        F.bround(return_total, 2).cast("double").alias("total_returns"),
-        (sales_total - F.bround(return_total, 2)).cast("double").alias("net_sales"),
+        "zid", numeric.half_even(sales_total, 2).cast("double").alias("total_sales"),
+        numeric.half_even(return_total, 2).cast("double").alias("total_returns"),
+        (sales_total - numeric.half_even(return_total, 2)).cast("double").alias("net_sales"),
         "number_of_orders", "number_of_returns", "number_of_customers", "number_of_customers_returned",
         "number_of_products", "number_of_products_returned")
 
@@ -79,7 +79,7 @@ def sales_ratios(sales: DataFrame, returns: DataFrame, digits: int = 2) -> DataF
         "net_sales", F.when(F.col("sold").isNotNull(), F.col("sold") - numeric.zero_if_null(F.col("back"))))
     merged = merged.fillna(0)
     cells = [
-        F.bround(F.col(top).cast("double") / numeric.zero_as_one(F.col(bottom)), digits).alias(name)
+        numeric.half_even(F.col(top).cast("double") / numeric.zero_as_one(F.col(bottom)), digits).alias(name)
         for name, (top, bottom) in RATIOS.items()
     ]
     period = calendar.period_label(F.col("year"), F.col("month")).alias("period")

@@ -89,7 +89,7 @@ LEVELS = {
 
 
 def _rounded(column: Column, digits: int | None) -> Column:
-    return column if digits is None else F.bround(column, digits)
+    return column if digits is None else numeric.half_even(column, digits)
 
 
 def label_accounts(accounts: DataFrame, labels: Mapping[str, str]) -> DataFrame:
@@ -349,7 +349,7 @@ def three_statements(income: DataFrame, balance: DataFrame, cash: DataFrame, dig
                      external: DataFrame | None = None) -> DataFrame:
     """The three statements and the ratios one after another, in reporting sign."""
     def part(df: DataFrame, name: str) -> DataFrame:
-        shown = F.coalesce(F.bround(-F.col("value"), digits), F.lit(0.0)) + F.lit(0.0)
+        shown = F.coalesce(numeric.half_even(-F.col("value"), digits), F.lit(0.0)) + F.lit(0.0)
         return df.select(*GROUP, F.lit(name).alias("statement"), "line", shown.alias("value"))
     return (
         part(income, "income").unionByName(part(balance, "balance")).unionByName(part(cash, "cash"))

@@ -340,12 +340,16 @@ class DriverTables:
 
     # ---- synchronisation -------------------------------------------------------------------
 
-    def sync_source(self) -> DataFrame:
+    @staticmethod
+    def sync_rows(orders: DataFrame) -> DataFrame:
         key = F.col("o_orderkey")
-        return self.raw("orders").select(
-            key, F.col("o_custkey"), F.col("o_orderstatus"), F.col("o_orderdate").alias("itime"),
-            F.when(key % 5 == 0, F.col("o_orderdate") + F.make_dt_interval(days=(key % 30).cast("int")))
-            .alias("utime"))
+        changed = F.col("o_orderdate") + F.make_dt_interval(days=(key % 30).cast("int"))
+        return orders.select(
+            key, "o_custkey", "o_orderstatus", F.col("o_orderdate").alias("itime"),
+            F.when(key % 5 == 0, changed).alias("utime"))
+
+    def sync_source(self) -> DataFrame:
+        return self.sync_rows(self.raw("orders"))
 
     def sync_target(self) -> DataFrame:
         """What an earlier run had brought over, with some vouchers lost on the way."""
