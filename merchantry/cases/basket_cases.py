@@ -86,7 +86,7 @@ def basket_item_classes(t: DriverTables) -> DataFrame:
     from pyspark.sql import functions as F
     from merchantry.functions import numeric
     _, received, _ = prep.trailing_window(t.sales(False, False), t.purchases(), years=2)
-    presence = baskets.item_presence(received, "grnvoucher")
+    presence = baskets.item_presence(baskets.voucher_items(received, "grnvoucher"))
     best = baskets.top_associates(presence, max_paired_items=1).join(
         baskets.item_counts(presence), ["zid", "itemcode"])
     return best.select("zid", "itemcode", "other", "rank", numeric.half_even(

@@ -92,7 +92,8 @@ def collection_days_by_month(t: DriverTables) -> DataFrame:
     SELECT zid, cusid, date, last_sale, CAST(receivable AS DOUBLE) AS receivable FROM state
     QUALIFY row_number() OVER (PARTITION BY zid, cusid, date ORDER BY seq DESC) = 1""")
 def running_receivable(t: DriverTables) -> DataFrame:
-    return prep.decimal_to_double(ordered.receivable_timeline(*streams(t)).drop("collections"))
+    timeline = ordered.receivable_timeline(*streams(t))
+    return prep.decimal_to_double(timeline.select("zid", "cusid", "date", "last_sale", "receivable"))
 
 
 @case("last_sale_before", f"""

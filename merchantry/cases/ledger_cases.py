@@ -58,12 +58,7 @@ def voucher_prefix(t: DriverTables) -> DataFrame:
     FROM f_posting WHERE ac_type IN ('Asset', 'Liability') AND month <= 11
     GROUP BY zid, project, ac_code, year, month""")
 def gl_rollup(t: DriverTables) -> DataFrame:
-    parts = [
-        extracts.gl_rollup(*ledger(t), balance_sheet=is_balance, start_month=2, end_month=11)
-        .withColumn("statement", F.lit("balance" if is_balance else "income"))
-        for is_balance in (False, True)
-    ]
-    return prep.decimal_to_double(parts[0].unionByName(parts[1]))
+    return prep.decimal_to_double(extracts.gl_rollup(*ledger(t), start_month=2, end_month=11))
 
 
 @case("gl_rollup_all_projects", """
@@ -72,7 +67,8 @@ def gl_rollup(t: DriverTables) -> DataFrame:
     GROUP BY zid, ac_code, year, month""")
 def gl_rollup_all_projects(t: DriverTables) -> DataFrame:
     return prep.decimal_to_double(
-        extracts.gl_rollup(*ledger(t), balance_sheet=False, years=[1999, 2000], by_project=False))
+        extracts.gl_rollup(*ledger(t), balance_sheet=False, years=[1999, 2000], by_project=False
+        ).drop("statement"))
 
 
 SUPPLIERS = [str(i) for i in range(0, 1500, 3)]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from merchantry.cases import case
 from merchantry.operators import prep
 from merchantry.plans import purchasing
+from merchantry.session import cut_lineage
 from merchantry.sources import extracts
 from merchantry.sources.driver_tables import AS_OF, DriverTables
 
@@ -36,16 +37,25 @@ COHORT = f"""
         FROM f_received p JOIN weekly w ON w.uuid = p.uuid)"""
 
 
-def windowed(t: DriverTables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Recent sales, received lines, open orders, all purchases."""
+def windowed(t: DriverTables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Recent sales, received lines, open orders."""
     purchases = t.purchases()
     sales, received, cutoff = prep.trailing_window(t.sales(False, False), purchases, years=2)
-    return sales, received, prep.open_orders(purchases, cutoff), purchases
+    return sales, received, prep.open_orders(purchases, cutoff)
+
+
+def planning(t: DriverTables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Cohort, open orders, stock and item sales, with the shared inputs computed once."""
+    sales, received, orders = windowed(t)
+    daily = cut_lineage(purchasing.daily_item_sales(sales))
+    cohort = purchasing.purchase_cohort(daily, received)
+    stock = extracts.scan_stock(t.stock_table(), t.items())
+    return cohort, cut_lineage(purchasing.open_shipments(orders)), stock, daily
 
 
 @case("purchase_cohort", f"WITH {COHORT} SELECT * FROM cohort")
 def purchase_cohort(t: DriverTables) -> DataFrame:
-    sales, received, _, _ = windowed(t)
+    sales, received, _ = windowed(t)
     return purchasing.purchase_cohort(sales, received)
 
 
@@ -123,10 +133,7 @@ _REQUISITION = f"""
     SELECT zid, itemcode, shipmentname, arrival, round_even(stock_before, 0) AS stock_before,
            round_even(quantity, 0) AS quantity FROM walk""")
 def stock_projection(t: DriverTables) -> DataFrame:
-    sales, received, orders, _ = windowed(t)
-    stock = extracts.scan_stock(t.stock_table(), t.items())
-    cohort = purchasing.purchase_cohort(sales, received)
-    return purchasing.stock_projection(cohort, orders, stock, sales, AS_OF, GROUPS)
+    return purchasing.stock_projection(*planning(t), AS_OF, GROUPS)
 
 
 @case("purchase_requisition", _REQUISITION + """,
@@ -141,8 +148,4 @@ def stock_projection(t: DriverTables) -> DataFrame:
            round_even(greatest(f.stock - b.n_mean, 0.0), 0) AS final_stock, CAST(f.shipments AS INTEGER) AS shipments
     FROM base b JOIN final f ON f.zid = b.zid AND f.itemcode = b.itemcode""")
 def purchase_requisition(t: DriverTables) -> DataFrame:
-    sales, received, orders, _ = windowed(t)
-    stock = extracts.scan_stock(t.stock_table(), t.items())
-    cohort = purchasing.purchase_cohort(sales, received)
-    return purchasing.purchase_requisition(
-        cohort, orders, stock, sales, AS_OF, GROUPS, ordered=True).drop("steps")
+    return purchasing.purchase_requisition(*planning(t), AS_OF, GROUPS, ordered=True).drop("steps")

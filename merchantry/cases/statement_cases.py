@@ -9,6 +9,7 @@ from merchantry.cases import case
 from merchantry.cases.ledger_cases import SUPPLIERS, ledger
 from merchantry.operators import ordered, prep
 from merchantry.plans import statements as st
+from merchantry.session import cut_lineage
 from merchantry.sources import extracts
 from merchantry.sources.driver_tables import LABELS, DriverTables
 
@@ -17,34 +18,35 @@ YEARS = list(range(1997, 2002))
 AS_OF_MONTH = 10
 
 
-def projects(t: DriverTables) -> DataFrame:
-    return t.gl_details().select("zid", "project").distinct()
+class Ledger:
+    """The ledger rolled up once, for whichever statements a report needs."""
 
+    def __init__(self, t: DriverTables, years: list[int]):
+        self.t = t
+        # Account totals are far fewer than journal lines; every statement reads these.
+        self.rollup = cut_lineage(extracts.gl_rollup(*ledger(t), start_month=1, end_month=12, years=years))
+        self.projects = t.gl_details().select("zid", "project").distinct()
 
-def yearly(t: DriverTables, balance: bool) -> DataFrame:
-    accounts = extracts.gl_accounts(t.accounts(), extracts.INCOME_TYPES if balance else extracts.BALANCE_TYPES)
-    rollup = extracts.gl_rollup(*ledger(t), balance_sheet=balance, start_month=1, end_month=12, years=YEARS)
-    return st.statement_yearly(
-        accounts, rollup, projects(t), LABELS["balance" if balance else "income"], END_YEAR)
+    def part(self, kind: str) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, str]]:
+        excluded = extracts.INCOME_TYPES if kind == "balance" else extracts.BALANCE_TYPES
+        accounts = extracts.gl_accounts(self.t.accounts(), excluded)
+        return accounts, self.rollup.filter(F.col("statement") == kind), self.projects, LABELS[kind]
 
+    def yearly(self, kind: str) -> DataFrame:
+        return st.statement_yearly(*self.part(kind), END_YEAR)
 
-def monthly(t: DriverTables, balance: bool) -> DataFrame:
-    accounts = extracts.gl_accounts(t.accounts(), extracts.INCOME_TYPES if balance else extracts.BALANCE_TYPES)
-    rollup = extracts.gl_rollup(
-        *ledger(t), balance_sheet=balance, start_month=1, end_month=12, years=[END_YEAR - 1, END_YEAR])
-    return st.statement_monthly(
-        accounts, rollup, projects(t), LABELS["balance" if balance else "income"], END_YEAR, AS_OF_MONTH,
-        balance_sheet=balance)
+    def monthly(self, kind: str) -> DataFrame:
+        return st.statement_monthly(
+            *self.part(kind), END_YEAR, AS_OF_MONTH, balance_sheet=kind == "balance")
 
 
-def income(t: DriverTables) -> DataFrame:
-    return st.income_statement(yearly(t, False))
+def yearly(t: DriverTables) -> Ledger:
+    return Ledger(t, YEARS)
 
 
 def three(t: DriverTables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    pl = income(t)
-    bs = st.balance_sheet(yearly(t, True), pl)
-    return pl, bs, st.cash_flow(pl, bs)
+    books = yearly(t)
+    return st.financial_statements(books.yearly("income"), books.yearly("balance"))
 
 
 _TYPES = {"income": "'Asset', 'Liability'", "balance": "'Income', 'Expenditure'"}
@@ -78,9 +80,10 @@ _ACCOUNT = "zid, project, ac_code, ac_name, ac_type, ac_lv1, ac_lv2, ac_lv3, ac_
     SELECT 'income' AS statement, {_ACCOUNT}, CAST(value AS DOUBLE) AS value FROM income_accounts
     UNION ALL SELECT 'balance', {_ACCOUNT}, CAST(value AS DOUBLE) FROM balance_accounts""")
 def statement_yearly(t: DriverTables) -> DataFrame:
+    books = yearly(t)
     return prep.decimal_to_double(
-        yearly(t, False).withColumn("statement", F.lit("income"))
-        .unionByName(yearly(t, True).withColumn("statement", F.lit("balance"))))
+        books.yearly("income").withColumn("statement", F.lit("income"))
+        .unionByName(books.yearly("balance").withColumn("statement", F.lit("balance"))))
 
 
 _MONTHS = [f"{END_YEAR - 1}-{m:02d}" for m in range(1, 13)] + [f"{END_YEAR}-{m:02d}" for m in range(1, AS_OF_MONTH)]
@@ -125,9 +128,10 @@ _MONTHLY = f"""
 
 @case("statement_monthly", f"WITH {_MONTHLY} SELECT statement, {_ACCOUNT}, value FROM accounts")
 def statement_monthly(t: DriverTables) -> DataFrame:
+    books = Ledger(t, [END_YEAR - 1, END_YEAR])
     return prep.decimal_to_double(
-        monthly(t, False).withColumn("statement", F.lit("income"))
-        .unionByName(monthly(t, True).withColumn("statement", F.lit("balance"))))
+        books.monthly("income").withColumn("statement", F.lit("income"))
+        .unionByName(books.monthly("balance").withColumn("statement", F.lit("balance"))))
 
 
 @case("cumulative_balance", """
@@ -143,13 +147,18 @@ def cumulative_balance(t: DriverTables) -> DataFrame:
     return prep.decimal_to_double(ordered.cumulative_by_month(rollup, ["ac_code"], "value"))
 
 
+def at_level(t: DriverTables, level: int) -> DataFrame:
+    books = yearly(t)
+    return st.statement_at_level(books.yearly("income").unionByName(books.yearly("balance")), level)
+
+
 for _level, _columns in st.LEVELS.items():
     _listed = ", ".join(["zid", "project", *_columns, "period"])
     case(f"statement_at_level_{_level}", f"""
         WITH {YEARLY}
         SELECT {_listed}, CAST(sum(value) AS DOUBLE) AS value
         FROM (SELECT * FROM income_accounts UNION ALL SELECT * FROM balance_accounts) GROUP BY {_listed}""")(
-        lambda t, level=_level: st.statement_at_level(yearly(t, False).unionByName(yearly(t, True)), level))
+        lambda t, level=_level: at_level(t, level))
 
 
 @case("account_series", f"""
@@ -157,7 +166,7 @@ for _level, _columns in st.LEVELS.items():
     SELECT zid, project, line, period, CAST(sum(value) AS DOUBLE) AS value FROM income_accounts
     WHERE line = '01-1-Revenue' GROUP BY zid, project, line, period""")
 def account_series(t: DriverTables) -> DataFrame:
-    return st.account_series(yearly(t, False), 5, "01-1-Revenue")
+    return st.account_series(yearly(t).yearly("income"), 5, "01-1-Revenue")
 
 
 # ---- the statements written out line by line -------------------------------------------------
@@ -210,7 +219,7 @@ BALANCE = f"""
 
 @case("income_statement", f"WITH {YEARLY}, {INCOME} SELECT * FROM income_rows")
 def income_statement(t: DriverTables) -> DataFrame:
-    return income(t)
+    return st.income_statement(yearly(t).yearly("income"))
 
 
 @case("balance_sheet", f"WITH {YEARLY}, {INCOME}, {BALANCE} SELECT * FROM balance_rows")

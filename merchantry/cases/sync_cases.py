@@ -9,7 +9,7 @@ from merchantry.cases import case
 from merchantry.operators import sync
 from merchantry.session import new_folder
 from merchantry.sources import sinks
-from merchantry.sources.driver_tables import DriverTables
+from merchantry.sources.driver_tables import SCHEMAS, DriverTables
 from merchantry.streaming import sync_stream
 
 KEYS = ["o_orderkey", "o_custkey"]
@@ -80,4 +80,4 @@ def full_refresh(t: DriverTables) -> DataFrame:
 def streamed(t: DriverTables) -> DataFrame:
     # The pattern matches the one table, be it a single file or a folder of part files.
     return sync_stream.run_available(
-        t.spark, f"{t.root}/orders*.parquet", new_folder(t.spark, "stream"), KEYS, t.sync_rows)
+        t.spark, f"{t.root}/orders*.parquet", SCHEMAS["orders"], new_folder(t.spark, "stream"), KEYS, t.sync_rows)

@@ -69,40 +69,38 @@ def seasonal_mean(sales: DataFrame, share: int = 5) -> DataFrame:
 
 
 def receivable_timeline(sales: DataFrame, returns: DataFrame, collections: DataFrame) -> DataFrame:
-    """Per customer and day: last sale date so far and the receivable built up so far.
+    """Per customer and day: the day's amounts, the last sale date so far and the receivable
+    built up so far.
 
     On one day sales come before returns and returns before collections. Returns count once
     there has been a sale. Collections do not reduce the receivable.
     """
     keys = ["zid", "cusid", "date"]
-    def part(df: DataFrame, sold=None, back=None, taken=None) -> DataFrame:
-        return require_keys(df, keys).select(
-            *keys,
-            (F.lit(1) if sold else F.lit(0)).alias("sale_rows"),
-            (F.col(sold) if sold else F.lit(None)).cast(numeric.MONEY).alias("sold"),
-            (F.col(back) if back else F.lit(None)).cast(numeric.MONEY).alias("back"),
-            (F.lit(1) if taken else F.lit(0)).alias("collection_rows"),
-        )
-    events = (
-        part(sales, sold="totalsales")
-        .unionByName(part(returns, back="treturnamt"))
-        .unionByName(part(collections, taken="value"))
-    )
+    money = "decimal(18,4)"
+    streams = [(sales, "totalsales", "sold"), (returns, "treturnamt", "returned"), (collections, "value", "collected")]
+    events = None
+    for df, value, name in streams:
+        is_sale = name == "sold"
+        part = require_keys(df, keys).select(
+            *keys, F.col(value).cast(money).alias(name), F.lit(int(is_sale)).alias("sale_rows"),
+            F.lit(int(name == "collected")).alias("collection_rows"),
+            *([F.col("cusname")] if is_sale and "cusname" in df.columns else []))
+        events = part if events is None else events.unionByName(part, allowMissingColumns=True)
+    if "cusname" not in events.columns:
+        events = events.withColumn("cusname", F.lit(None).cast("string"))
+    # A customer-day is one row from here on; nothing below meets a group longer than the calendar.
     daily = events.groupBy(*keys).agg(
-        F.sum("sale_rows").alias("sale_rows"),
-        numeric.total(F.col("sold")).alias("sold"),
-        numeric.total(F.col("back")).alias("back"),
-        F.sum("collection_rows").alias("collections"),
+        F.min("cusname").alias("cusname"),
+        *[numeric.total(F.col(name)).alias(name) for _, _, name in streams],
+        F.sum("sale_rows").alias("sale_rows"), F.sum("collection_rows").alias("collections"),
     )
-    customer = W.partitionBy("zid", "cusid").orderBy("date")
-    so_far = customer.rowsBetween(W.unboundedPreceding, W.currentRow)
+    so_far = W.partitionBy("zid", "cusid").orderBy("date").rowsBetween(W.unboundedPreceding, W.currentRow)
     sale_date = F.when(F.col("sale_rows") > 0, F.col("date"))
-    counted_back = F.when(F.col("first_sale").isNotNull(), F.col("back")).otherwise(0)
+    counted_back = F.when(F.col("last_sale").isNotNull(), F.col("returned")).otherwise(0)
     return (
-        daily.withColumn("first_sale", F.min(sale_date).over(so_far))
-        .withColumn("last_sale", F.max(sale_date).over(so_far))
+        daily.withColumn("last_sale", F.max(sale_date).over(so_far))
         .withColumn("receivable", F.sum(F.col("sold") - counted_back).over(so_far))
-        .select(*keys, "collections", "last_sale", "receivable")
+        .drop("sale_rows")
     )
 
 

@@ -8,18 +8,31 @@ from pyspark.sql import functions as F
 from merchantry.functions import numeric
 from merchantry.operators.ordered import top_k_per_group
 from merchantry.operators.prep import decimal_to_double, require_keys
+from merchantry.operators.sizing import known_small
+from merchantry.session import cut_lineage
 
 TOP = 5
 # Vouchers with more items than this are counted by item class instead of pair by pair.
 MAX_PAIRED_ITEMS = 200
 
 
-def item_presence(df: DataFrame, voucher: str) -> DataFrame:
-    """One row per voucher and item: is at least one whole unit of it in there?"""
+def voucher_items(df: DataFrame, voucher: str) -> DataFrame:
+    """One row per voucher and item, computed once and kept: every step of a basket report reads it.
+
+    ``present`` says whether at least one whole unit is in there.
+    """
+    figures = [(numeric.total(F.col("quantity")) >= 1).alias("present")]
+    if "itemname" in df.columns:
+        figures.append(F.min("itemname").alias("itemname"))
+    if "totalsales" in df.columns:
+        figures.append(numeric.total(F.col("totalsales")).cast("decimal(28,4)").alias("totalsales"))
     keys = ["zid", voucher, "itemcode"]
-    return require_keys(df, keys).groupBy(*keys).agg(
-        (numeric.total(F.col("quantity")) >= 1).alias("present")
-    ).withColumnRenamed(voucher, "voucher")
+    grouped = require_keys(df, ["zid", "itemcode"]).groupBy(*keys).agg(*figures)
+    return cut_lineage(grouped.withColumnRenamed(voucher, "voucher"))
+
+
+def item_presence(items: DataFrame) -> DataFrame:
+    return items.filter(F.col("voucher").isNotNull()).select("zid", "voucher", "itemcode", "present")
 
 
 def item_counts(presence: DataFrame) -> DataFrame:
@@ -58,32 +71,16 @@ def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marks, weights
 
 
-def top_associates(presence: DataFrame, max_paired_items: int = MAX_PAIRED_ITEMS, top: int = TOP) -> DataFrame:
-    """The ``top`` items most often found with each item: (zid, itemcode, rank, other, shared).
-
-    Ties, and places left over when an item has too few companions, go by item code. Exact for
-    any voucher size: pairs are only enumerated inside vouchers of at most
-    ``max_paired_items`` items. Larger vouchers enter through item classes, where the first
-    items of the best classes are the only ones that can still reach the top.
-    """
-    present = presence.filter("present").select("zid", "voucher", "itemcode")
-    sizes = present.groupBy("zid", "voucher").agg(F.count("*").alias("items"))
-    large = sizes.filter(F.col("items") > max_paired_items).select("zid", "voucher")
-    pairs = _paired(present.join(large, ["zid", "voucher"], "left_anti"))
+def _with_large(present: DataFrame, large: DataFrame, direct: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
+    """Pair counts completed by the large vouchers, and the best companions found in those alone."""
     marks, weights = _classes(present.join(large, ["zid", "voucher"], "left_semi"))
-
-    both_ways = F.array(
-        F.struct(F.col("item_a").alias("itemcode"), F.col("item_b").alias("other")),
-        F.struct(F.col("item_b").alias("itemcode"), F.col("item_a").alias("other")))
-    direct = pairs.select("zid", F.inline(both_ways), "shared")
     other_marks = marks.select("zid", F.col("itemcode").alias("other"), F.col("class").alias("other_class"))
-    direct = (
+    completed = (
         direct.join(marks, ["zid", "itemcode"], "left").join(other_marks, ["zid", "other"], "left")
         .join(weights, ["zid", "class", "other_class"], "left")
         .select("zid", "itemcode", "other",
                 (F.col("shared") + F.coalesce("weight", F.lit(0))).alias("shared"))
     )
-
     # The first top + 1 codes of a class are enough: the item itself may be one of them.
     leading = top_k_per_group(
         marks.select("zid", F.col("class").alias("other_class"), F.col("itemcode").alias("other")),
@@ -93,20 +90,45 @@ def top_associates(presence: DataFrame, max_paired_items: int = MAX_PAIRED_ITEMS
         [F.desc("weight"), F.asc("other")], top + 1)
     by_class = marks.join(best_of_class.select("zid", "class", "other", "weight"), ["zid", "class"]).select(
         "zid", "itemcode", "other", F.col("weight").alias("shared"))
+    return completed, by_class
+
+
+def top_associates(presence: DataFrame, max_paired_items: int = MAX_PAIRED_ITEMS, top: int = TOP) -> DataFrame:
+    """The ``top`` items most often found with each item: (zid, itemcode, other, shared, rank).
+
+    Ties, and places left over when an item has too few companions, go by item code. Exact for
+    any voucher size: pairs are only enumerated inside vouchers of at most
+    ``max_paired_items`` items. Larger vouchers enter through item classes, where the first
+    items of the best classes are the only ones that can still reach the top.
+    """
+    present = presence.filter("present").select("zid", "voucher", "itemcode")
+    sizes = present.groupBy("zid", "voucher").agg(F.count("*").alias("items"))
+    large = sizes.filter(F.col("items") > max_paired_items).select("zid", "voucher")
+    has_large = bool(large.take(1))
+    pairs = _paired(present.join(large, ["zid", "voucher"], "left_anti") if has_large else present)
+    both_ways = F.array(
+        F.struct(F.col("item_a").alias("itemcode"), F.col("item_b").alias("other")),
+        F.struct(F.col("item_b").alias("itemcode"), F.col("item_a").alias("other")))
+    direct = pairs.select("zid", F.inline(both_ways), "shared")
+    order = [F.desc("shared"), F.asc("other")]
+    if has_large:
+        direct, by_class = _with_large(present, large, direct, top)
+    best = top_k_per_group(direct, ["zid", "itemcode"], order, top).drop("rank")
+    if has_large:
+        best = best.unionByName(by_class)
 
     # The first codes of the company fill up with support 0.
     universe = item_counts(presence)
     first_codes = top_k_per_group(
         universe.select("zid", F.col("itemcode").alias("other")), ["zid"], [F.asc("other")], top + 1)
-    fill_lists = first_codes.groupBy("zid").agg(F.collect_list("other").alias("others"))
+    fill_lists = known_small(first_codes.groupBy("zid").agg(F.sort_array(F.collect_list("other")).alias("others")))
     filling = universe.filter("vouchers > 0").join(fill_lists, "zid").select(
         "zid", "itemcode", F.explode("others").alias("other"), F.lit(0).cast("long").alias("shared"))
-
     candidates = (
-        direct.unionByName(by_class).unionByName(filling).filter(F.col("itemcode") != F.col("other"))
+        best.unionByName(filling).filter(F.col("itemcode") != F.col("other"))
         .groupBy("zid", "itemcode", "other").agg(F.max("shared").alias("shared"))
     )
-    return top_k_per_group(candidates, ["zid", "itemcode"], [F.desc("shared"), F.asc("other")], top)
+    return top_k_per_group(candidates, ["zid", "itemcode"], order, top)
 
 
 def _support(associates: DataFrame, counts: DataFrame) -> DataFrame:
@@ -114,17 +136,11 @@ def _support(associates: DataFrame, counts: DataFrame) -> DataFrame:
         "support", numeric.ratio(F.col("shared"), F.col("vouchers")))
 
 
-def _item_facts(df: DataFrame) -> DataFrame:
-    figures = [F.min("itemname").alias("itemname")]
-    if "totalsales" in df.columns:
-        figures.append(numeric.total(F.col("totalsales")).alias("item_sales"))
-    return require_keys(df, ["zid", "itemcode"]).groupBy("zid", "itemcode").agg(*figures)
-
-
 def purchase_basket(receipts: DataFrame, digits: int = 4, max_paired_items: int = MAX_PAIRED_ITEMS) -> DataFrame:
     """Per received item: its five most frequent companions and the share of its receipts they
     are in, and the number of its receipts."""
-    presence = item_presence(receipts, "grnvoucher")
+    items = voucher_items(receipts, "grnvoucher")
+    presence = item_presence(items)
     counts = item_counts(presence)
     ranked = _support(top_associates(presence, max_paired_items), counts)
     slots = []
@@ -134,7 +150,7 @@ def purchase_basket(receipts: DataFrame, digits: int = 4, max_paired_items: int
                   numeric.half_even(F.max(F.when(here, F.col("support"))), digits).alias(f"support_{k}")]
     report = ranked.groupBy("zid", "itemcode").agg(*slots)
     return (
-        counts.join(_item_facts(receipts).select("zid", "itemcode", "itemname"), ["zid", "itemcode"])
+        counts.join(items.groupBy("zid", "itemcode").agg(F.min("itemname").alias("itemname")), ["zid", "itemcode"])
         .join(report, ["zid", "itemcode"], "left")
         .withColumnRenamed("vouchers", "purchase_count"))
 
@@ -143,9 +159,11 @@ def sales_basket(sales: DataFrame, stock: DataFrame | None = None, digits: int =
                  max_paired_items: int = MAX_PAIRED_ITEMS) -> DataFrame:
     """Per sold item: five companions with name, share and sales, the sales of all six, and the
     stock on hand."""
-    presence = item_presence(sales, "voucher")
+    items = voucher_items(sales, "voucher")
+    presence = item_presence(items)
     counts = item_counts(presence)
-    facts = _item_facts(sales)
+    facts = items.groupBy("zid", "itemcode").agg(
+        F.min("itemname").alias("itemname"), F.sum("totalsales").alias("item_sales"))
     ranked = _support(top_associates(presence, max_paired_items), counts)
     companions = facts.select(
         "zid", F.col("itemcode").alias("other"), F.col("itemname").alias("other_name"),
@@ -162,7 +180,8 @@ def sales_basket(sales: DataFrame, stock: DataFrame | None = None, digits: int =
         ]
     report = ranked.groupBy("zid", "itemcode").agg(
         *slots, numeric.total(F.col("other_sales")).alias("companion_sales"))
-    result = facts.join(report, ["zid", "itemcode"], "left")
+    listed = counts.select("zid", "itemcode")
+    result = facts.join(listed, ["zid", "itemcode"]).join(report, ["zid", "itemcode"], "left")
     total = F.col("item_sales") + numeric.zero_if_null(F.col("companion_sales"))
     sales_columns = [f"item_{k}_sales" for k in range(1, TOP + 1)]
     result = (
@@ -179,7 +198,7 @@ def basket_matrix(sales: DataFrame, rows: int = 100, max_paired_items: int = MAX
 
     An item's row holds the support of its five companions; the mean is over all items.
     """
-    presence = item_presence(sales, "voucher")
+    presence = item_presence(voucher_items(sales.drop("totalsales"), "voucher"))
     counts = item_counts(presence)
     cells = _support(top_associates(presence, max_paired_items), counts).filter(F.col("support") > 0)
     row_sums = cells.groupBy("zid", "itemcode").agg(F.sum("shared").alias("shared"), F.first("vouchers").alias("vouchers"))

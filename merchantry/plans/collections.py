@@ -20,50 +20,39 @@ def customer_names(sales: DataFrame) -> DataFrame:
     return sales.filter(F.col("cusname").isNotNull()).groupBy(*CUSTOMER).agg(F.min("cusname").alias("cusname"))
 
 
-def customer_totals(sales: DataFrame, returns: DataFrame, collections: DataFrame) -> DataFrame:
-    """Everything a customer bought, returned and paid, in one pass over the three streams."""
-    def part(df: DataFrame, value: str, name: str) -> DataFrame:
-        return df.select(*CUSTOMER, F.col(value).cast(numeric.MONEY).alias(name))
-    events = (
-        part(sales, "totalsales", "total_sale")
-        .unionByName(part(returns, "treturnamt", "total_return"), allowMissingColumns=True)
-        .unionByName(part(collections, "value", "total_collection"), allowMissingColumns=True)
-    )
-    names = ["total_sale", "total_return", "total_collection"]
-    return decimal_to_double(require_keys(events, CUSTOMER).groupBy(*CUSTOMER).agg(
-        *[numeric.total(F.col(n)).alias(n) for n in names]))
-
-
-def collection_events(sales: DataFrame, returns: DataFrame, collections: DataFrame) -> DataFrame:
-    """Per customer and day with a countable collection: how many there were and the days
-    since the last sale. It counts while the receivable built up so far is positive."""
-    timeline = receivable_timeline(sales, returns, collections)
-    return timeline.filter(
-        (F.col("collections") > 0) & F.col("last_sale").isNotNull() & (F.col("receivable") > 0)
-    ).select(
-        *CUSTOMER, "date", F.year("date").alias("year"), F.month("date").alias("month"),
-        "collections", F.datediff("date", "last_sale").alias("days"))
+def _counts() -> Column:
+    """A day's collections count while there was a sale before and the receivable is positive."""
+    return (F.col("collections") > 0) & F.col("last_sale").isNotNull() & (F.col("receivable") > 0)
+
 
+def _day_sum() -> Column:
+    return F.datediff("date", "last_sale") * F.col("collections")
 
-def _mean_days() -> Column:
-    return numeric.ratio(F.sum(F.col("days") * F.col("collections")), F.sum("collections"))
+
+def _customer_figures(timeline: DataFrame) -> DataFrame:
+    """Name, totals and mean days per customer: the timeline is already laid out by customer."""
+    days = numeric.ratio(F.sum(F.when(_counts(), _day_sum())), F.sum(F.when(_counts(), F.col("collections"))))
+    return decimal_to_double(timeline.groupBy(*CUSTOMER).agg(
+        F.min("cusname").alias("cusname"), days.alias("average_days_to_collection"),
+        F.sum("sold").alias("total_sale"), F.sum("returned").alias("total_return"),
+        F.sum("collected").alias("total_collection"),
+    )).filter(F.col("average_days_to_collection").isNotNull())
 
 
 def collection_days(sales: DataFrame, returns: DataFrame, collections: DataFrame) -> DataFrame:
-    """Average days to collection per customer, with the customer's totals."""
-    averages = collection_events(sales, returns, collections).groupBy(*CUSTOMER).agg(
-        _mean_days().alias("average_days_to_collection"))
-    return (
-        averages.join(customer_names(sales), CUSTOMER)
-        .join(customer_totals(sales, returns, collections), CUSTOMER)
-        .select(*CUSTOMER, "cusname", "average_days_to_collection",
-                "total_sale", "total_return", "total_collection"))
+    """Average days to collection per customer, with the customer's totals. Each stream is read once."""
+    return _customer_figures(receivable_timeline(sales, returns, collections))
+
+
+def _monthly(timeline: DataFrame) -> DataFrame:
+    return timeline.filter(_counts()).groupBy(
+        *CUSTOMER, F.year("date").alias("year"), F.month("date").alias("month")
+    ).agg(numeric.ratio(F.sum(_day_sum()), F.sum("collections")).alias("collection_days"))
 
 
 def collection_days_by_month(sales: DataFrame, returns: DataFrame, collections: DataFrame) -> DataFrame:
     """Long form of the cross-tab: mean days per customer and month of collection."""
-    return collection_events(sales, returns, collections).groupBy(*CUSTOMER, "year", "month").agg(
-        _mean_days().alias("collection_days"))
+    return _monthly(receivable_timeline(sales, returns, collections))
 
 
 def collection_days_pivot(sales: DataFrame, returns: DataFrame, collections: DataFrame,
@@ -72,7 +61,8 @@ def collection_days_pivot(sales: DataFrame, returns: DataFrame, collections: Dat
 
     With ``periods`` the months become columns yyyy_mm; without, rows.
     """
-    monthly = collection_days_by_month(sales, returns, collections)
+    timeline = receivable_timeline(sales, returns, collections)
+    monthly = _monthly(timeline)
     average = aggregate.row_mean_nonzero(monthly, CUSTOMER, "collection_days")
     if periods is None:
         cells = monthly
@@ -81,8 +71,8 @@ def collection_days_pivot(sales: DataFrame, returns: DataFrame, collections: Dat
         label = F.concat_ws("_", F.col("year").cast("string"), F.lpad(F.col("month").cast("string"), 2, "0"))
         cells = aggregate.pivot_sum(monthly, CUSTOMER, label, labels, "collection_days")
     return (
-        cells.join(average, CUSTOMER).join(customer_names(sales), CUSTOMER)
-        .join(customer_totals(sales, returns, collections), CUSTOMER)
+        cells.join(average, CUSTOMER)
+        .join(_customer_figures(timeline).drop("average_days_to_collection"), CUSTOMER)
         .withColumn("average", numeric.zero_if_null(F.col("average"))))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from merchantry.functions import calendar, numeric
 from merchantry.operators.ordered import cumulative_by_month, period_diff, previous_value
 from merchantry.operators.sizing import known_small
+from merchantry.session import cut_lineage
 from merchantry.sources.extracts import ACCOUNT_COLUMNS
 
 # The statement lines accounts are mapped to.
@@ -356,6 +357,15 @@ def three_statements(income: DataFrame, balance: DataFrame, cash: DataFrame, dig
         .unionByName(part(ratio_rows(income, balance, external), "ratios")))
 
 
+def financial_statements(income_accounts: DataFrame, balance_accounts: DataFrame, digits: int | None = 0
+                         ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Income statement, balance sheet and cash flow. The first two are computed once and
+    kept: they have a few dozen lines per company, project and period and are read many times."""
+    income = cut_lineage(income_statement(income_accounts, digits))
+    balance = cut_lineage(balance_sheet(balance_accounts, income, digits))
+    return income, balance, cash_flow(income, balance, digits)
+
+
 def statement_wide(statement: DataFrame, periods: Sequence[str], keys: Sequence[str] = ("line",)) -> DataFrame:
     """Presentation form: a column per period, lines in code order."""
     rows = ["zid", "project", *keys]

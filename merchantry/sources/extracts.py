@@ -18,6 +18,7 @@ from merchantry.operators.prep import filter_in
 BALANCE_TYPES = ["Asset", "Liability"]
 INCOME_TYPES = ["Income", "Expenditure"]
 ALL_PROJECTS = "(all)"
+STATEMENTS = ["income", "balance"]
 ACCOUNT_COLUMNS = ["zid", "ac_code", "ac_name", "ac_type", "ac_lv1", "ac_lv2", "ac_lv3", "ac_lv4"]
 
 
@@ -123,7 +124,7 @@ def gl_rollup(
     accounts: DataFrame,
     details: DataFrame,
     headers: DataFrame,
-    balance_sheet: bool,
+    balance_sheet: bool | None = None,
     start_month: int | None = None,
     end_month: int | None = None,
     years: Sequence[int] | None = None,
@@ -133,23 +134,26 @@ def gl_rollup(
 ) -> DataFrame:
     """Ledger totals per company, project, account, year and month, all companies at once.
 
-    A balance sheet takes every month up to the end, opening balances (month 0) included;
-    an income statement takes the months between start and end. ``by_project=False`` puts all
-    projects of a company together.
+    The balance sheet takes every month up to the end, opening balances (month 0) included;
+    the income statement takes the months between start and end. ``balance_sheet=None`` rolls
+    up both in one pass over the ledger, told apart by ``statement``. ``by_project=False`` puts
+    all projects of a company together.
     """
-    types = BALANCE_TYPES if balance_sheet else INCOME_TYPES
-    chosen = accounts.filter(F.col("ac_type").isin(types)).select("zid", "ac_code")
+    on_balance = F.col("ac_type").isin(BALANCE_TYPES)
+    wanted = {None: BALANCE_TYPES + INCOME_TYPES, True: BALANCE_TYPES, False: INCOME_TYPES}[balance_sheet]
+    chosen = accounts.filter(F.col("ac_type").isin(wanted)).select(
+        "zid", "ac_code", F.when(on_balance, STATEMENTS[1]).otherwise(STATEMENTS[0]).alias("statement"))
     dated = filter_in(headers, "year", years).select("zid", "voucher", "year", "month")
     if end_month:
         dated = dated.filter(F.col("month") <= end_month)
-    if start_month and not balance_sheet:
-        dated = dated.filter(F.col("month") >= start_month)
     lines = filter_in(filter_in(details, "zid", zids), "project", projects)
     if not by_project:
         lines = lines.withColumn("project", F.lit(ALL_PROJECTS))
-    return _postings(chosen, lines, dated).groupBy("zid", "project", "ac_code", "year", "month").agg(
-        F.sum("value").alias("value")
-    )
+    postings = _postings(chosen, lines, dated)
+    if start_month and not balance_sheet:
+        postings = postings.filter((F.col("statement") == STATEMENTS[1]) | (F.col("month") >= start_month))
+    return postings.groupBy("statement", "zid", "project", "ac_code", "year", "month").agg(
+        F.sum("value").alias("value"))
 
 
 def gl_ap_split(accounts: DataFrame, details: DataFrame, headers: DataFrame, ac_codes: Sequence[str] | None,

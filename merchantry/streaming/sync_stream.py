@@ -43,10 +43,10 @@ def current_rows(spark: SparkSession, folder: str, keys: Sequence[str]) -> DataF
     return latest_per_key(changes, keys, order).drop(BATCH)
 
 
-def run_available(spark: SparkSession, path: str, folder: str, keys: Sequence[str],
+def run_available(spark: SparkSession, path: str, schema, folder: str, keys: Sequence[str],
                   shape: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Take in everything that has landed and return the table. ``shape`` turns landed rows
     into rows of the table."""
-    stream = landed(spark, path, spark.read.parquet(path).schema)
+    stream = landed(spark, path, schema)
     write_changes(shape(stream), folder, keys).awaitTermination()
     return current_rows(spark, folder, keys)
