@@ -93,20 +93,20 @@ def stats_sql(metric: str, timing: str, perspective: str, statistic: str) -> str
     coarse = ", ".join(["zid", *[f'"{c}"' for c in sales_reports.TIMINGS[perspective]]])
     column = sales_reports.METRICS[metric]
     if metric in sales_reports.MONEY_METRICS:
-        grouped = f"SELECT {fine}, CAST(sum({column}) AS DOUBLE) AS value FROM ({_GRAINS}) GROUP BY {fine_group}"
+        grouped = f"SELECT {fine}, sum({column}) AS value FROM ({_GRAINS}) GROUP BY {fine_group}"
     else:
-        grouped = (f"SELECT {coarse}, CAST(sum(n) AS DOUBLE) AS value FROM (SELECT {fine}, count(DISTINCT {column}) AS n "
+        grouped = (f"SELECT {coarse}, CAST(sum(n) AS BIGINT) AS value FROM (SELECT {fine}, count(DISTINCT {column}) AS n "
                    f"FROM ({_GRAINS}) GROUP BY {fine_group}) GROUP BY {coarse}")
     if statistic == "Spread":
         return (f"SELECT zid, round_even(var_samp(value), 2) AS variance, round_even(stddev_samp(value), 2) AS std_dev, "
                 f"round_even(min(value), 2) AS minimum, round_even(max(value), 2) AS maximum, "
                 f"round_even(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 2) AS iqr, "
                 f"round_even(skewness(value), 2) AS skew, round_even(kurtosis(value), 2) AS kurt "
-                f"FROM ({grouped}) GROUP BY zid")
+                f"FROM (SELECT zid, CAST(value AS DOUBLE) AS value FROM ({grouped})) GROUP BY zid")
     if statistic == "Total":
-        return grouped
-    function = "avg" if statistic == "Mean" else "median"
-    return f"SELECT {coarse}, {function}(value) AS value FROM ({grouped}) GROUP BY {coarse}"
+        return f"SELECT * REPLACE (CAST(value AS DOUBLE) AS value) FROM ({grouped})"
+    figure = "CAST(sum(value) AS DOUBLE) / count(value)" if statistic == "Mean" else "median(CAST(value AS DOUBLE))"
+    return f"SELECT {coarse}, {figure} AS value FROM ({grouped}) GROUP BY {coarse}"
 
 
 STATS = [
@@ -126,8 +126,8 @@ for _key, _metric, _timing, _perspective, _statistic in STATS:
 
 
 @case("descriptive_stats_return", """
-    WITH monthly AS (SELECT zid, year, month, CAST(sum(treturnamt) AS DOUBLE) AS v FROM f_return GROUP BY ALL)
-    SELECT zid, year, avg(v) AS value FROM monthly GROUP BY zid, year""")
+    WITH monthly AS (SELECT zid, year, month, sum(treturnamt) AS v FROM f_return GROUP BY ALL)
+    SELECT zid, year, CAST(sum(v) AS DOUBLE) / count(v) AS value FROM monthly GROUP BY zid, year""")
 def descriptive_stats_return(t: DriverTables) -> DataFrame:
     returns = prep.derive_calendar(t.returns(False, False))
     return sales_reports.descriptive_stats(returns, "Return", "Year/Month", "Year", "Mean")

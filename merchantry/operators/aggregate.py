@@ -82,7 +82,7 @@ def quantiles_by(df: DataFrame, keys: Sequence[str], value: str, quantiles: dict
         F.first("position").alias("position"),
     )
     share = F.col("position") - F.floor("position")
-    interpolated = F.col("lower") + (F.col("upper") - F.col("lower")) * share
+    interpolated = F.col("lower") * (1 - share) + F.col("upper") * share
     return (
         found.withColumn("figure", interpolated)
         .groupBy(*keys).pivot("quantile", names).agg(F.first("figure"))

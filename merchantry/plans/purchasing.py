@@ -201,9 +201,12 @@ def purchase_requisition(cohort: DataFrame, orders: DataFrame, stock: DataFrame,
 
 def requisition_wide(requisition: DataFrame, shipments: Sequence[str], digits: int | None = 0) -> DataFrame:
     """A stock_before_<shipment> and a quantity column per shipment."""
+    def step_of(name: str) -> Column:
+        return F.get(F.filter("steps", lambda step: step["shipmentname"] == name), F.lit(0))
+
     columns = []
     for name in shipments:
-        hit = F.filter("steps", lambda s, n=name: s["shipmentname"] == n)[0]
+        hit = step_of(name)
         columns += [_rounded(hit["stock_before"], digits).alias(f"stock_before_{name}"),
                     _rounded(hit["quantity"], digits).alias(name)]
     keep = [c for c in requisition.columns if c not in ("steps", "shipments", "final_stock", "has_shipments")]

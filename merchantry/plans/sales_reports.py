@@ -118,7 +118,9 @@ def _grain(df: DataFrame, metric: str, timing: str, perspective: str, two_level:
     coarse = ["zid", *TIMINGS[perspective]]
     column = METRICS[metric]
     if metric in MONEY_METRICS:
-        return aggregate.sum_by(df, fine, column, "value"), coarse
+        # Amounts stay exact decimals up to the statistic.
+        summed = require_keys(df, fine).groupBy(*fine).agg(numeric.total(F.col(column)).alias("value"))
+        return summed, coarse
     counted = aggregate.nunique_by(df, fine, column, "value")
     if two_level:
         return counted, coarse
@@ -133,10 +135,11 @@ def descriptive_stats(df: DataFrame, metric: str, timing: str, perspective: str,
     """
     grouped, coarse = _grain(df, metric, timing, perspective, two_level)
     if statistic == "Total":
-        return grouped
+        return grouped.withColumn("value", F.col("value").cast("double"))
     # At most one row per calendar day goes into each group here.
-    figure = F.avg("value") if statistic == "Mean" else F.median("value")
-    return grouped.groupBy(*coarse).agg(figure.cast("double").alias("value"))
+    mean = numeric.ratio(F.sum("value"), F.count("value"))
+    figure = mean if statistic == "Mean" else F.median(F.col("value").cast("double"))
+    return grouped.groupBy(*coarse).agg(figure.alias("value"))
 
 
 def descriptive_spread(df: DataFrame, metric: str, timing: str, perspective: str,
