@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merchantry.cases import case
-from merchantry.functions import calendar
+from merchantry.functions import calendar, numeric
 from merchantry.operators import aggregate, ordered, prep
 from merchantry.sources.driver_tables import DriverTables
 
@@ -37,13 +37,15 @@ def median_by(t: DriverTables) -> DataFrame:
     return aggregate.median_by(t.sales(True, False), ["zid", "itemgroup"], "totalsales")
 
 
-@case("quantiles_by", """
-    SELECT zid, quantile_cont(CAST(totalsales AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(totalsales AS DOUBLE), 0.75) AS q3,
-           quantile_cont(CAST(totalsales AS DOUBLE), 0.99) AS p99
-    FROM f_sales GROUP BY zid""")
+_QUARTILES = {"q1": 0.25, "q3": 0.75, "p99": 0.99}
+
+
+@case("quantiles_by", "SELECT zid, " + ", ".join(
+    f"round_even(quantile_cont(CAST(totalsales AS DOUBLE), {q}), 6) AS {name}" for name, q in _QUARTILES.items())
+    + " FROM f_sales GROUP BY zid")
 def quantiles_by(t: DriverTables) -> DataFrame:
-    return aggregate.quantiles_by(
-        t.sales(False, False), ["zid"], "totalsales", {"q1": 0.25, "q3": 0.75, "p99": 0.99}, accuracy=1000)
+    exact = aggregate.quantiles_by(t.sales(False, False), ["zid"], "totalsales", _QUARTILES, accuracy=1000)
+    return exact.select("zid", *[numeric.half_even(F.col(n), 6).alias(n) for n in _QUARTILES])
 
 
 @case("spread_stats", """

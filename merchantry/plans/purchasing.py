@@ -37,30 +37,29 @@ def weekly_sales_after(sales: DataFrame, receipts: DataFrame) -> DataFrame:
     """Per item and receipt date: quantity sold in each of the 12 weeks from that date on, the
     amount of all of them, and the days since the item's previous receipt date.
 
-    Sales and receipts become one row per item and day first, on one time line per item, so
-    every lookup is a bounded frame over calendar days and no pair of rows is ever formed.
+    Both sides become one row per item and day first. The time line is cut into spans as long
+    as the 12 weeks, so a receipt date only meets the sale days of its own span and the next:
+    an equi-join whose groups are bounded by the calendar, however much one item sells.
     """
     item = ["zid", "itemcode"]
-    sold = require_keys(sales, [*item, "date"]).groupBy(*item, "date").agg(
+    span = 7 * calendar.COHORT_WEEKS
+    span_of = lambda date: F.floor(F.unix_date(date) / span)
+    sold = require_keys(sales, [*item, "date"]).groupBy(*item, F.col("date").alias("sale_date")).agg(
         F.sum("quantity").alias("quantity"), F.sum("totalsales").alias("amount"))
     bought = receipts.groupBy(*item, F.col("combinedate").alias("date")).agg(
         F.min(F.struct(*LINE_ORDER)).alias("first_line"))
-    line = sold.unionByName(bought, allowMissingColumns=True).withColumn(
-        "day", F.unix_date(F.col("date")))
-    by_day = W.partitionBy(*item).orderBy("day")
-    receipt_day = F.when(F.col("first_line").isNotNull(), F.col("day"))
-    weeks = [
-        F.coalesce(
-            F.sum("quantity").over(by_day.rangeBetween(7 * (k - 1), 7 * k - 1)), F.lit(0)).alias(name)
-        for k, name in zip(WEEKS, WEEK_COLUMNS)
-    ]
-    horizon = by_day.rangeBetween(0, 7 * calendar.COHORT_WEEKS - 1)
-    before = F.max(receipt_day).over(by_day.rangeBetween(W.unboundedPreceding, -1))
-    return line.select(
-        *item, "date", "first_line", *weeks,
-        F.coalesce(F.sum("amount").over(horizon), F.lit(0)).alias("amount"),
-        F.coalesce(F.col("day") - before, F.lit(0)).alias("gap"),
-    ).filter(F.col("first_line").isNotNull())
+    before = F.lag("date").over(W.partitionBy(*item).orderBy("date"))
+    bought = bought.withColumn("gap", F.coalesce(F.datediff("date", before), F.lit(0)))
+    own = span_of(F.col("date"))
+    reach = bought.select(*item, "date", F.explode(F.array(own, own + 1)).alias("span"))
+    days = F.datediff("sale_date", "date")
+    met = reach.join(sold.withColumn("span", span_of(F.col("sale_date"))), [*item, "span"]).filter(
+        (days >= 0) & (days < span))
+    week = F.floor(days / 7) + 1
+    after = met.groupBy(*item, "date").agg(
+        *[F.sum(F.when(week == k, F.col("quantity"))).alias(name) for k, name in zip(WEEKS, WEEK_COLUMNS)],
+        F.sum("amount").alias("amount"))
+    return bought.join(after, [*item, "date"], "left").fillna(0, [*WEEK_COLUMNS, "amount"])
 
 
 def purchase_cohort(sales: DataFrame, receipts: DataFrame, digits: int | None = 0) -> DataFrame:

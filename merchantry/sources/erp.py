@@ -50,39 +50,43 @@ def etl_purchase(poord: DataFrame, poodt: DataFrame, pogrn: DataFrame) -> DataFr
 
 
 def _document_totals(
-    heads: DataFrame, lines: DataFrame, moves: DataFrame, number: str, person: str, how: str,
+    heads: DataFrame, lines: DataFrame, moves: DataFrame, number: str, person: str, keep_empty: bool,
     names: Mapping[str, str],
 ) -> DataFrame:
     """Document x item totals with the stock movement's cost.
 
-    Grouped by every change time involved, so one document item may yield several rows, and a
-    line meeting several movements is counted once for each of them.
+    One row per combination of the change times involved; a line meeting several movements
+    counts once for each of them, and a movement once for each line. Lines and movements are
+    summed and counted before they meet, so a document with very many lines is small by then
+    and the repeats are a multiplication.
     """
     h = heads.select(
-        F.col("zid").alias("h_zid"), F.col(number).alias("h_number"), F.col("xdate").alias("date"),
-        F.col("xcus").alias("cusid"), F.col(person).alias("sp_id"),
-        F.col("ztime").alias("h_itime"), F.col("zutime").alias("h_utime"))
-    d = lines.select(
-        "zid", F.col(number).alias("d_number"), F.col("xitem").alias("itemcode"), "xqty", "xlineamt",
-        F.col("ztime").alias("itime"), F.col("zutime").alias("utime"))
-    m = moves.select(
-        F.col("zid").alias("m_zid"), F.col("xdocnum").alias("m_number"), F.col("xitem").alias("m_item"), "xval",
-        F.col("ztime").alias("m_itime"), F.col("zutime").alias("m_utime"))
-    joined = (
-        h.join(d, (h.h_number == d.d_number) & (h.h_zid == d.zid), how)
-        .join(m, (F.col("d_number") == m.m_number) & (F.col("itemcode") == m.m_item)
-              & (F.col("zid") == m.m_zid), how)
-    )
-    keys = ["h_zid", "zid", "h_number", "d_number", "date", "sp_id", "cusid", "itemcode",
-            "itime", "utime", "h_itime", "h_utime", "m_itime", "m_utime", "m_zid", "m_number"]
-    return joined.groupBy(*keys).agg(
-        F.sum("xqty").alias(names["xqty"]),
-        F.sum("xlineamt").alias(names["xlineamt"]),
-        F.sum("xval").alias(names["xval"]),
-    ).withColumnRenamed("h_number", names["number"]).select(
-        "itime", "utime", "zid", names["number"], "date", "sp_id", "cusid", "itemcode",
-        names["xqty"], names["xlineamt"], names["xval"], "h_itime", "h_utime", "m_itime", "m_utime",
-    )
+        "zid", F.col(number).alias("number"), F.col("xdate").alias("date"), F.col(person).alias("sp_id"),
+        F.col("xcus").alias("cusid"), F.col("ztime").alias("h_itime"), F.col("zutime").alias("h_utime"))
+    h = h.groupBy(*h.columns).agg(F.count("*").alias("heads"))
+    d = lines.groupBy(
+        "zid", F.col(number).alias("number"), F.col("xitem").alias("itemcode"),
+        F.col("ztime").alias("itime"), F.col("zutime").alias("utime"),
+    ).agg(F.sum("xqty").alias("qty"), F.sum("xlineamt").alias("amount"), F.count("*").alias("lines"))
+    m = moves.groupBy(
+        "zid", F.col("xdocnum").alias("number"), F.col("xitem").alias("itemcode"),
+        F.col("ztime").alias("m_itime"), F.col("zutime").alias("m_utime"),
+    ).agg(F.sum("xval").alias("value"), F.count("*").alias("moves"))
+    how = "left" if keep_empty else "inner"
+    met = d.join(h, ["zid", "number"]).join(m, ["zid", "number", "itemcode"], how)
+    times = F.coalesce("moves", F.lit(1)) * F.col("heads")
+    out = ["itime", "utime", "zid", "number", "date", "sp_id", "cusid", "itemcode",
+           "qty", "amount", "value", "h_itime", "h_utime", "m_itime", "m_utime"]
+    rows = met.withColumns({
+        "qty": F.col("qty") * times, "amount": F.col("amount") * times,
+        "value": F.col("value") * F.col("lines") * F.col("heads"),
+    }).select(out)
+    if keep_empty:
+        # A header without lines stays, without company: that comes from the line.
+        empty = h.join(d, ["zid", "number"], "left_anti").drop("zid", "heads")
+        rows = rows.unionByName(empty, allowMissingColumns=True)
+    return rows.withColumnsRenamed({
+        "number": names["number"], "qty": names["xqty"], "amount": names["xlineamt"], "value": names["xval"]})
 
 
 # The change times of header and movement travel along so that an incremental run can look at them.
@@ -91,12 +95,12 @@ TRAILING_TIMES = ["h_itime", "h_utime", "m_itime", "m_utime"]
 
 def etl_sales(opdor: DataFrame, opddt: DataFrame, imtrn: DataFrame) -> DataFrame:
     """A header without lines yields one row with neither item nor company."""
-    return _document_totals(opdor, opddt, imtrn, "xdornum", "xsp", "left", {
+    return _document_totals(opdor, opddt, imtrn, "xdornum", "xsp", True, {
         "number": "ordernumber", "xqty": "quantity", "xlineamt": "totalsales", "xval": "cost"})
 
 
 def etl_return(opcrn: DataFrame, opcdt: DataFrame, imtrn: DataFrame) -> DataFrame:
-    return _document_totals(opcrn, opcdt, imtrn, "xcrnnum", "xemp", "inner", {
+    return _document_totals(opcrn, opcdt, imtrn, "xcrnnum", "xemp", False, {
         "number": "revoucher", "xqty": "returnqty", "xlineamt": "treturnamt", "xval": "returncost"})
 
 
