@@ -136,6 +136,19 @@ def _support(associates: DataFrame, counts: DataFrame) -> DataFrame:
         "support", numeric.ratio(F.col("shared"), F.col("vouchers")))
 
 
+def _side_by_side(ranked: DataFrame, columns: dict[str, str], digits: int) -> DataFrame:
+    """The ranked companions of an item, at most TOP, as numbered columns of one row."""
+    best = F.sort_array(F.collect_list(F.struct("rank", *columns.values())))
+    report = ranked.groupBy("zid", "itemcode").agg(best.alias("best"))
+    slots = []
+    for k in range(1, TOP + 1):
+        slot = F.get("best", F.lit(k - 1))
+        for name, source in columns.items():
+            value = slot[source]
+            slots.append((numeric.half_even(value, digits) if source == "support" else value).alias(name.format(k)))
+    return report.select("zid", "itemcode", *slots)
+
+
 def purchase_basket(receipts: DataFrame, digits: int = 4, max_paired_items: int = MAX_PAIRED_ITEMS) -> DataFrame:
     """Per received item: its five most frequent companions and the share of its receipts they
     are in, and the number of its receipts."""
@@ -143,12 +156,7 @@ def purchase_basket(receipts: DataFrame, digits: int = 4, max_paired_items: int
     presence = item_presence(items)
     counts = item_counts(presence)
     ranked = _support(top_associates(presence, max_paired_items), counts)
-    slots = []
-    for k in range(1, TOP + 1):
-        here = F.col("rank") == k
-        slots += [F.max(F.when(here, F.col("other"))).alias(f"item_{k}"),
-                  numeric.half_even(F.max(F.when(here, F.col("support"))), digits).alias(f"support_{k}")]
-    report = ranked.groupBy("zid", "itemcode").agg(*slots)
+    report = _side_by_side(ranked, {"item_{}": "other", "support_{}": "support"}, digits)
     return (
         counts.join(items.groupBy("zid", "itemcode").agg(F.min("itemname").alias("itemname")), ["zid", "itemcode"])
         .join(report, ["zid", "itemcode"], "left")
@@ -169,25 +177,14 @@ def sales_basket(sales: DataFrame, stock: DataFrame | None = None, digits: int =
         "zid", F.col("itemcode").alias("other"), F.col("itemname").alias("other_name"),
         F.col("item_sales").alias("other_sales"))
     ranked = ranked.join(companions, ["zid", "other"])
-    slots = []
-    for k in range(1, TOP + 1):
-        here = F.col("rank") == k
-        slots += [
-            F.max(F.when(here, F.col("other"))).alias(f"item_{k}"),
-            F.max(F.when(here, F.col("other_name"))).alias(f"item_{k}_name"),
-            numeric.half_even(F.max(F.when(here, F.col("support"))), digits).alias(f"support_{k}"),
-            F.max(F.when(here, F.col("other_sales"))).alias(f"item_{k}_sales"),
-        ]
-    report = ranked.groupBy("zid", "itemcode").agg(
-        *slots, numeric.total(F.col("other_sales")).alias("companion_sales"))
+    report = _side_by_side(ranked, {
+        "item_{}": "other", "item_{}_name": "other_name", "support_{}": "support", "item_{}_sales": "other_sales"}, digits)
     listed = counts.select("zid", "itemcode")
     result = facts.join(listed, ["zid", "itemcode"]).join(report, ["zid", "itemcode"], "left")
-    total = F.col("item_sales") + numeric.zero_if_null(F.col("companion_sales"))
     sales_columns = [f"item_{k}_sales" for k in range(1, TOP + 1)]
-    result = (
-        result.withColumn("total_sales_all_items", total).drop("companion_sales")
-        .fillna(0, sales_columns)
-    )
+    result = result.fillna(0, sales_columns)
+    total = sum((F.col(c) for c in sales_columns), F.col("item_sales"))
+    result = result.withColumn("total_sales_all_items", total)
     if stock is not None:
         result = result.join(stock.select("zid", "itemcode", "stockqty"), ["zid", "itemcode"], "left")
     return decimal_to_double(result)

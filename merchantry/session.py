@@ -57,10 +57,10 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/merchantry/{label}-{os.urandom(8).hex()}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Compute once into the shared folder, so several consumers read the result and a
-    lost executor never replays the whole history."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
+    """Compute once into a table in the shared folder. Several consumers then read only the
+    columns they need, its size is known to the planner, and a lost executor never replays
+    what came before."""
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
