@@ -85,6 +85,11 @@ for _rows, _columns in [("salesman", "customer"), ("customer", "product"), ("pro
     case(f"cross_relation_{_rows}_{_columns}", net_sql(netting.DIMENSIONS[_rows], netting.DIMENSIONS[_columns]))(_cross)
 
 
+@case("cross_relation", net_sql(["spid", "spname"], ["area"]))
+def cross_relation(t: DriverTables) -> DataFrame:
+    return netting.cross_relation(t.sales(False, True), t.returns(False, True), "salesman", "area")
+
+
 def month_sql(sale: str, back: str) -> str:
     names = ", ".join(f"'{m}'" for m in MONTHS)
     return f"""

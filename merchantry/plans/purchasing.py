@@ -16,6 +16,7 @@ from merchantry.operators.sizing import known_small
 WEEKS = list(range(1, calendar.COHORT_WEEKS + 1))
 WEEK_COLUMNS = [f"week_{k}" for k in WEEKS]
 LINE_ORDER = ["povoucher", "uuid"]
+# Days counted per month of sales, and the mark of shipment names that are planned.
 DAYS_PER_MONTH = 30.5
 SHIPMENT_MARK = "MDKF"
 
