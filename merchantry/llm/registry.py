@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from merchantry.llm import exact_dedup, packing, pieces, pii, quality
+from merchantry.llm import exact_dedup, licenses, line_dedup, packing, pieces, pii, quality, quotes
 from merchantry.session import configure
 
 QUERIES = [
-    packing.op3_best_fit_packing, exact_dedup.op5_exact_dedup, quality.op6_quality_divergence, pieces.op7_sentencepiece,
-    pii.op8_pii_pseudonyms,
+    licenses.op2_license_scan, packing.op3_best_fit_packing, line_dedup.op4_line_dedup, exact_dedup.op5_exact_dedup, quality.op6_quality_divergence, pieces.op7_sentencepiece,
+    pii.op8_pii_pseudonyms, quotes.op10_quotation_links,
 ]
-SQL = {"op5_exact_dedup": exact_dedup.SQL}
+SQL = {
+    "op2_license_scan": licenses.sql(), "op4_line_dedup": line_dedup.SQL, "op5_exact_dedup": exact_dedup.SQL, "op10_quotation_links": quotes.SQL,
+}
 
 
 def _run(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
