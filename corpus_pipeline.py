@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from merchantry.llm import exact_dedup, packing, pii, quality
+from merchantry.llm import exact_dedup, ngram_join, packing, pii, quality
 from merchantry.llm.common import prepare, table
 from merchantry.session import configure, cut_lineage
 
@@ -14,6 +14,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text."""
+    return exact_dedup.keep_first(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return ngram_join.keep_one(docs)
+
+
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with pseudonyms in place of private data."""
     return pii.replace_private(docs)
@@ -24,7 +34,10 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("PII", replace_pii), ("best-fit packing", pack_sequences)]
+STAGES = [
+    ("quality rules", quality_rules), ("exact dedup", drop_copies), ("n-gram Jaccard join", drop_near_copies),
+    ("PII", replace_pii), ("best-fit packing", pack_sequences),
+]
 
 #: Distances to learned references, tokens and pseudonyms are not for SQL: the tests hold run() against plain loops.
 ORACLE_SQL = None

@@ -174,6 +174,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("id").alias("doc_id"), F.col("low_id").alias("keep_id"), F.col("copies").alias("group_size"), F.col("id").eqNullSafe(F.col("low_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input rows that stay, one for each text, with all their columns; of rows repeated with one id and
+    text any one stays."""
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept")).distinct()
+    rows = docs.withColumn("__digest", F.sha2(normalised(F.col(text_col)), 256))
+    rows = rows.join(kept, [rows[id_col].cast("long").eqNullSafe(kept["__id"]), rows["__digest"] == kept["__kept"]], "left_semi")
+    return rows.dropDuplicates(["__digest"]).drop("__digest")
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
