@@ -6,9 +6,10 @@ share one of those are looked at. Their pairs pass a length bound and a bound on
 a bit sketch; for those that remain, the partners of a set are stored in a trie, and one traversal with the set
 finds the overlaps, counting common beginnings once and leaving subtrees that the remaining lengths can't save.
 
-The work is done twice: first between neighbours by length within each shared shingle, which links most of
-what belongs together, then between all sets that share one and are not yet in one component, so that a group
-of thousands of near copies is never paired out and no link between components is lost.
+The work goes in rounds: first between some neighbours within each shared shingle, in an order of its own for
+each shingle, which links most of what belongs together; then between sets that share one and are not yet in
+one component, at first only the likeliest pairs of two components, at last all pairs. So a group of thousands of
+near copies is never paired out, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -38,6 +39,10 @@ COMMON, MOST_COMMON = 64, 1_000_000
 RANGE_ENTRIES, LEAST_RANGES = 150_000, 1024
 #: A common shingle's entries are dealt to so many groups in the first round.
 SALTS = 64
+#: Neighbours of an entry in the first round; shingles of no more than one set above that are done then.
+NEIGHBOURS = 2
+#: Pairs of two components that a task offers in the second round.
+LIKELIEST = 2
 #: Partners that one trie holds.
 TRIE = 512
 _FACTORS = mix64(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -185,19 +190,27 @@ def _entries(ranges_n: int, common):
 
 def _shared(ranges_n: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        """Entries of shingles that two sets share, each with its neighbour by length if the lengths allow a link."""
+        """Entries of shingles that two sets share, each with those of its next neighbours whose lengths allow a link."""
         h, sig, n = np.concatenate([np.frombuffer(p, np.uint64).reshape(3, -1) for p in group["packed"]], axis=1)
-        order = np.lexsort((sig, n, h))
-        h, sig, n = h[order], sig[order], n[order].astype(np.int64)
+        sizes = n.astype(np.int64)
+        # Sets of like size stand together; among them each shingle has an order of its own, and its own bands.
+        shift = (mix64(h ^ np.uint64(7)) >> np.uint64(40)).astype(np.float64) / (1 << 24)
+        band = np.floor(np.log(np.maximum(sizes, 1)) / np.log(DEN / NUM) + shift).astype(np.int64)
+        order = np.lexsort((mix64(sig ^ h), band, h))
+        h, sig, n = h[order], sig[order], sizes[order]
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (sig[1:] != sig[:-1])])
         h, sig, n = h[new], sig[new], n[new]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        sizes = np.diff(np.concatenate([first, [len(h)]]))
+        m = np.diff(np.concatenate([first, [len(h)]]))
         # Entries of a dealt shingle may have their partners in other groups.
-        shared = np.repeat(sizes > 1, sizes) | (group["part"].iloc[0] >= ranges_n)
-        joins = np.concatenate([(h[1:] == h[:-1]) & (DEN * n[:-1] >= NUM * n[1:]), [False]])
-        after = np.concatenate([sig[1:], [np.uint64(0)]]).view(np.int64)
-        return pd.DataFrame({"h": h.view(np.int64)[shared], "sig": sig.view(np.int64)[shared], "n": n[shared], "next": np.where(joins, after, 0)[shared], "joins": joins[shared]})
+        m = np.repeat(m, m) + np.where(group["part"].iloc[0] >= ranges_n, SALTS, 0)
+        out = pd.DataFrame({"h": h.view(np.int64), "sig": sig.view(np.int64), "n": n, "m": m})
+        for k in range(1, NEIGHBOURS + 1):
+            joins = np.zeros(len(h), np.bool_)
+            joins[:-k or None] = (h[k:] == h[:-k]) & (DEN * np.minimum(n[:-k], n[k:]) >= NUM * np.maximum(n[:-k], n[k:])) if len(h) > k else False
+            out[f"next{k}"] = pd.array(np.where(joins, np.roll(sig, -k).view(np.int64), 0), dtype="Int64")
+            out.loc[~joins, f"next{k}"] = pd.NA
+        return out[m > 1]
     return run
 
 
@@ -289,7 +302,7 @@ class Join:
         n_entries = self.rows.where("prefix IS NOT NULL").agg(F.sum(F.octet_length("prefix") / 8)).head()[0] or 0
         ranges_n = max(LEAST_RANGES, int(n_entries) // RANGE_ENTRIES)
         packed = self.rows.where("prefix IS NOT NULL").select("sig", "n", "prefix").mapInArrow(_entries(ranges_n, self.common), "part long, packed binary")
-        self.shared = cut_lineage(packed.groupBy("part").applyInPandas(_shared(ranges_n), "h long, sig long, n long, next long, joins boolean"), "shared")
+        self.shared = cut_lineage(packed.groupBy("part").applyInPandas(_shared(ranges_n), "h long, sig long, n long, m long" + "".join(f", next{k} long" for k in range(1, NEIGHBOURS + 1))), "shared")
 
     def screened(self, pairs: DataFrame) -> DataFrame:
         """Pairs (x, y) of sets that sizes and sketches leave."""
@@ -325,41 +338,59 @@ class Join:
         return cut_lineage(partners.unionByName(probes).repartition("x").sortWithinPartitions(F.col("x"), F.col("y").asc_nulls_first()).mapInArrow(_linked, "x long, y long"), "links")
 
     def first_round(self) -> DataFrame:
-        pairs = self.shared.where("joins").select(F.least("sig", "next").alias("x"), F.greatest("sig", "next").alias("y")).distinct()
+        near = self.shared.select("sig", F.explode(F.array(*[f"next{k}" for k in range(1, NEIGHBOURS + 1)])).alias("next")).where("next IS NOT NULL")
+        pairs = near.select(F.least("sig", "next").alias("x"), F.greatest("sig", "next").alias("y")).distinct()
         return self.verified(self.screened(pairs))
 
-    def second_round(self, roots: DataFrame) -> DataFrame:
-        """Links between components: for shingles that several components share, all pairs across them."""
-        placed = cut_lineage(self.shared.select("h", "sig", "n").join(roots, F.col("sig") == F.col("node"), "left").select("h", "sig", "n", F.coalesce("root", "sig").alias("root")), "placed")
-        open_ = placed.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("h")
-        left = placed.join(open_, "h").join(self.sketches.select("sig", "sketch"), "sig").select("h", "sig", "n", "root", "sketch")
-        pairs = left.repartition("h").sortWithinPartitions("h", "n", "sig").mapInArrow(_across, "x long, y long").distinct()
+    def further_round(self, roots: DataFrame, most: int | None) -> DataFrame:
+        """Links between components: for shingles that several components share, pairs across them; the ``most``
+        likeliest of two components that a task sees, or all."""
+        entries = self.shared.where(F.col("m") > NEIGHBOURS + 1).select("h", "sig", "n")
+        placed = cut_lineage(entries.join(roots, F.col("sig") == F.col("node"), "left").select("h", "sig", "n", F.coalesce("root", "sig").alias("root")), "placed")
+        several = placed.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("h")
+        left = placed.join(several, "h").join(self.sketches.select("sig", "sketch"), "sig").select("h", "sig", "n", "root", "sketch")
+        pairs = left.repartition("h").sortWithinPartitions("h", "n", "sig").mapInArrow(_across(most), "x long, y long").distinct()
         return self.verified(pairs)
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _across(most: int | None):
     """Pairs of different components within each shingle that sizes and sketches leave. Rows come by shingle and
     ascending size, so a row meets those before it whose size is in reach."""
-    h, held, out = None, [], set()
-    for batch in batches:
-        for one, sig, n, root, marks in zip(*(batch.column(k).to_pylist() for k in ("h", "sig", "n", "root", "sketch")), strict=True):
-            if one != h:
-                h, held = one, []
-            marks = np.frombuffer(marks, np.uint8)
-            while held and DEN * held[0][0] < NUM * n:
-                held.pop(0)
-            for m, other, its, theirs in held:
-                if its != root and other != sig and (pair := (min(sig, other), max(sig, other))) not in out and may_link(m, n, theirs, marks):
-                    out.add(pair)
-            held.append((n, sig, root, marks))
-        if len(out) >= 200_000:
-            yield _pairs(out)
-            out = set()
-    if out:
-        yield _pairs(out)
-
-
-def _pairs(out: set[tuple[int, int]]) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, held, at, out, n_out = None, [], 0, {}, 0
+        for batch in batches:
+            for one, sig, n, root, marks in zip(*(batch.column(k).to_pylist() for k in ("h", "sig", "n", "root", "sketch")), strict=True):
+                if one != h:
+                    h, held, at = one, [], 0
+                bits, size = int.from_bytes(marks, "little"), 8 * len(marks)
+                while at < len(held) and DEN * held[at][0] < NUM * n:
+                    at += 1
+                for m, other, its, theirs, width in held[at:]:
+                    if its == root or other == sig:
+                        continue
+                    mine, small = bits, size
+                    while small > width:
+                        small //= 2
+                        mine = (mine & (1 << small) - 1) ^ mine >> small
+                    differ = (mine ^ theirs).bit_count()
+                    if differ <= m + n - 2 * least_overlap(m, n):
+                        key = (its, root) if its < root else (root, its)
+                        offers, pair = out.setdefault(key, {}), (sig, other) if sig < other else (other, sig)
+                        if pair not in offers:
+                            offers[pair], n_out = differ, n_out + 1
+                            if most and len(offers) > most:
+                                del offers[max(offers, key=lambda p: (offers[p], p))]
+                                n_out -= 1
+                held.append((n, sig, root, bits, size))
+            if n_out >= 200_000:
+                yield _pairs([p for offers in out.values() for p in offers])
+                out, n_out = {}, 0
+        if n_out:
+            yield _pairs([p for offers in out.values() for p in offers])
+    return run
+
+
+def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["x", "y"])
 
 
@@ -375,7 +406,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     join = Join(docs)
     links = join.first_round()
-    links = cut_lineage(links.unionByName(join.second_round(components(links))), "links")
+    for most in (LIKELIEST, None):
+        links = cut_lineage(links.unionByName(join.further_round(components(links), most)), "links")
     # Rows of one id with different texts are one document: their sets are linked through it.
     own = join.rows.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "sig").join(join.owners.select("sig", "low_id"), "sig")
     same = own.groupBy("doc_id").agg(F.min("sig").alias("x"), F.max("sig").alias("y"), F.count_distinct("sig").alias("k"))
@@ -390,6 +422,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.col("sig").alias("set_id"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input rows of the least id of each component, with all their columns; rows without an id or without
+    words are in no component and stay."""
+    found = jaccard_components(docs, id_col, text_col)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+
+
 def op1_ngram_jaccard(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -402,8 +442,8 @@ sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <
 sizes AS (SELECT doc_id, len(s) AS n FROM sets),
 classes AS (SELECT min(doc_id) OVER (PARTITION BY list_sort(s)) AS rep, doc_id FROM sets WHERE len(s) > 0),
 one AS (SELECT sets.doc_id, unnest(s) AS g FROM sets JOIN classes USING (doc_id) WHERE classes.rep = sets.doc_id),
-both AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM one a JOIN one b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
-links AS (SELECT x, y FROM both JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * k >= 80 * (p.n + q.n - k)),
+shares AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM one a JOIN one b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shares JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * k >= 80 * (p.n + q.n - k)),
 edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach(node, low) AS (SELECT doc_id, doc_id FROM classes WHERE rep = doc_id UNION SELECT e.y, r.low FROM reach r JOIN edges e ON e.x = r.node WHERE r.low < e.y),
 lows AS (SELECT node, min(low) AS low FROM reach GROUP BY node)
