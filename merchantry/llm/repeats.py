@@ -270,7 +270,8 @@ def removed_runs(docs: DataFrame) -> DataFrame:
     bodies = sent.where("body IS NOT NULL").select("anchor", "whole", "skip", "shard", "body", F.pmod(F.xxhash64("route"), F.lit(ranges_n)).alias("part"))
     merged = bodies.groupBy("part").applyInPandas(_repeated_windows, "anchor long, whole long, begin long, end long")
     runs = cut_lineage(merged.groupBy("anchor", "whole").agg(F.collect_list(F.struct("begin", "end")).alias("runs")), "merged")
-    judged = known.join(runs, ["anchor", "whole"], "left").where("twice OR runs IS NOT NULL")
+    # Stored, so that both sides of the next join are dealt out for it and a context found everywhere can be split.
+    judged = cut_lineage(known.join(runs, ["anchor", "whole"], "left").where("twice OR runs IS NOT NULL"), "judged")
     places = sent.where("body IS NULL").select("anchor", "whole", "id", "key", "lo", "hi").join(judged.select("anchor", "whole", "twice", "runs"), ["anchor", "whole"])
     whole = F.array(F.struct(F.col("lo").alias("begin"), F.col("hi").alias("end")))
     parts = F.transform("runs", lambda r: F.struct((r["begin"] + F.col("lo")).alias("begin"), (r["end"] + F.col("lo")).alias("end")))
