@@ -113,7 +113,7 @@ _YEAR_SUMS = ", ".join(
 @case("pivot_sum", f"SELECT zid, itemgroup, {_YEAR_SUMS} FROM f_sales GROUP BY zid, itemgroup")
 def pivot_sum(t: DriverTables) -> DataFrame:
     return aggregate.pivot_sum(t.sales(True, False), ["zid", "itemgroup"], F.col("year").cast("string"),
-                               [str(y) for y in YEARS], "totalsales")
+                               [str(y) for y in t.years], "totalsales")
 
 
 _YEAR_MEANS = ", ".join(
@@ -124,7 +124,7 @@ _YEAR_MEANS = ", ".join(
 @case("pivot_mean", f"SELECT zid, cusid, {_YEAR_MEANS} FROM f_sales GROUP BY zid, cusid")
 def pivot_mean(t: DriverTables) -> DataFrame:
     return aggregate.pivot_mean(t.sales(False, False), ["zid", "cusid"], F.col("year").cast("string"),
-                                [str(y) for y in YEARS], "quantity")
+                                [str(y) for y in t.years], "quantity")
 
 
 @case("row_total", """

@@ -12,50 +12,53 @@ from merchantry.sources import catalog, erp, extracts, schemas, sinks
 from merchantry.sources.driver_tables import LABELS, DriverTables
 
 
-@case("scan_sales", """
-    SELECT s.zid, s.voucher, s.date, s.year, s.month, s.spid, e.spname, s.cusid, c.cusname, c.cuscity AS area,
-           s.itemcode, i.itemname, i.itemgroup2 AS itemgroup, CAST(s.quantity AS DOUBLE) AS quantity,
-           CAST(s.totalsales AS DOUBLE) AS totalsales, CAST(s.cost AS DOUBLE) AS cost
-    FROM f_sales s JOIN f_employee e ON s.spid = e.spid AND s.zid = e.zid
-         JOIN f_customer c ON s.cusid = c.cusid AND s.zid = c.zid
-         JOIN f_item i ON s.itemcode = i.itemcode AND s.zid = i.zid""")
+def star_sql(fact: str, document: str, *figures: str) -> str:
+    """A fact view with the names its dimensions give it; rows without one of them drop out."""
+    amounts = ", ".join(f"{f}::DOUBLE AS {f}" for f in figures)
+    return f"""
+    WITH fact AS (SELECT * EXCLUDE (spname, cusname, area, itemname, itemgroup) FROM {fact})
+    SELECT zid, {document}, date, year, month, spid, spname, cusid, cusname, cuscity AS area, itemcode, itemname,
+           itemgroup2 AS itemgroup, {amounts}
+    FROM fact NATURAL JOIN (SELECT zid, cusid, cusname, cuscity FROM f_customer)
+         NATURAL JOIN (SELECT zid, spid, spname FROM f_employee)
+         NATURAL JOIN (SELECT zid, itemcode, itemname, itemgroup2 FROM f_item)"""
+
+
+@case("scan_sales", star_sql("f_sales", "voucher", "quantity", "totalsales", "cost"))
 def scan_sales(t: DriverTables) -> DataFrame:
     return prep.decimal_to_double(
         extracts.scan_sales(t.sales_table(), t.employees(), t.customers(), t.items()))
 
 
-@case("scan_returns", """
-    SELECT s.zid, s.revoucher, s.date, s.year, s.month, s.spid, e.spname, s.cusid, c.cusname, c.cuscity AS area,
-           s.itemcode, i.itemname, i.itemgroup2 AS itemgroup, CAST(s.returnqty AS DOUBLE) AS returnqty,
-           CAST(s.treturnamt AS DOUBLE) AS treturnamt, CAST(s.returncost AS DOUBLE) AS returncost
-    FROM f_return s JOIN f_employee e ON s.spid = e.spid AND s.zid = e.zid
-         JOIN f_customer c ON s.cusid = c.cusid AND s.zid = c.zid
-         JOIN f_item i ON s.itemcode = i.itemcode AND s.zid = i.zid""")
+@case("scan_returns", star_sql("f_return", "revoucher", "returnqty", "treturnamt", "returncost"))
 def scan_returns(t: DriverTables) -> DataFrame:
     return prep.decimal_to_double(
         extracts.scan_returns(t.return_table(), t.employees(), t.customers(), t.items()))
 
 
-@case("scan_purchase", """
-    WITH own AS (
-        SELECT p.zid, p.combinedate, p.povoucher, p.grnvoucher,
-               CASE WHEN i.packcode IS NOT NULL AND i.packcode <> '' AND i.packcode != 'NO' THEN i.packcode
-                    ELSE p.itemcode END AS itemcode,
-               i.itemname, p.shipmentname, CAST(p.quantity AS DOUBLE) AS quantity, CAST(p.cost AS DOUBLE) AS cost,
-               p.status, p.uuid
-        FROM f_purchase p JOIN f_item i ON p.itemcode = i.itemcode AND p.zid = i.zid
-        WHERE p.povoucher LIKE 'IP--%' AND p.status IN ('5-Received', '1-Open'))
-    SELECT * FROM own UNION ALL SELECT * REPLACE (CAST(100000 AS INTEGER) AS zid) FROM own WHERE zid = 100004""")
+#: The code an item is ordered under: its pack code if it has a real one.
+ORDER_CODE = "coalesce(nullif(nullif(packcode, ''), 'NO'), itemcode)"
+#: The code it is stocked under: as above, but packs that begin with KH keep the item's own code.
+STOCK_CODE = f"if(starts_with(coalesce(packcode, ''), 'KH'), itemcode, {ORDER_CODE})"
+
+
+@case("scan_purchase", f"""
+    WITH coded AS (
+        SELECT pu.* EXCLUDE (itemcode, itemname, quantity, cost), it.itemname, it.ordered_as AS itemcode,
+               pu.quantity::DOUBLE AS quantity, pu.cost::DOUBLE AS cost
+        FROM (SELECT zid, itemcode, itemname, {ORDER_CODE} AS ordered_as FROM f_item) it
+        JOIN f_purchase pu USING (zid, itemcode)),
+    owners AS (SELECT zid, zid AS shown_for FROM f_company UNION ALL SELECT 100004, 100000)
+    SELECT owners.shown_for AS zid, coded.* EXCLUDE (zid) FROM coded JOIN owners USING (zid)""")
 def scan_purchase(t: DriverTables) -> DataFrame:
     return prep.decimal_to_double(
         extracts.scan_purchase(t.purchases().drop("itemname"), t.items(), partners={100000: [100004]}))
 
 
 @case("scan_stock", """
-    SELECT zid, itemcode, itemname, itemgroup, CAST(stockqty AS DOUBLE) AS stockqty,
-           CAST(stockvalue AS DOUBLE) AS stockvalue
-    FROM (SELECT * FROM f_scan_stock
-          UNION ALL SELECT * REPLACE (CAST(100000 AS INTEGER) AS zid) FROM f_scan_stock WHERE zid = 100004)""")
+    WITH owners AS (SELECT zid, zid AS shown_for FROM f_company UNION ALL SELECT 100004, 100000)
+    SELECT shown_for AS zid, itemcode, itemname, itemgroup, stockqty::DOUBLE AS stockqty, stockvalue::DOUBLE AS stockvalue
+    FROM f_scan_stock JOIN owners USING (zid)""")
 def scan_stock(t: DriverTables) -> DataFrame:
     return prep.decimal_to_double(
         extracts.scan_stock(t.stock_table(), t.items(), partners={100000: [100004]}))
@@ -67,12 +70,7 @@ def scan_stock_value(t: DriverTables) -> DataFrame:
     return prep.decimal_to_double(extracts.scan_stock_value(t.stock_value_table()))
 
 
-@case("packcode_remap", """
-    SELECT zid, itemcode,
-           CASE WHEN packcode IS NOT NULL AND packcode <> '' AND packcode != 'NO' THEN packcode ELSE itemcode END AS ordered_as,
-           CASE WHEN packcode IS NOT NULL AND packcode <> '' AND packcode != 'NO' AND left(packcode, 2) != 'KH'
-                THEN packcode ELSE itemcode END AS stocked_as
-    FROM f_item""")
+@case("packcode_remap", f"SELECT zid, itemcode, {ORDER_CODE} AS ordered_as, {STOCK_CODE} AS stocked_as FROM f_item")
 def packcode_remap(t: DriverTables) -> DataFrame:
     from merchantry.functions import codes
     pack, item = F.col("packcode"), F.col("itemcode")
@@ -160,39 +158,42 @@ for _key, (_table, _sql) in MASTERS.items():
 
 
 @case("etl_purchase", """
-    SELECT d.ztime AS itime, d.zutime AS utime, o.zid, COALESCE(g.xdate, o.xdate) AS combinedate,
-           o.xpornum AS povoucher, g.xgrnnum AS grnvoucher, d.xitem AS itemcode, o.xcounterno AS shipmentname,
-           CAST(d.xqtyord AS DOUBLE) AS quantity, CAST(d.xrate AS DOUBLE) AS cost, o.xstatuspor AS status
-    FROM f_poord o JOIN f_poodt d ON o.xpornum = d.xpornum AND o.zid = d.zid
-         LEFT JOIN f_pogrn g ON o.xpornum = g.xpornum AND o.zid = g.zid
-    WHERE o.xstatuspor IN ('5-Received', '1-Open')""")
+    WITH wanted AS (SELECT zid, xpornum, xdate AS ordered_on, xcounterno, xstatuspor FROM f_poord
+                    WHERE list_contains(['1-Open', '5-Received'], xstatuspor)),
+         receipt AS (SELECT zid, xpornum, xgrnnum, xdate AS received_on FROM f_pogrn)
+    SELECT zid, ztime AS itime, zutime AS utime, xpornum AS povoucher, xgrnnum AS grnvoucher, xitem AS itemcode,
+           xcounterno AS shipmentname, xstatuspor AS status, ifnull(received_on, ordered_on) AS combinedate,
+           xqtyord::DOUBLE AS quantity, xrate::DOUBLE AS cost
+    FROM f_poodt JOIN wanted USING (zid, xpornum) LEFT JOIN receipt USING (zid, xpornum)""")
 def etl_purchase(t: DriverTables) -> DataFrame:
     return prep.decimal_to_double(erp.etl_purchase(t.poord(), t.poodt(), t.pogrn()))
 
 
-@case("etl_sales", """
-    SELECT d.ztime AS itime, d.zutime AS utime, d.zid, o.xdornum AS ordernumber, o.xdate AS date, o.xsp AS sp_id,
-           o.xcus AS cusid, d.xitem AS itemcode, CAST(sum(d.xqty) AS DOUBLE) AS quantity,
-           CAST(sum(d.xlineamt) AS DOUBLE) AS totalsales, CAST(sum(m.xval) AS DOUBLE) AS cost
-    FROM f_opdor o LEFT JOIN f_opddt d ON o.xdornum = d.xdornum AND o.zid = d.zid
-         LEFT JOIN f_movement m ON o.xdornum = m.xdocnum AND d.xdornum = m.xdocnum AND d.xitem = m.xitem
-              AND d.zid = m.zid AND o.zid = m.zid
-    GROUP BY d.ztime, d.zutime, o.ztime, o.zutime, m.ztime, m.zutime, d.zid, o.zid, m.zid, o.xdornum, d.xdornum,
-             m.xdocnum, o.xdate, o.xsp, o.xcus, d.xitem""")
+def document_sql(heads: str, lines: str, number: str, names: str, moved: str, whole: str) -> str:
+    """Document x item figures: lines and movements are summed before they meet, and what meets several rows of
+    the other side counts once for each of them."""
+    return f"""
+    WITH head AS (SELECT *, count(*) AS heads FROM {heads} GROUP BY ALL),
+    line AS (SELECT zid, {number}, xitem, ztime, zutime, sum(xqty)::DOUBLE AS qty, sum(xlineamt)::DOUBLE AS amount, count(*) AS n
+             FROM {lines} GROUP BY ALL),
+    move AS (SELECT zid, xdocnum AS {number}, xitem, ztime AS moved_at, zutime AS corrected_at, sum(xval)::DOUBLE AS val,
+                    count(*) AS moves FROM f_movement GROUP BY ALL)
+    SELECT {names.format(times="heads * ifnull(moves, 1)")}
+    FROM head {whole} JOIN line ON (line.zid, line.{number}) = (head.zid, head.{number})
+    {moved} JOIN move ON (move.zid, move.{number}, move.xitem) = (line.zid, line.{number}, line.xitem)"""
+
+
+@case("etl_sales", document_sql("f_opdor", "f_opddt", "xdornum", """line.zid, head.xdornum AS ordernumber,
+           line.xitem AS itemcode, xcus AS cusid, xsp AS sp_id, xdate AS date, line.ztime AS itime, line.zutime AS utime,
+           qty * {times} AS quantity, amount * {times} AS totalsales, val * n * heads AS cost""", "LEFT", "LEFT"))
 def etl_sales(t: DriverTables) -> DataFrame:
     rows = erp.etl_sales(t.opdor(), t.opddt(), t.movements()).drop(*erp.TRAILING_TIMES)
     return prep.decimal_to_double(rows)
 
 
-@case("etl_return", """
-    SELECT d.ztime AS itime, d.zutime AS utime, d.zid, o.xcrnnum AS revoucher, o.xdate AS date, o.xcus AS cusid,
-           o.xemp AS sp_id, d.xitem AS itemcode, CAST(sum(d.xqty) AS DOUBLE) AS returnqty,
-           CAST(sum(d.xlineamt) AS DOUBLE) AS treturnamt, CAST(sum(m.xval) AS DOUBLE) AS returncost
-    FROM f_opcrn o INNER JOIN f_opcdt d ON o.xcrnnum = d.xcrnnum AND o.zid = d.zid
-         INNER JOIN f_movement m ON o.xcrnnum = m.xdocnum AND d.xcrnnum = m.xdocnum AND d.xitem = m.xitem
-               AND d.zid = m.zid AND o.zid = m.zid
-    GROUP BY d.ztime, d.zutime, o.ztime, o.zutime, m.ztime, m.zutime, d.zid, o.zid, m.zid, o.xcrnnum, d.xcrnnum,
-             m.xdocnum, o.xdate, o.xcus, o.xemp, d.xitem""")
+@case("etl_return", document_sql("f_opcrn", "f_opcdt", "xcrnnum", """line.zid, head.xcrnnum AS revoucher,
+           line.xitem AS itemcode, xcus AS cusid, xemp AS sp_id, xdate AS date, line.ztime AS itime, line.zutime AS utime,
+           qty * {times} AS returnqty, amount * {times} AS treturnamt, val * n * heads AS returncost""", "", ""))
 def etl_return(t: DriverTables) -> DataFrame:
     rows = erp.etl_return(t.opcrn(), t.opcdt(), t.movements()).drop(*erp.TRAILING_TIMES)
     return prep.decimal_to_double(rows)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 
 from merchantry.cases import case
@@ -64,7 +66,7 @@ _WIDE = ", ".join(
     SELECT zid, area, {_WIDE}, grand_total FROM ({net_sql(["area"], PERIOD)}) GROUP BY zid, area, grand_total""")
 def net_pivot(t: DriverTables) -> DataFrame:
     long = netting.net_by_period(t.sales(False, False), t.returns(False, False), ["area"])
-    return netting.net_wide(long, ["area"], [(y, m) for y in YEARS for m in range(1, 13)])
+    return netting.net_wide(long, ["area"], [(y, m) for y in t.years for m in range(1, 13)])
 
 
 @case("yoy_pivots", f"""
@@ -73,11 +75,12 @@ def net_pivot(t: DriverTables) -> DataFrame:
 def yoy_pivots(t: DriverTables) -> DataFrame:
     long = netting.net_by_period(
         prep.derive_margin(t.sales(True, False)), t.returns(True, False), ["itemgroup"], "gross_margin", "treturnamt")
-    return netting.net_wide(long, ["itemgroup"], [(y, m) for y in YEARS for m in range(1, 13)], month_major=True)
+    return netting.net_wide(long, ["itemgroup"], [(y, m) for y in t.years for m in range(1, 13)], month_major=True)
 
 
-for _rows, _columns in [("salesman", "customer"), ("customer", "product"), ("product", "area"),
-                        ("product_group", "salesman"), ("area", "product_group")]:
+for _rows, _columns in itertools.permutations(netting.DIMENSIONS, 2):
+    if (_rows, _columns) == ("salesman", "area"):
+        continue  # registered as cross_relation
     def _cross(t: DriverTables, rows: str = _rows, columns: str = _columns) -> DataFrame:
         items = "product" in rows or "product" in columns
         people = "salesman" in (rows, columns)
@@ -122,7 +125,7 @@ _BY_YEAR = ", ".join(f"sum(CASE WHEN year = {y} THEN net_sales END) AS y{y}" for
 @case("yoy_series", f"""
     SELECT zid, month, {_BY_YEAR} FROM ({month_sql('totalsales', 'treturnamt')}) GROUP BY zid, month""")
 def yoy_series(t: DriverTables) -> DataFrame:
-    return netting.yoy_series(t.sales(False, False), t.returns(False, False), YEARS)
+    return netting.yoy_series(t.sales(False, False), t.returns(False, False), t.years)
 
 
 @case("yoy_series_margin", f"""

@@ -75,7 +75,7 @@ _PERIODS = [f"{y}-{m:02d}" for y in range(1995, 2002) for m in range(1, 13)]
     + f" FROM ({_RATIO_SQL}) GROUP BY zid, ratio")
 def pivot_first(t: DriverTables) -> DataFrame:
     ratios = sales_reports.sales_ratios(t.sales(False, False), t.returns(False, False))
-    return sales_reports.ratios_wide(ratios, _PERIODS)
+    return sales_reports.ratios_wide(ratios, [f"{y}-{m:02d}" for y in t.years for m in range(1, 13)])
 
 
 _GRAINS = """
@@ -164,7 +164,29 @@ DISTRIBUTION_CASES = {
     "distribution_quantity_counts": (
         "Quantity", "Counts", _entity("f_sales", "CAST(quantity AS DOUBLE)", "count(*)")),
 }
-for _key, (_column, _metric, _sql) in DISTRIBUTION_CASES.items():
+_AMOUNTS = {"Sales": "totalsales", "Returns": "treturnamt", "Margin": "gross_margin", "Cost": "cost", "Quantity": "quantity"}
+
+
+def _further_distributions() -> dict[str, tuple[str, str, str]]:
+    """The pairs of column and metric that are not listed above."""
+    listed = {(c, m) for c, m, _ in DISTRIBUTION_CASES.values()}
+    out = {}
+    for column, metrics in sales_reports.DISTRIBUTIONS.items():
+        for metric in metrics:
+            view = "f_return" if "Returns" in (column, metric) else "f_sales"
+            entity = {"Customer": "cusid", "Products": "itemcode"}.get(column)
+            if entity:
+                sql = _entity(view, entity, f"sum({_AMOUNTS.get(metric)})")
+            elif metric == "Counts":
+                sql = _entity(view, f"CAST({_AMOUNTS[column]} AS DOUBLE)", "count(*)")
+            else:
+                sql = _entity(view, "revoucher" if view == "f_return" else "voucher", f"sum({_AMOUNTS[column]})")
+            if (column, metric) not in listed:
+                out[f"distribution_{column}_{metric}".lower()] = (column, metric, sql)
+    return out
+
+
+for _key, (_column, _metric, _sql) in (DISTRIBUTION_CASES | _further_distributions()).items():
     case(_key, _sql)(lambda t, column=_column, metric=_metric: distribution_of(t, column, metric))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from merchantry.cases import case
 from merchantry.cases.ledger_cases import SUPPLIERS, ledger
 from merchantry.operators import ordered, prep
-from merchantry.operators.sizing import known_small
+from merchantry.operators.figures import stored_figure
 from merchantry.plans import statements as st
 from merchantry.session import cut_lineage
 from merchantry.sources import extracts
@@ -26,7 +26,7 @@ class Ledger:
         self.t = t
         # Account totals are far fewer than journal lines; every statement reads these.
         self.rollup = cut_lineage(extracts.gl_rollup(*ledger(t), start_month=1, end_month=12, years=years))
-        self.projects = known_small(t.gl_details().select("zid", "project").distinct())
+        self.projects = stored_figure(t.gl_details().select("zid", "project").distinct())
 
     def part(self, kind: str) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, str]]:
         excluded = extracts.INCOME_TYPES if kind == "balance" else extracts.BALANCE_TYPES

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from merchantry.functions import numeric
 from merchantry.operators.prep import decimal_to_double, require_keys
-from merchantry.operators.sizing import known_small
+from merchantry.operators.figures import stored_figure
 
 
 def sum_by(df: DataFrame, keys: Sequence[str], value: str, name: str | None = None) -> DataFrame:
@@ -59,7 +59,7 @@ def quantiles_by(df: DataFrame, keys: Sequence[str], value: str, quantiles: dict
         )
         for i, (name, q) in enumerate(quantiles.items())
     ])
-    targets = known_small(sketch.select(*keys, "n", F.inline(wanted)))
+    targets = stored_figure(sketch.select(*keys, "n", F.inline(wanted)))
     counted = facts.groupBy(*keys, "v").agg(F.count("*").alias("copies"))
     matched = counted.join(targets, list(keys)).filter(F.col("v") <= F.col("hi"))
     # Values below the bracket only matter as a count; the partial sum absorbs them.

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merchantry.functions import calendar, codes, numeric
-from merchantry.operators.sizing import known_small
+from merchantry.operators.figures import stored_figure
 
 # The page filters, in the order they are applied.
 CASCADE = ["year", "month", "spid", "cusid", "itemcode", "area", "itemgroup"]
@@ -41,7 +41,7 @@ def cascading_filters(
 
 def latest_years(df: DataFrame, years: int = 2) -> DataFrame:
     """Per company: rows of the last ``years`` calendar years present in df."""
-    last = known_small(df.groupBy("zid").agg(F.max("year").alias("last_year")))
+    last = stored_figure(df.groupBy("zid").agg(F.max("year").alias("last_year")))
     return (
         df.join(last, "zid")
         .filter(F.col("year").between(F.col("last_year") - (years - 1), F.col("last_year")))
@@ -95,9 +95,13 @@ def trailing_window(sales: DataFrame, purchases: DataFrame, years: int) -> tuple
 
     A receipt also needs its voucher and its date.
     """
-    cutoff = known_small(
+    cutoff = stored_figure(
         sales.groupBy("zid").agg(F.date_sub(F.max("date"), 365 * years).alias("cutoff"))
     )
+    # The least cutoff of all companies reaches the scans as a literal; each company's own follows by the join.
+    least = cutoff.agg(F.min("cutoff")).first()[0]
+    if least is not None:
+        sales, purchases = sales.filter(F.col("date") > F.lit(least)), purchases.filter(F.col("combinedate") > F.lit(least))
     recent_sales = sales.join(cutoff, "zid").filter(F.col("date") > F.col("cutoff")).drop("cutoff")
     received = (
         purchases.filter(F.col("grnvoucher").isNotNull() & F.col("combinedate").isNotNull())

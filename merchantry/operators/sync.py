@@ -25,20 +25,21 @@ def watermarks(tables: Mapping[str, DataFrame]) -> DataFrame:
     return result
 
 
-def changed_since(df: DataFrame, itime: datetime | None, utime: datetime | None) -> DataFrame:
-    """Rows inserted or updated after the watermark; no watermark means a first sync of all rows."""
+def changed_since(df: DataFrame, itime: datetime | None, utime: datetime | None, inclusive: bool = False) -> DataFrame:
+    """Rows inserted or updated after the watermark, or at it if inclusive; no watermark means a first sync of all rows."""
     marks = {name: at for name, at in (("itime", itime), ("utime", utime)) if at is not None}
     if not marks:
         return df
-    later = [F.col(n) > F.lit(str(at)).cast(df.schema[n].dataType) for n, at in marks.items()]
+    ends = {n: F.lit(str(at)).cast(df.schema[n].dataType) for n, at in marks.items()}
+    later = [F.col(n) >= end if inclusive else F.col(n) > end for n, end in ends.items()]
     return df.filter(reduce(lambda a, b: a | b, later))
 
 
-def incremental_extract(source: DataFrame, target: DataFrame) -> DataFrame:
+def incremental_extract(source: DataFrame, target: DataFrame, inclusive: bool = False) -> DataFrame:
     """Source rows past the target's watermark. The watermark is one row, read first, so the
     comparison reaches the source scan as a plain pushed-down predicate."""
     mark = target.agg(F.max("itime").alias("itime"), F.max("utime").alias("utime")).first()
-    return changed_since(source, mark["itime"], mark["utime"])
+    return changed_since(source, mark["itime"], mark["utime"], inclusive)
 
 
 def missing_rows(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -71,9 +72,10 @@ def append(target: DataFrame, changes: DataFrame) -> DataFrame:
 def synchronise(source: DataFrame, target: DataFrame, keys: Sequence[str], mode: str = "merge") -> DataFrame:
     """One sync run: rows past the watermark, plus rows whose key never arrived.
 
-    Keys past the watermark and keys that are missing overlap; each row is taken once.
+    Keys past the watermark and keys that are missing overlap; each row is taken once. Merging
+    also takes rows at the watermark itself, as another change may have come at that very time.
     """
-    fresh = incremental_extract(source, target)
+    fresh = incremental_extract(source, target, mode == "merge")
     late = missing_rows(missing_rows(source, target, keys), fresh, keys)
     changes = fresh.unionByName(late)
     return merge_latest(target, changes, keys) if mode == "merge" else append(target, changes)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from merchantry.functions import numeric
 from merchantry.operators.ordered import top_k_per_group
 from merchantry.operators.prep import decimal_to_double, require_keys
-from merchantry.operators.sizing import known_small
+from merchantry.operators.figures import stored_figure
 from merchantry.session import cut_lineage
 
 TOP = 5
@@ -121,7 +121,7 @@ def top_associates(presence: DataFrame, max_paired_items: int = MAX_PAIRED_ITEMS
     universe = item_counts(presence)
     first_codes = top_k_per_group(
         universe.select("zid", F.col("itemcode").alias("other")), ["zid"], [F.asc("other")], top + 1)
-    fill_lists = known_small(first_codes.groupBy("zid").agg(F.sort_array(F.collect_list("other")).alias("others")))
+    fill_lists = stored_figure(first_codes.groupBy("zid").agg(F.sort_array(F.collect_list("other")).alias("others")))
     filling = universe.filter("vouchers > 0").join(fill_lists, "zid").select(
         "zid", "itemcode", F.explode("others").alias("other"), F.lit(0).cast("long").alias("shared"))
     candidates = (

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from merchantry.functions import calendar, numeric
 from merchantry.operators.ordered import first_per_key, latest_per_key, seasonal_mean
 from merchantry.operators.prep import PLANNED_ITEM_GROUPS, item_group_filter, require_keys
-from merchantry.operators.sizing import known_small
+from merchantry.operators.figures import stored_figure
 
 WEEKS = list(range(1, calendar.COHORT_WEEKS + 1))
 WEEK_COLUMNS = [f"week_{k}" for k in WEEKS]
@@ -158,7 +158,7 @@ def _requisition_base(cohort: DataFrame, orders: DataFrame, stock: DataFrame, sa
         .join(latest_cohort(cohort), item, "left")
         .join(on_order, item, "left")
         .join(seasonal_mean(sales), item, "left")
-        .join(known_small(shipment_calendar(orders)), "zid", "left")
+        .join(stored_figure(shipment_calendar(orders)), "zid", "left")
         .fillna(0, ["n_mean", "cost", "average_sales_price", "quantity", *WEEK_COLUMNS[:4]])
         .withColumns({
             "on_order": F.coalesce("on_order", F.create_map().cast("map<string,double>")),

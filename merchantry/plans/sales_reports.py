@@ -11,7 +11,7 @@ from merchantry.functions import calendar, numeric
 from merchantry.operators import aggregate
 from merchantry.operators.netting import PERIOD
 from merchantry.operators.prep import decimal_to_double, require_keys
-from merchantry.operators.sizing import known_small
+from merchantry.operators.figures import stored_figure
 from merchantry.session import cut_lineage
 
 
@@ -195,7 +195,7 @@ def histogram_bins(values: DataFrame, include_outliers: bool = False) -> DataFra
     values = cut_lineage(values.select("zid", "value"))
     span = values.groupBy("zid").agg(F.min("value").alias("low"), F.max("value").alias("high"))
     width = F.greatest((F.col("high") - F.col("low")) / 100, F.lit(1.0)).cast("long")
-    edges = known_small(
+    edges = stored_figure(
         span.withColumn("width", width)
         .withColumn("stop", F.col("high").cast("long") + F.col("width"))
         # edges 0, w, 2w ... below stop leave ceil(stop / w) - 1 bins

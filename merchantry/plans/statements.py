@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from merchantry.functions import calendar, numeric
 from merchantry.operators.ordered import cumulative_by_month, period_diff, previous_value
-from merchantry.operators.sizing import known_small
+from merchantry.operators.figures import stored_figure
 from merchantry.session import cut_lineage
 from merchantry.sources.extracts import ACCOUNT_COLUMNS
 
@@ -102,7 +102,7 @@ def label_accounts(accounts: DataFrame, labels: Mapping[str, str]) -> DataFrame:
 
 def account_grid(accounts: DataFrame, projects: DataFrame, periods: Sequence[str]) -> DataFrame:
     """Every account of a company, for each of its projects and each period."""
-    per_company = known_small(projects.groupBy("zid").agg(F.sort_array(F.collect_set("project")).alias("projects")))
+    per_company = stored_figure(projects.groupBy("zid").agg(F.sort_array(F.collect_set("project")).alias("projects")))
     return (
         accounts.join(per_company, "zid").withColumn("project", F.explode("projects")).drop("projects")
         .withColumn("period", F.explode(F.array(*[F.lit(p) for p in periods])))

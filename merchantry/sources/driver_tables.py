@@ -6,7 +6,7 @@ common table expressions for the SQL side of the checks.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +72,17 @@ class DriverTables:
     def companies(self) -> DataFrame:
         return self.raw("region").select((F.col("r_regionkey") + FIRST_COMPANY).alias("zid"))
 
+    @cached_property
+    def company_ids(self) -> list[int]:
+        return sorted(row["zid"] for row in self.companies().collect())
+
+    @cached_property
+    def years(self) -> list[int]:
+        """The years from the first to the last order or shipment."""
+        ends = self.raw("orders").select(F.year("o_orderdate").alias("y")).unionByName(
+            self.raw("lineitem").select(F.year("l_shipdate").alias("y"))).agg(F.min("y").alias("a"), F.max("y").alias("b")).first()
+        return list(range(ends["a"], ends["b"] + 1)) if ends["a"] is not None else []
+
     def orders(self) -> DataFrame:
         """Order heads with company, customer and area."""
         nations = self.raw("nation").select("n_nationkey", "n_regionkey", "n_name")
@@ -181,8 +192,8 @@ class DriverTables:
         return self._per_company(people)
 
     def _per_company(self, df: DataFrame) -> DataFrame:
-        """Every row once per company: the company ids are five values read with the plan."""
-        ids = F.array(*[F.lit(FIRST_COMPANY + i) for i in range(5)])
+        """Every row once per company of the region table, whose keys are read with the plan."""
+        ids = F.array(*[F.lit(zid) for zid in self.company_ids])
         return df.select(F.explode(ids).alias("zid"), *df.columns)
 
     def customers(self) -> DataFrame:
@@ -369,9 +380,13 @@ class DriverTables:
         return self.sync_rows(self.raw("orders"))
 
     def sync_target(self) -> DataFrame:
-        """What an earlier run had brought over, with some vouchers lost on the way."""
-        early = F.col("itime") <= F.lit("2000-01-01 00:00:00").cast("timestamp_ntz")
-        return self.sync_source().filter(early & (F.col("o_orderkey") % 97 != 0))
+        """What a run on the first day of 2000 had brought over, with some vouchers lost on the way; rows updated
+        since are still in their older version."""
+        day = F.lit("2000-01-01 00:00:00").cast("timestamp_ntz")
+        later = F.coalesce(F.col("utime") > day, F.lit(False))
+        return self.sync_source().filter((F.col("itime") <= day) & (F.col("o_orderkey") % 97 != 0)).withColumns({
+            "o_orderstatus": F.when(later, F.lit("X")).otherwise(F.col("o_orderstatus")),
+            "utime": F.when(~later, F.col("utime"))})
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

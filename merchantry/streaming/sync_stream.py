@@ -6,10 +6,12 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from merchantry.operators.ordered import latest_per_key
 
 BATCH = "sync_batch"
+AT = "sync_changed_at"
 
 
 def landed(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -24,9 +26,9 @@ def write_changes(stream: DataFrame, folder: str, keys: Sequence[str]):
     driver neither drops nor repeats a change.
     """
     def write(batch: DataFrame, number: int) -> None:
-        timed = batch.withColumn("_at", F.greatest(F.col("itime"), F.col("utime")))
-        order = ["_at", *[c for c in batch.columns if c not in keys]]
-        newest = latest_per_key(timed, keys, order).drop("_at")
+        timed = batch.withColumn(AT, F.greatest(F.col("itime"), F.col("utime")))
+        order = [AT, *[c for c in batch.columns if c not in keys]]
+        newest = latest_per_key(timed, keys, order)
         newest.write.mode("overwrite").parquet(f"{folder}/changes/{BATCH}={number}")
 
     return (
@@ -36,17 +38,22 @@ def write_changes(stream: DataFrame, folder: str, keys: Sequence[str]):
     )
 
 
-def current_rows(spark: SparkSession, folder: str, keys: Sequence[str]) -> DataFrame:
-    """The table as of now: for each key the version of the latest batch."""
-    changes = spark.read.parquet(f"{folder}/changes")
-    order = [BATCH, *[c for c in changes.columns if c not in (*keys, BATCH)]]
-    return latest_per_key(changes, keys, order).drop(BATCH)
+def current_rows(spark: SparkSession, folder: str, keys: Sequence[str], schema) -> DataFrame:
+    """The table as of now: for each key the version changed last; of versions changed at one time the one that
+    landed last. A file that lands late does not bring an older version back."""
+    columns = [f.name for f in schema.fields]
+    stored = StructType([*schema.fields, StructField(AT, schema["itime"].dataType), StructField(BATCH, LongType())])
+    changes = spark.read.schema(stored).parquet(f"{folder}/changes")
+    order = [AT, BATCH, *[c for c in columns if c not in keys]]
+    return latest_per_key(changes, keys, order).select(columns)
 
 
 def run_available(spark: SparkSession, path: str, schema, folder: str, keys: Sequence[str],
                   shape: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Take in everything that has landed and return the table. ``shape`` turns landed rows
     into rows of the table."""
-    stream = landed(spark, path, schema)
-    write_changes(shape(stream), folder, keys).awaitTermination()
-    return current_rows(spark, folder, keys)
+    rows = shape(spark.createDataFrame([], schema))
+    # A first, empty batch: the table can be read before anything has landed.
+    rows.withColumn(AT, F.greatest(F.col("itime"), F.col("utime"))).write.mode("ignore").parquet(f"{folder}/changes/{BATCH}=-1")
+    write_changes(shape(landed(spark, path, schema)), folder, keys).awaitTermination()
+    return current_rows(spark, folder, keys, rows.schema)

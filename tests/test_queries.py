@@ -5,11 +5,13 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from merchantry import cases
 from tests.oracle import DATA, compare, connect
 
 SF = str(DATA / "sf0.001")
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+KEYS = set(cases.load())
+QUERIES = {key: run for key, run in entry.queries().items() if key in KEYS}
+ORACLE = {key: sql for key, sql in entry.oracle_sql().items() if key in KEYS}
 
 
 @pytest.fixture(scope="module")

@@ -131,3 +131,32 @@ def test_stream_takes_in_new_files_and_survives_a_restart(spark, tmp_path):
     assert run() == {(1, "a2"), (2, "b")}
     sync_rows(spark, [(2, "b2", 2, 9), (3, "c", 9, None)]).coalesce(1).write.mode("append").parquet(landing)
     assert run() == {(1, "a2"), (2, "b2"), (3, "c")}
+
+
+def test_a_late_file_does_not_bring_an_older_version_back(spark, tmp_path):
+    landing, folder = f"{tmp_path}/landing", f"{tmp_path}/state"
+    rows = sync_rows(spark, [(1, "new", 1, 9)])
+    run = lambda: {(r["k"], r["v"]) for r in sync_stream.run_available(
+        spark, landing, rows.schema, folder, ["k", "j"], lambda df: df).collect()}
+    rows.limit(0).write.parquet(landing)
+    assert run() == set()
+    rows.coalesce(1).write.mode("append").parquet(landing)
+    assert run() == {(1, "new")}
+    sync_rows(spark, [(1, "old", 1, 3), (2, "b", 2, None)]).coalesce(1).write.mode("append").parquet(landing)
+    assert run() == {(1, "new"), (2, "b")}
+
+
+def test_merge_takes_changes_at_the_watermark(spark):
+    target = sync_rows(spark, [(1, "a", 1, 5), (2, "b", 1, 5)])
+    source = sync_rows(spark, [(1, "a", 1, 5), (2, "b2", 1, 5)])
+    assert {(r["k"], r["v"]) for r in sync.synchronise(source, target, ["k", "j"]).collect()} == {(1, "a"), (2, "b2")}
+
+
+def test_every_company_of_the_region_table_has_all_items(spark, tmp_path):
+    from merchantry.sources.driver_tables import SCHEMAS, DriverTables
+    for name in ("region", "part"):
+        spark.read.schema(SCHEMAS[name]).parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.createDataFrame([(7, "x"), (9, "y")], SCHEMAS["region"]).write.mode("append").parquet(f"{tmp_path}/region.parquet")
+    t = DriverTables(spark, str(tmp_path))
+    parts = t.raw("part").count()
+    assert {r["zid"]: r["count"] for r in t.items().groupBy("zid").count().collect()} == {z: parts for z in [*range(100000, 100005), 100007, 100009]}
