@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -31,6 +34,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tidied(run):
+    """A function over Arrow batches that gives freed memory back when its task ends: Python workers live on
+    from stage to stage, beside an executor that needs the room."""
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+    return wrapped
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A fixed bijection of 64-bit values that spreads every bit."""
     x = x.astype(np.uint64, copy=True)
@@ -79,6 +97,7 @@ class KeyFilter:
             bits *= 2
         segment = min(SEGMENT_BYTES, bits // 8)
 
+        @tidied
         def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = np.zeros(bits, np.bool_)
             for batch in batches:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from merchantry.llm.common import KeyFilter, mix64, table
+from merchantry.llm.common import KeyFilter, mix64, table, tidied
 from merchantry.session import cut_lineage
 
 #: Digests to a filter; the number of buckets follows from it.
@@ -152,6 +152,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Texts of groups with several rows: those whose digest a small filter may hold, then the exact join.
     held = KeyFilter.of(shared.select(_key(F.col("digest")).alias("key")), "key", shared.count())
 
+    @tidied
     def maybe(batches):
         for batch in batches:
             hit = held.test(batch.column("key").to_numpy())

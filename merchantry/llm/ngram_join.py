@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merchantry.llm.common import KeyFilter, mix64, table, text_bytes
+from merchantry.llm.common import KeyFilter, mix64, table, text_bytes, tidied
 from merchantry.llm.components import components
 from merchantry.llm.rolling import words_by_row
 from merchantry.session import cut_lineage
@@ -37,6 +37,7 @@ BLOCK_SHINGLES, LEAST_REPEATS = 4_000_000, 4
 COMMON, MOST_COMMON = 64, 1_000_000
 #: Prefix entries to a range of hashes.
 RANGE_ENTRIES, LEAST_RANGES = 150_000, 1024
+HELD_ENTRIES = 500_000
 #: A common shingle's entries are dealt to so many groups in the first round.
 SALTS = 64
 #: Neighbours of an entry in the first round; shingles of no more than one set above that are done then.
@@ -115,6 +116,7 @@ def in_order(own: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 def common_shingles(docs: DataFrame) -> np.ndarray:
     """Shingles that repeat within the blocks of the tasks, at most MOST_COMMON of them, ascending."""
+    @tidied
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
@@ -140,6 +142,7 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
 def sets(docs: DataFrame, common) -> DataFrame:
     """(doc_id, n, sig, prefix, sketch); prefix and sketch once per set and task."""
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -161,6 +164,7 @@ def sets(docs: DataFrame, common) -> DataFrame:
 
 def _entries(ranges_n: int, common):
     """Packed (hash, sig, n) of all prefixes by range of the hash; those of common shingles dealt further."""
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
@@ -180,7 +184,7 @@ def _entries(ranges_n: int, common):
                 hashes = np.frombuffer(prefix, np.uint64)
                 held.append(np.stack([hashes, np.full(len(hashes), sig).view(np.uint64), np.full(len(hashes), size, np.uint64)]))
                 n += len(hashes)
-            if n >= 1_000_000:
+            if n >= HELD_ENTRIES:
                 yield packed()
                 held, n = [], 0
         if n:
@@ -261,6 +265,7 @@ class Trie:
         return found
 
 
+@tidied
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (x, y, body) sorted by x: y null brings the set of x, the others the sets of its partners."""
     x, probe, ys, held = None, None, [], []
@@ -308,6 +313,7 @@ class Join:
         """Pairs (x, y) of sets that sizes and sketches leave."""
         a, b = (self.sketches.select(F.col("sig").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "xy")
 
+        @tidied
         def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 fine = [may_link(*v) for v in zip(*(batch.column(k).to_pylist() for k in ("nx", "ny", "sx", "sy")), strict=True)]
@@ -323,6 +329,7 @@ class Join:
         n = needed.count()
         by_id, by_sig, common = KeyFilter.of(needed, "low_id", n), KeyFilter.of(needed, "sig", n), self.common
 
+        @tidied
         def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 batch = batch.filter(pa.array(by_id.test(batch.column("doc_id").fill_null(0).to_numpy()), pa.bool_()))
@@ -356,6 +363,7 @@ class Join:
 def _across(most: int | None):
     """Pairs of different components within each shingle that sizes and sketches leave. Rows come by shingle and
     ascending size, so a row meets those before it whose size is in reach."""
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, held, at, out, n_out = None, [], 0, {}, 0
         for batch in batches:

@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from merchantry.llm.common import table
+from merchantry.llm.common import table, tidied
 from merchantry.session import cut_lineage
 
 SEQUENCE = 2048
-#: Entries that a worker keeps of each table, in two halves.
-MOST_CACHED = 1_200_000
+#: Entries that a worker keeps, in two halves: of the words, and half as many of their parts.
+MOST_CACHED = 700_000
 
 
 class TwoHalves(dict):
@@ -70,7 +70,7 @@ class WordTable:
         splits = [x["pattern"]["Regex"] for x in made["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"]
         self.cut = regex.compile(splits[0])
         self.special = [x["content"] for x in made["added_tokens"]]
-        self.words, self.others, self.parts = (TwoHalves(MOST_CACHED) for _ in range(3))
+        self.words, self.others, self.parts = TwoHalves(MOST_CACHED), TwoHalves(MOST_CACHED // 4), TwoHalves(MOST_CACHED // 2)
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
     def _part(self, part: str) -> bytes:
@@ -113,6 +113,7 @@ def _table_of(path: str) -> WordTable:
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, most: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, part, place): the ids of each document and end_id, cut
     where longer than a sequence. place counts the pieces of one length within their task's part."""
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, seen = _table_of(tokenizer), TaskContext.get().partitionId(), np.zeros(most + 1, np.int64)
         end, wide = np.array([end_id], "<u4").tobytes(), 4 * most
@@ -222,6 +223,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, most: i
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ranks = by_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
 
+    @tidied
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = runs[:, 0] << 48 | runs[:, 1]
         for batch in batches:

@@ -18,7 +18,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merchantry.llm.common import table
+from merchantry.llm.common import table, tidied
 
 MARK = "▁"
 MOST_CACHED = 500_000
@@ -114,6 +114,7 @@ def encoded(docs: DataFrame, model: str | None = None, with_ids: bool = False, i
     are not looked at; an empty table gives an empty result."""
     model = model or public_tokenizers.path("piece_bpe_32k.model")
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _table_of(model)
         for batch in batches:

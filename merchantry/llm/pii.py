@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merchantry.llm.common import table
+from merchantry.llm.common import table, tidied
 
 ROUNDS = 10
 #: Used where no key is given; give one of your own to keep pseudonyms from being undone.
@@ -243,6 +243,7 @@ def pseudonymise(text: str | None, net: Feistel) -> tuple[str | None, Counter]:
 
 
 def _mapped(text_col: str, key: bytes, counts: bool):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Feistel(key)
         for batch in batches:

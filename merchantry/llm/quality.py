@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merchantry.llm.common import table
+from merchantry.llm.common import table, tidied
 from merchantry.session import cut_lineage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -168,6 +168,7 @@ def _histograms(text: str | None, group: str, rules: Rules) -> tuple[np.ndarray,
 
 def features(docs: DataFrame, rules: Rules, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document with its counts and histograms. Stored, so that texts are read once."""
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -214,6 +215,7 @@ def quality(docs: DataFrame, rules: Rules | None = None, id_col: str = "doc_id",
     found = cut_lineage(features(docs, rules, id_col, text_col, lang_col), "quality")
     refs = references(found, rules)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = [distances(c, w, n, g, refs, rules) for c, w, n, g in zip(*(batch.column(k).to_pylist() for k in ("chars", "words", "n_words", "lang")), strict=True)]
@@ -231,6 +233,7 @@ def keep_good(docs: DataFrame, rules: Rules | None = None, id_col: str = "doc_id
     rules = rules or Rules()
     refs = references(cut_lineage(features(docs, rules, id_col, text_col, lang_col).select("lang", "base_failed", "chars", "words"), "quality"), rules)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fine = []

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merchantry.llm.common import KeyFilter, mix64, table, text_bytes
+from merchantry.llm.common import KeyFilter, mix64, table, text_bytes, tidied
 from merchantry.llm.rolling import BYTE, SLICE, prefix_sums, ranges, slices
 from merchantry.session import cut_lineage
 
@@ -97,6 +97,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def _counted(ranges_n: int):
     """Per task (range, packed anchors, wholes, counts): what it holds of each context, counted."""
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
@@ -215,6 +216,7 @@ def _repeated_windows(group: pd.DataFrame) -> pd.DataFrame:
 
 def _sent(contested: KeyFilter, several: KeyFilter, crowded: KeyFilter):
     """Second reading: where contested contexts stand, and once per task the bytes of those that must be compared."""
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, seen = TaskContext.get().partitionId(), set()
         for batch in batches:
@@ -306,6 +308,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     runs = cut_lineage(removed_runs(docs), "runs")
     touched = KeyFilter.of(runs, "key", runs.count())
 
+    @tidied
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = _row_keys(batch)
@@ -315,6 +318,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 [batch.column("doc_id"), pa.array(ids), pa.array(keys), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array([t if m else None for t, m in zip(texts, maybe, strict=True)], pa.binary())],
                 ["doc_id", "id", "key", "n_bytes", "sha", "body"])
 
+    @tidied
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
