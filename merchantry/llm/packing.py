@@ -30,7 +30,7 @@ from merchantry.session import cut_lineage
 
 SEQUENCE = 2048
 #: Entries that a worker keeps, in two halves: of the words, and half as many of their parts.
-MOST_CACHED = 700_000
+MOST_CACHED = 1_000_000
 
 
 class TwoHalves(dict):
