@@ -51,7 +51,7 @@ _SLOTS = ", ".join(
     GROUP BY c.zid, c.itemcode, c.n, n.itemname""")
 def purchase_basket(t: DriverTables) -> DataFrame:
     _, received, _ = prep.trailing_window(t.sales(False, False), t.purchases(), years=2)
-    return baskets.purchase_basket(received)
+    return baskets.purchase_basket(received, t.items())
 
 
 _SALES_SLOTS = ", ".join(
@@ -74,11 +74,10 @@ _SALES_SLOTS = ", ".join(
     LEFT JOIN f_scan_stock s ON s.zid = p.zid AND s.itemcode = p.itemcode""")
 def sales_basket(t: DriverTables) -> DataFrame:
     stock = extracts.scan_stock(t.stock_table(), t.items())
-    return baskets.sales_basket(t.sales(True, False), stock)
+    return baskets.sales_basket(t.sales(False, False), stock, t.items())
 
 
-# With a bound of two items nearly every voucher is a large one: the class path alone must
-# give the same rows as counting every pair.
+# With blocks of one item every pair of classes is a row of its own; the companions are the same.
 @case("basket_item_classes", f"""
     WITH {basket_sql("f_received", "grnvoucher")}
     SELECT zid, itemcode, other, round_even(support, 8) AS support, CAST(rank AS INTEGER) AS rank FROM ranked""")
@@ -87,7 +86,7 @@ def basket_item_classes(t: DriverTables) -> DataFrame:
     from merchantry.functions import numeric
     _, received, _ = prep.trailing_window(t.sales(False, False), t.purchases(), years=2)
     presence = baskets.item_presence(baskets.voucher_items(received, "grnvoucher"))
-    best = baskets.top_associates(presence, max_paired_items=1).join(
+    best = baskets.top_associates(presence, block=1).join(
         baskets.item_counts(presence), ["zid", "itemcode"])
     return best.select("zid", "itemcode", "other", "rank", numeric.half_even(
         numeric.ratio(F.col("shared"), F.col("vouchers")), 8).alias("support"))

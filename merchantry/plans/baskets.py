@@ -12,8 +12,8 @@ from merchantry.operators.figures import stored_figure
 from merchantry.session import cut_lineage
 
 TOP = 5
-# Vouchers with more items than this are counted by item class instead of pair by pair.
-MAX_PAIRED_ITEMS = 200
+#: Item classes of a voucher that one row of the pair count holds on each side. Only spreads the work.
+BLOCK = 256
 
 
 def voucher_items(df: DataFrame, voucher: str) -> DataFrame:
@@ -22,8 +22,6 @@ def voucher_items(df: DataFrame, voucher: str) -> DataFrame:
     ``present`` says whether at least one whole unit is in there.
     """
     figures = [(numeric.total(F.col("quantity")) >= 1).alias("present")]
-    if "itemname" in df.columns:
-        figures.append(F.min("itemname").alias("itemname"))
     if "totalsales" in df.columns:
         figures.append(numeric.total(F.col("totalsales")).cast("decimal(28,4)").alias("totalsales"))
     keys = ["zid", voucher, "itemcode"]
@@ -31,6 +29,12 @@ def voucher_items(df: DataFrame, voucher: str) -> DataFrame:
     return cut_lineage(grouped.withColumnRenamed(voucher, "voucher"))
 
 
+def item_names(df: DataFrame) -> DataFrame:
+    """The least name per item, from facts or from an item table; repeats go before names are compared."""
+    distinct = require_keys(df, ["zid", "itemcode"]).select("zid", "itemcode", "itemname").distinct()
+    return distinct.groupBy("zid", "itemcode").agg(F.min("itemname").alias("itemname"))
+
+
 def item_presence(items: DataFrame) -> DataFrame:
     return items.filter(F.col("voucher").isNotNull()).select("zid", "voucher", "itemcode", "present")
 
@@ -41,81 +45,74 @@ def item_counts(presence: DataFrame) -> DataFrame:
         F.sum(F.col("present").cast("int")).cast("long").alias("vouchers"))
 
 
-def _paired(rows: DataFrame) -> DataFrame:
-    """Shared vouchers per unordered item pair, from vouchers of a bounded number of items."""
-    lists = rows.groupBy("zid", "voucher").agg(F.sort_array(F.collect_list("itemcode")).alias("items"))
-    firsts = lists.select("zid", "items", F.posexplode("items").alias("at", "item_a"))
-    rest = F.slice("items", F.col("at") + 2, F.size("items"))
-    pairs = firsts.select("zid", "item_a", F.explode(rest).alias("item_b"))
-    return pairs.groupBy("zid", "item_a", "item_b").agg(F.count("*").alias("shared"))
-
-
-def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Items that are in exactly the same large vouchers form one class.
+def item_classes(present: DataFrame) -> DataFrame:
+    """Items that are in exactly the same vouchers form one class: (zid, itemcode, class).
 
-    Returns (zid, itemcode, class) and, per two classes, the number of large vouchers that
-    hold both. One huge voucher makes one class of all its items, not a pair for every two.
+    The class is named by its least item. Equal sums over hashed vouchers only propose a class; an item stays in it
+    when each of its vouchers also holds that least item, otherwise it is a class of its own.
     """
-    # The class is named by two independent 64-bit sums over the vouchers and their number.
-    marks = rows.groupBy("zid", "itemcode").agg(
-        F.concat_ws(
-            "/", F.count("*"), F.sum(F.xxhash64("voucher").cast("decimal(20,0)")),
-            F.sum(F.xxhash64(F.lit("second"), "voucher").cast("decimal(20,0)")),
-        ).alias("class"))
-    member = marks.groupBy("zid", "class").agg(F.min("itemcode").alias("itemcode"))
-    incidence = rows.join(member, ["zid", "itemcode"]).select("zid", "voucher", "class")
-    weights = (
-        incidence.join(incidence.withColumnRenamed("class", "other_class"), ["zid", "voucher"])
-        .groupBy("zid", "class", "other_class").agg(F.count("*").alias("weight"))
-    )
-    return marks, weights
-
-
-def _with_large(present: DataFrame, large: DataFrame, direct: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
-    """Pair counts completed by the large vouchers, and the best companions found in those alone."""
-    marks, weights = _classes(present.join(large, ["zid", "voucher"], "left_semi"))
-    other_marks = marks.select("zid", F.col("itemcode").alias("other"), F.col("class").alias("other_class"))
-    completed = (
-        direct.join(marks, ["zid", "itemcode"], "left").join(other_marks, ["zid", "other"], "left")
-        .join(weights, ["zid", "class", "other_class"], "left")
-        .select("zid", "itemcode", "other",
-                (F.col("shared") + F.coalesce("weight", F.lit(0))).alias("shared"))
-    )
-    # The first top + 1 codes of a class are enough: the item itself may be one of them.
-    leading = top_k_per_group(
-        marks.select("zid", F.col("class").alias("other_class"), F.col("itemcode").alias("other")),
-        ["zid", "other_class"], [F.asc("other")], top + 1).drop("rank")
-    best_of_class = top_k_per_group(
-        weights.join(leading, ["zid", "other_class"]), ["zid", "class"],
-        [F.desc("weight"), F.asc("other")], top + 1)
-    by_class = marks.join(best_of_class.select("zid", "class", "other", "weight"), ["zid", "class"]).select(
-        "zid", "itemcode", "other", F.col("weight").alias("shared"))
-    return completed, by_class
-
-
-def top_associates(presence: DataFrame, max_paired_items: int = MAX_PAIRED_ITEMS, top: int = TOP) -> DataFrame:
+    marks = present.groupBy("zid", "itemcode").agg(
+        F.count("*").alias("n"), F.sum(F.xxhash64("voucher").cast("decimal(20,0)")).alias("mark"))
+    alike = ["zid", "n", "mark"]
+    least = marks.groupBy(*alike).agg(F.min("itemcode").alias("class"), F.count("*").alias("members"))
+    proposed = cut_lineage(marks.join(least, alike).select("zid", "itemcode", "n", "class", "members"))
+    joining = proposed.filter(F.col("itemcode") != F.col("class")).select("zid", "itemcode", "class")
+    leading = proposed.filter((F.col("itemcode") == F.col("class")) & (F.col("members") > 1)).select("zid", "itemcode")
+    held = present.join(leading, ["zid", "itemcode"], "left_semi").select("zid", "voucher", F.col("itemcode").alias("class"))
+    agreed = (
+        present.join(joining, ["zid", "itemcode"]).join(held, ["zid", "voucher", "class"])
+        .groupBy("zid", "itemcode").agg(F.count("*").alias("agreed")))
+    stays = (F.col("itemcode") == F.col("class")) | (F.col("agreed") == F.col("n"))
+    return proposed.join(agreed, ["zid", "itemcode"], "left").select(
+        "zid", "itemcode", F.when(F.coalesce(stays, F.lit(False)), F.col("class")).otherwise(F.col("itemcode")).alias("class"))
+
+
+def class_pairs(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Shared vouchers per ordered pair of classes, a class with itself included: (zid, class, other_class, shared).
+
+    ``rows`` is (zid, voucher, class). The classes of a voucher are dealt into blocks by hash, as many as its size
+    asks for, and each pair of blocks is a row of its own: no task holds a whole large voucher.
+    """
+    sizes = rows.groupBy("zid", "voucher").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, ["zid", "voucher"]).withColumn(
+        "mine", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    cells = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).groupBy(
+        "zid", "voucher", F.least("mine", "with").alias("low"), F.greatest("mine", "with").alias("high"),
+    ).agg(
+        F.sort_array(F.collect_list(F.when(F.col("mine") <= F.col("with"), F.col("class")))).alias("left"),
+        F.sort_array(F.collect_list(F.when(F.col("mine") >= F.col("with"), F.col("class")))).alias("right"))
+    # Within one block both lists are the same: each class meets itself and those after it.
+    firsts = cells.select("zid", "low", "high", "right", F.posexplode("left").alias("at", "class"))
+    met = F.when(F.col("low") == F.col("high"), F.slice("right", F.col("at") + 1, F.size("right"))).otherwise(F.col("right"))
+    pairs = firsts.select("zid", "class", F.explode(met).alias("other_class")).select(
+        "zid", F.least("class", "other_class").alias("class"), F.greatest("class", "other_class").alias("other_class"))
+    counted = pairs.groupBy("zid", "class", "other_class").agg(F.count("*").alias("shared"))
+    one = F.struct(F.col("class"), F.col("other_class"))
+    back = F.struct(F.col("other_class").alias("class"), F.col("class").alias("other_class"))
+    ways = F.when(F.col("class") == F.col("other_class"), F.array(one)).otherwise(F.array(one, back))
+    return counted.select("zid", F.inline(ways), "shared")
+
+
+def top_associates(presence: DataFrame, block: int = BLOCK, top: int = TOP) -> DataFrame:
     """The ``top`` items most often found with each item: (zid, itemcode, other, shared, rank).
 
-    Ties, and places left over when an item has too few companions, go by item code. Exact for
-    any voucher size: pairs are only enumerated inside vouchers of at most
-    ``max_paired_items`` items. Larger vouchers enter through item classes, where the first
-    items of the best classes are the only ones that can still reach the top.
+    Ties, and places left over when an item has too few companions, go by item code. Pairs are counted between
+    item classes, so one huge voucher of items sold nowhere else is a single pair; the first items of the best
+    classes are the only ones that can reach the top.
     """
     present = presence.filter("present").select("zid", "voucher", "itemcode")
-    sizes = present.groupBy("zid", "voucher").agg(F.count("*").alias("items"))
-    large = sizes.filter(F.col("items") > max_paired_items).select("zid", "voucher")
-    has_large = bool(large.take(1))
-    pairs = _paired(present.join(large, ["zid", "voucher"], "left_anti") if has_large else present)
-    both_ways = F.array(
-        F.struct(F.col("item_a").alias("itemcode"), F.col("item_b").alias("other")),
-        F.struct(F.col("item_b").alias("itemcode"), F.col("item_a").alias("other")))
-    direct = pairs.select("zid", F.inline(both_ways), "shared")
+    classes = cut_lineage(item_classes(present))
+    # Every voucher of a class holds its least item, so the rows of that item stand for the class.
+    named = classes.filter(F.col("itemcode") == F.col("class")).select("zid", "class")
+    rows = present.withColumnRenamed("itemcode", "class").join(named, ["zid", "class"], "left_semi")
+    weights = class_pairs(rows, block)
+    # The first top + 1 codes of a class are enough: the item itself may be one of them, and goes at the end.
     order = [F.desc("shared"), F.asc("other")]
-    if has_large:
-        direct, by_class = _with_large(present, large, direct, top)
-    best = top_k_per_group(direct, ["zid", "itemcode"], order, top).drop("rank")
-    if has_large:
-        best = best.unionByName(by_class)
+    leading = top_k_per_group(classes.select("zid", F.col("class").alias("other_class"), F.col("itemcode").alias("other")),
+                              ["zid", "other_class"], [F.asc("other")], top + 1).drop("rank")
+    best_of_class = top_k_per_group(weights.join(leading, ["zid", "other_class"]).select("zid", "class", "other", "shared"),
+                                    ["zid", "class"], order, top + 1).drop("rank")
+    best = classes.join(best_of_class, ["zid", "class"]).select("zid", "itemcode", "other", "shared")
 
     # The first codes of the company fill up with support 0.
     universe = item_counts(presence)
@@ -149,30 +146,31 @@ def _side_by_side(ranked: DataFrame, columns: dict[str, str], digits: int) -> Da
     return report.select("zid", "itemcode", *slots)
 
 
-def purchase_basket(receipts: DataFrame, digits: int = 4, max_paired_items: int = MAX_PAIRED_ITEMS) -> DataFrame:
+def purchase_basket(receipts: DataFrame, names: DataFrame | None = None, digits: int = 4, block: int = BLOCK) -> DataFrame:
     """Per received item: its five most frequent companions and the share of its receipts they
-    are in, and the number of its receipts."""
+    are in, and the number of its receipts. ``names`` is an item table; without it the receipts name the items."""
     items = voucher_items(receipts, "grnvoucher")
     presence = item_presence(items)
     counts = item_counts(presence)
-    ranked = _support(top_associates(presence, max_paired_items), counts)
+    ranked = _support(top_associates(presence, block), counts)
     report = _side_by_side(ranked, {"item_{}": "other", "support_{}": "support"}, digits)
     return (
-        counts.join(items.groupBy("zid", "itemcode").agg(F.min("itemname").alias("itemname")), ["zid", "itemcode"])
+        counts.join(item_names(receipts if names is None else names), ["zid", "itemcode"])
         .join(report, ["zid", "itemcode"], "left")
         .withColumnRenamed("vouchers", "purchase_count"))
 
 
-def sales_basket(sales: DataFrame, stock: DataFrame | None = None, digits: int = 4,
-                 max_paired_items: int = MAX_PAIRED_ITEMS) -> DataFrame:
+def sales_basket(sales: DataFrame, stock: DataFrame | None = None, names: DataFrame | None = None, digits: int = 4,
+                 block: int = BLOCK) -> DataFrame:
     """Per sold item: five companions with name, share and sales, the sales of all six, and the
-    stock on hand."""
+    stock on hand. ``names`` is an item table; without it the sales name the items."""
     items = voucher_items(sales, "voucher")
     presence = item_presence(items)
     counts = item_counts(presence)
-    facts = items.groupBy("zid", "itemcode").agg(
-        F.min("itemname").alias("itemname"), F.sum("totalsales").alias("item_sales"))
-    ranked = _support(top_associates(presence, max_paired_items), counts)
+    facts = cut_lineage(items.groupBy("zid", "itemcode").agg(F.sum("totalsales").alias("item_sales")).join(
+        item_names(sales if names is None else names), ["zid", "itemcode"], "left").select(
+        "zid", "itemcode", "itemname", "item_sales"))
+    ranked = _support(top_associates(presence, block), counts)
     companions = facts.select(
         "zid", F.col("itemcode").alias("other"), F.col("itemname").alias("other_name"),
         F.col("item_sales").alias("other_sales"))
@@ -190,14 +188,14 @@ def sales_basket(sales: DataFrame, stock: DataFrame | None = None, digits: int =
     return decimal_to_double(result)
 
 
-def basket_matrix(sales: DataFrame, rows: int = 100, max_paired_items: int = MAX_PAIRED_ITEMS) -> DataFrame:
+def basket_matrix(sales: DataFrame, rows: int = 100, block: int = BLOCK) -> DataFrame:
     """Non-zero cells of the support matrix between the ``rows`` items of highest mean support.
 
     An item's row holds the support of its five companions; the mean is over all items.
     """
     presence = item_presence(voucher_items(sales.drop("totalsales"), "voucher"))
     counts = item_counts(presence)
-    cells = _support(top_associates(presence, max_paired_items), counts).filter(F.col("support") > 0)
+    cells = _support(top_associates(presence, block), counts).filter(F.col("support") > 0)
     row_sums = cells.groupBy("zid", "itemcode").agg(F.sum("shared").alias("shared"), F.first("vouchers").alias("vouchers"))
     # Items without any companion have mean 0 and compete for the last places.
     items = counts.select("zid", "itemcode").join(row_sums, ["zid", "itemcode"], "left").select(

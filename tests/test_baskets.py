@@ -31,9 +31,9 @@ def by_hand(rows, top=5):
     return best, holding
 
 
-def found(presence, bound):
+def found(presence, block):
     got = {}
-    for r in sorted(baskets.top_associates(presence, bound).collect(), key=lambda r: (r["itemcode"], r["rank"])):
+    for r in sorted(baskets.top_associates(presence, block).collect(), key=lambda r: (r["itemcode"], r["rank"])):
         got.setdefault(r["itemcode"], []).append((r["other"], r["shared"]))
     return got
 
@@ -48,20 +48,30 @@ def hot_voucher_rows():
     return rows
 
 
-@pytest.mark.parametrize("bound", [0, 1, 3, 200])
-def test_every_bound_gives_the_exact_companions(spark, bound):
+@pytest.mark.parametrize("block", [1, 3, 256])
+def test_every_block_size_gives_the_exact_companions(spark, block):
     rows = hot_voucher_rows()
     presence = baskets.item_presence(baskets.voucher_items(frame(spark, rows), "voucher"))
-    assert found(presence, bound) == by_hand(rows)[0]
+    assert found(presence, block) == by_hand(rows)[0]
 
 
 def test_hot_voucher_forms_one_class_not_all_pairs(spark):
-    rows = [("hot", f"i{k:03d}", 1.0) for k in range(300)] + [("v", "i000", 1.0), ("v", "i001", 1.0)]
+    rows = [("hot", f"i{k:05d}", 1.0) for k in range(20_000)] + [("v", "i00000", 1.0), ("v", "i00001", 1.0)]
     presence = baskets.item_presence(baskets.voucher_items(frame(spark, rows), "voucher"))
-    marks, weights = baskets._classes(
-        presence.filter("voucher = 'hot'").select("zid", "voucher", "itemcode"))
-    assert marks.count() == 300 and weights.count() == 1
-    assert found(presence, 200) == by_hand(rows)[0]
+    classes = baskets.item_classes(presence.select("zid", "voucher", "itemcode"))
+    assert {r["class"]: r["count"] for r in classes.groupBy("class").count().collect()} == {"i00000": 2, "i00002": 19_998}
+    got = found(presence, 256)
+    assert len(got) == 20_000
+    assert got["i00000"] == [("i00001", 2), *[(f"i0000{k}", 1) for k in range(2, 6)]]
+    assert got["i00003"] == [(f"i0000{k}", 1) for k in (0, 1, 2, 4, 5)]
+
+
+def test_large_voucher_of_different_items_in_blocks(spark):
+    """Every item is also in a voucher of its own, or in two or three: no two are alike, all pairs are counted."""
+    rows = [("hot", f"i{k:03d}", 1.0) for k in range(300)] + [
+        (f"v{k}-{j}", f"i{m:03d}", 1.0) for k in range(300) for j in range(k % 3 + 1) for m in {k, (k * 7 + j) % 300}]
+    presence = baskets.item_presence(baskets.voucher_items(frame(spark, rows), "voucher"))
+    assert found(presence, 40) == by_hand(rows)[0]
 
 
 def test_padding_and_items_below_one_unit(spark):
