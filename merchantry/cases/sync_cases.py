@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merchantry.cases import case
-from merchantry.operators import sync
+from merchantry.cases import CASES, case
+from merchantry.operators import prep, sync
+from merchantry.plans import sync_run
 from merchantry.session import new_folder
 from merchantry.sources import sinks
 from merchantry.sources.driver_tables import SCHEMAS, DriverTables
@@ -67,11 +68,29 @@ def surrogate_key(t: DriverTables) -> DataFrame:
 @case("full_refresh", """
     SELECT zid, itemcode, CAST(stockqty AS DOUBLE) AS stockqty, CAST(stockvalue AS DOUBLE) AS stockvalue FROM f_stock""")
 def full_refresh(t: DriverTables) -> DataFrame:
-    from merchantry.operators.prep import decimal_to_double
     path = new_folder(t.spark, "stock")
     # The first content is replaced as a whole by the second.
     sinks.full_refresh(t.stock_table().withColumn("stockqty", F.lit(0).cast("decimal(38,4)")), path)
-    return decimal_to_double(sinks.full_refresh(t.stock_table(), path))
+    return prep.decimal_to_double(sinks.full_refresh(t.stock_table(), path))
+
+
+def _whole_run(name: str):
+    def run(t: DriverTables) -> DataFrame:
+        """The table after a run that found it outdated; totals have no older version that matters."""
+        target = t.outdated(name) if name in sync_run.FOLLOWED else t.table(name)
+        return prep.decimal_to_double(sync_run.sync_table(name, t.erp_tables(), target))
+    return run
+
+
+# Whatever the target held before, a run over all tables ends at what the ERP's tables say now.
+for _table, _extract in {
+    "glmst": "etl_glmst", "gldetail": "etl_gldetail", "glheader": "etl_glheader", "cacus": "etl_customer",
+    "caitem": "etl_item", "employee": "etl_employee", "purchase": "etl_purchase", "stock": "etl_stock",
+    "stock_value": "etl_stock_value",
+}.items():
+    case(f"sync_all_{_table}", CASES[_extract].sql)(_whole_run(_table))
+for _table, _extract in {"sales": "etl_sales", "return": "etl_return"}.items():
+    case(f"sync_all_{_table}", f"SELECT * FROM ({CASES[_extract].sql}) WHERE zid IS NOT NULL")(_whole_run(_table))
 
 
 @case("sync_stream", "SELECT * FROM f_source")

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import json
+from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from merchantry.operators import sync
@@ -160,3 +162,48 @@ def test_every_company_of_the_region_table_has_all_items(spark, tmp_path):
     t = DriverTables(spark, str(tmp_path))
     parts = t.raw("part").count()
     assert {r["zid"]: r["count"] for r in t.items().groupBy("zid").count().collect()} == {z: parts for z in [*range(100000, 100005), 100007, 100009]}
+
+
+def erp_sales(spark, heads, lines, moves):
+    """Tables of sales documents of one company; times are days, the second one of a change."""
+    import datetime as dt
+    at = lambda n: None if n is None else dt.datetime(2000, 1, 1) + dt.timedelta(days=n)
+    timed = lambda rows: [(1, *row[:-2], at(row[-2]), at(row[-1])) for row in rows]
+    times = "ztime timestamp_ntz, zutime timestamp_ntz"
+    day = dt.date(2000, 1, 1)
+    return {
+        "opdor": spark.createDataFrame(timed([(n, day, sp, "c", i, u) for n, sp, i, u in heads]), f"zid int, xdornum string, xdate date, xsp string, xcus string, {times}"),
+        "opddt": spark.createDataFrame(timed([(n, item, D(q), D(q), i, u) for n, item, q, i, u in lines]), f"zid int, xdornum string, xitem string, xqty decimal(18,4), xlineamt decimal(18,4), {times}"),
+        "imtrn": spark.createDataFrame(timed([(n, item, D(v), i, u) for n, item, v, i, u in moves]), f"zid int, xdocnum string, xitem string, xval decimal(18,4), {times}"),
+    }
+
+
+def test_sync_run_finds_changes_in_header_line_and_movement(spark):
+    from merchantry.plans import sync_run
+    heads = [("a", "s", 1, None), ("b", "s", 1, None), ("c", "s", 1, None), ("lost", "s", 1, None), ("d", "s", 1, None), ("empty", "s", 1, None)]
+    lines = [(n, "i", 1, 2, 2) for n in "abcd"] + [("lost", "i", 1, 2, None)]
+    moves = [(n, "i", 5, 2, None) for n in "abcd"]
+    before = erp_sales(spark, heads, lines + [("d", "gone", 1, 1, None)], moves)
+    first = sync_run.sync_table("sales", before, sync_run.FOLLOWED["sales"].extract(
+        *[before[n] for n in ("opdor", "opddt", "imtrn")]).limit(0))
+    assert first.count() == 6 and first.filter("zid IS NULL").count() == 0
+    target = first.filter("ordernumber <> 'lost'").cache()
+    heads[0] = ("a", "other", 1, 7)
+    lines[1] = ("b", "i", 3, 2, 7)
+    moves[2] = ("c", "i", 9, 2, 7)
+    heads[4] = ("d", "s", 1, 7)
+    heads.append(("new", "s", 8, None))
+    after = erp_sales(spark, heads, lines + [("new", "i", 1, 8, None)], moves)
+    found = sync_run.documents_to_fetch(sync_run.FOLLOWED["sales"], after, target)
+    assert {r["number"] for r in found.collect()} >= {"a", "b", "c", "d", "lost", "new"}
+    once = sync_run.sync_table("sales", after, target).cache()
+    read = lambda df: sorted((r["ordernumber"], r["itemcode"], r["sp_id"], float(r["quantity"]), float(r["cost"] or 0)) for r in df.collect())
+    assert read(once) == [("a", "i", "other", 1, 5), ("b", "i", "s", 3, 5), ("c", "i", "s", 1, 9), ("d", "i", "s", 1, 5), ("lost", "i", "s", 1, 0), ("new", "i", "s", 1, 0)]
+    assert read(sync_run.sync_table("sales", after, once)) == read(once)
+
+
+def test_sync_run_counts_every_update_where_none_was_seen(spark):
+    from merchantry.plans import sync_run
+    tables = erp_sales(spark, [("a", "s", 1, 2), ("b", "s", 9, None)], [("a", "i", 1, 1, None), ("b", "i", 1, 9, None)], [("a", "i", 1, 1, None)])
+    target = sync_run.FOLLOWED["sales"].extract(tables["opdor"].withColumn("xsp", F.lit("old")), tables["opddt"], tables["imtrn"])
+    assert {r["sp_id"] for r in sync_run.sync_table("sales", tables, target).collect()} == {"s"}
