@@ -83,12 +83,9 @@ def rows_by_period(t: DriverTables) -> DataFrame:
     UNION ALL SELECT zid, year, month, 'products', count(DISTINCT itemcode) FROM f_sales GROUP BY ALL
     UNION ALL SELECT zid, year, month, 'product_returns', count(DISTINCT itemcode) FROM f_return GROUP BY ALL""")
 def distinct_by_period(t: DriverTables) -> DataFrame:
-    sales, returns = t.sales(False, False), t.returns(False, False)
-    wanted = [("customers", sales, "cusid"), ("customer_returns", returns, "cusid"),
-              ("products", sales, "itemcode"), ("product_returns", returns, "itemcode")]
-    parts = [
-        aggregate.distinct_by_period(df, column, "n").withColumn("figure", F.lit(name)) for name, df, column in wanted]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    sold = aggregate.distinct_by_period(t.sales(False, False), {"customers": "cusid", "products": "itemcode"})
+    return sold.unionByName(aggregate.distinct_by_period(
+        t.returns(False, False), {"customer_returns": "cusid", "product_returns": "itemcode"}))
 
 
 @case("multi_agg", """

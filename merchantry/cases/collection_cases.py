@@ -60,7 +60,7 @@ _EVENTS = """
     WITH {_EVENTS}
     SELECT zid, cusid, cusname, average_days_to_collection, total_sale, total_return, total_collection FROM average""")
 def collection_days(t: DriverTables) -> DataFrame:
-    return collections.collection_days(*streams(t))
+    return collections.collection_days(*streams(t), t.customers())
 
 
 _MONTHS = [(y, m) for y in range(1995, 2002) for m in range(1, 13)]
@@ -79,7 +79,7 @@ _MONTHLY = f"""
     FROM monthly h JOIN totals t ON t.zid = h.zid AND t.cusid = h.cusid JOIN mean a ON a.zid = h.zid AND a.cusid = h.cusid
     GROUP BY t.zid, t.cusid, t.cusname, t.total_sale, t.total_return, t.total_collection, a.average""")
 def collection_days_pivot(t: DriverTables) -> DataFrame:
-    return collections.collection_days_pivot(*streams(t), [(y, m) for y in t.years for m in range(1, 13)])
+    return collections.collection_days_pivot(*streams(t), [(y, m) for y in t.years for m in range(1, 13)], t.customers())
 
 
 @case("collection_days_by_month", _MONTHLY + " SELECT zid, cusid, year, month, d AS collection_days FROM monthly")

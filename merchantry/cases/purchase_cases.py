@@ -136,11 +136,14 @@ def stock_projection(t: DriverTables) -> DataFrame:
     return purchasing.stock_projection(*planning(t), AS_OF, GROUPS)
 
 
-@case("purchase_requisition", _REQUISITION + """,
+_FINAL = """,
     final AS (
         SELECT zid, itemcode, max(CASE WHEN i = 4 THEN stock_before + quantity END) AS stock,
                sum(CASE WHEN i >= 2 THEN quantity END) > 0 AS has_shipments, count(*) AS shipments
-        FROM walk GROUP BY zid, itemcode)
+        FROM walk GROUP BY zid, itemcode)"""
+
+
+@case("purchase_requisition", _REQUISITION + _FINAL + """
     SELECT b.zid, b.itemcode, b.itemname, b.combinedate, f.has_shipments, round_even(b.stockqty, 0) AS stockqty,
            COALESCE(cost, 0.0) AS cost, COALESCE(average_sales_price, 0.0) AS average_sales_price,
            COALESCE(quantity, 0.0) AS quantity, COALESCE(week_1, 0.0) AS week_1, COALESCE(week_2, 0.0) AS week_2,
@@ -149,3 +152,24 @@ def stock_projection(t: DriverTables) -> DataFrame:
     FROM base b JOIN final f ON f.zid = b.zid AND f.itemcode = b.itemcode""")
 def purchase_requisition(t: DriverTables) -> DataFrame:
     return purchasing.purchase_requisition(*planning(t), AS_OF, GROUPS, ordered=True).drop("steps")
+
+
+_SHIPMENTS = [f"MDKF-{k},2002-0{k + 1}-15" for k in range(4)]
+_WIDE = ", ".join(
+    f"COALESCE(max(CASE WHEN shipmentname = '{name}' THEN round_even({column}, 0) END), 0) AS \"{prefix}{name}\""
+    for name in _SHIPMENTS for column, prefix in (("stock_before", "stock_before_"), ("quantity", "")))
+
+
+@case("requisition_wide", _REQUISITION + _FINAL + f""",
+    wide AS (SELECT zid, itemcode, {_WIDE} FROM walk GROUP BY zid, itemcode)
+    SELECT w.*, b.itemname, b.combinedate, round_even(b.stockqty, 0) AS stockqty, COALESCE(b.cost, 0.0) AS cost,
+           COALESCE(b.average_sales_price, 0.0) AS average_sales_price, COALESCE(b.quantity, 0.0) AS quantity,
+           COALESCE(week_1, 0.0) AS week_1, COALESCE(week_2, 0.0) AS week_2, COALESCE(week_3, 0.0) AS week_3,
+           COALESCE(week_4, 0.0) AS week_4, round_even(b.n_mean, 0) AS n_mean,
+           round_even(greatest(f.stock - b.n_mean, 0.0), 0) AS final_stock
+    FROM base b JOIN final f ON f.zid = b.zid AND f.itemcode = b.itemcode JOIN wide w ON w.zid = b.zid AND w.itemcode = b.itemcode""")
+def requisition_wide(t: DriverTables) -> DataFrame:
+    cohort, orders, stock, sales = planning(t)
+    # A column for each shipment under way: their names are read from the orders.
+    shipments = [r["shipmentname"] for r in orders.select("shipmentname").distinct().orderBy("shipmentname").collect()]
+    return purchasing.requisition_wide(purchasing.purchase_requisition(cohort, orders, stock, sales, AS_OF, GROUPS), shipments)

@@ -223,6 +223,14 @@ def income_statement(t: DriverTables) -> DataFrame:
     return st.income_statement(yearly(t).yearly("income"))
 
 
+_YEAR_COLUMNS = ", ".join(f"COALESCE(sum(CASE WHEN period = '{y}' THEN value END), 0) AS \"{y}\"" for y in YEARS)
+
+
+@case("statement_wide", f"WITH {YEARLY}, {INCOME} SELECT zid, project, line, {_YEAR_COLUMNS} FROM income_rows GROUP BY zid, project, line")
+def statement_wide(t: DriverTables) -> DataFrame:
+    return st.statement_wide(st.income_statement(yearly(t).yearly("income")), [str(y) for y in YEARS])
+
+
 @case("balance_sheet", f"WITH {YEARLY}, {INCOME}, {BALANCE} SELECT * FROM balance_rows")
 def balance_sheet(t: DriverTables) -> DataFrame:
     return three(t)[1]

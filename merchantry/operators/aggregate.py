@@ -125,8 +125,14 @@ def rows_by_period(df: DataFrame, name: str) -> DataFrame:
     )
 
 
-def distinct_by_period(df: DataFrame, column: str, name: str) -> DataFrame:
-    return nunique_by(df, ["zid", "year", "month"], column, name)
+def distinct_by_period(df: DataFrame, figures: dict[str, str]) -> DataFrame:
+    """Different values per month, all figures in one pass: (zid, year, month, figure, n). ``figures`` maps names to columns.
+
+    Each task exchanges a value once, however often it occurs there.
+    """
+    keys = ["zid", "year", "month"]
+    counted = require_keys(df, keys).groupBy(*keys).agg(*[F.count_distinct(c).alias(name) for name, c in figures.items()])
+    return counted.unpivot(keys, list(figures), "figure", "n")
 
 
 def multi_agg(df: DataFrame, keys: Sequence[str], count: str, sums: Sequence[str]) -> DataFrame:

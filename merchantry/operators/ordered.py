@@ -83,14 +83,10 @@ def receivable_timeline(sales: DataFrame, returns: DataFrame, collections: DataF
         is_sale = name == "sold"
         part = require_keys(df, keys).select(
             *keys, F.col(value).cast(money).alias(name), F.lit(int(is_sale)).alias("sale_rows"),
-            F.lit(int(name == "collected")).alias("collection_rows"),
-            *([F.col("cusname")] if is_sale and "cusname" in df.columns else []))
+            F.lit(int(name == "collected")).alias("collection_rows"))
         events = part if events is None else events.unionByName(part, allowMissingColumns=True)
-    if "cusname" not in events.columns:
-        events = events.withColumn("cusname", F.lit(None).cast("string"))
     # A customer-day is one row from here on; nothing below meets a group longer than the calendar.
     daily = events.groupBy(*keys).agg(
-        F.min("cusname").alias("cusname"),
         *[numeric.total(F.col(name)).alias(name) for _, _, name in streams],
         F.sum("sale_rows").alias("sale_rows"), F.sum("collection_rows").alias("collections"),
     )

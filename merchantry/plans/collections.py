@@ -15,9 +15,10 @@ from merchantry.operators.prep import decimal_to_double, require_keys
 CUSTOMER = ["zid", "cusid"]
 
 
-def customer_names(sales: DataFrame) -> DataFrame:
-    """One name per customer that was ever sold to."""
-    return sales.filter(F.col("cusname").isNotNull()).groupBy(*CUSTOMER).agg(F.min("cusname").alias("cusname"))
+def customer_names(customers: DataFrame) -> DataFrame:
+    """The least name per customer, from sales or from a customer table; repeats go before names are compared."""
+    named = require_keys(customers, CUSTOMER).filter(F.col("cusname").isNotNull())
+    return named.select(*CUSTOMER, "cusname").distinct().groupBy(*CUSTOMER).agg(F.min("cusname").alias("cusname"))
 
 
 def _counts() -> Column:
@@ -29,19 +30,21 @@ def _day_sum() -> Column:
     return F.datediff("date", "last_sale") * F.col("collections")
 
 
-def _customer_figures(timeline: DataFrame) -> DataFrame:
-    """Name, totals and mean days per customer: the timeline is already laid out by customer."""
+def _customer_figures(timeline: DataFrame, names: DataFrame) -> DataFrame:
+    """Name, totals and mean days per customer: the timeline is already laid out by customer, and the name comes last."""
     days = numeric.ratio(F.sum(F.when(_counts(), _day_sum())), F.sum(F.when(_counts(), F.col("collections"))))
-    return decimal_to_double(timeline.groupBy(*CUSTOMER).agg(
-        F.min("cusname").alias("cusname"), days.alias("average_days_to_collection"),
+    figures = decimal_to_double(timeline.groupBy(*CUSTOMER).agg(
+        days.alias("average_days_to_collection"),
         F.sum("sold").alias("total_sale"), F.sum("returned").alias("total_return"),
         F.sum("collected").alias("total_collection"),
     )).filter(F.col("average_days_to_collection").isNotNull())
+    return figures.join(customer_names(names), CUSTOMER, "left")
 
 
-def collection_days(sales: DataFrame, returns: DataFrame, collections: DataFrame) -> DataFrame:
-    """Average days to collection per customer, with the customer's totals. Each stream is read once."""
-    return _customer_figures(receivable_timeline(sales, returns, collections))
+def collection_days(sales: DataFrame, returns: DataFrame, collections: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Average days to collection per customer, with the customer's totals. Each stream is read once; ``names`` is a
+    customer table, without it the sales name the customers."""
+    return _customer_figures(receivable_timeline(sales, returns, collections), sales if names is None else names)
 
 
 def _monthly(timeline: DataFrame) -> DataFrame:
@@ -56,7 +59,7 @@ def collection_days_by_month(sales: DataFrame, returns: DataFrame, collections:
 
 
 def collection_days_pivot(sales: DataFrame, returns: DataFrame, collections: DataFrame,
-                          periods: Sequence[tuple[int, int]] | None = None) -> DataFrame:
+                          periods: Sequence[tuple[int, int]] | None = None, names: DataFrame | None = None) -> DataFrame:
     """Mean days per customer and month, the mean of the non-zero months, and the totals.
 
     With ``periods`` the months become columns yyyy_mm; without, rows.
@@ -72,7 +75,7 @@ def collection_days_pivot(sales: DataFrame, returns: DataFrame, collections: Dat
         cells = aggregate.pivot_sum(monthly, CUSTOMER, label, labels, "collection_days")
     return (
         cells.join(average, CUSTOMER)
-        .join(_customer_figures(timeline).drop("average_days_to_collection"), CUSTOMER)
+        .join(_customer_figures(timeline, sales if names is None else names).drop("average_days_to_collection"), CUSTOMER)
         .withColumn("average", numeric.zero_if_null(F.col("average"))))
 
 

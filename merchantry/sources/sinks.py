@@ -19,10 +19,26 @@ def write_report(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwr
     return path
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions below path whose writing has ended, in order; the marker file is written last."""
+    jvm = spark.sparkContext._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
+    found = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(done) or []
+    return sorted(int(one.getPath().getParent().getName().partition("=")[2]) for one in found)
+
+
+def current_version(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A refreshed table as of its last complete version."""
+    return spark.read.schema(schema).parquet(f"{path}/version={_versions(spark, path)[-1]}")
+
+
 def full_refresh(df: DataFrame, path: str) -> DataFrame:
-    """Replace a table's whole content."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Replace a table's whole content. The new version is written beside the old one and counts once it is complete:
+    a job that fails leaves the old one in place, and readers of the old one are not disturbed."""
+    spark = df.sparkSession
+    number = max(_versions(spark, path), default=0) + 1
+    df.write.mode("overwrite").parquet(f"{path}/version={number}")
+    return current_version(spark, path, df.schema)
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str], mode: str = "append",

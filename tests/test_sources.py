@@ -207,3 +207,20 @@ def test_sync_run_counts_every_update_where_none_was_seen(spark):
     tables = erp_sales(spark, [("a", "s", 1, 2), ("b", "s", 9, None)], [("a", "i", 1, 1, None), ("b", "i", 1, 9, None)], [("a", "i", 1, 1, None)])
     target = sync_run.FOLLOWED["sales"].extract(tables["opdor"].withColumn("xsp", F.lit("old")), tables["opddt"], tables["imtrn"])
     assert {r["sp_id"] for r in sync_run.sync_table("sales", tables, target).collect()} == {"s"}
+
+
+def test_failed_refresh_leaves_the_old_content(spark, tmp_path):
+    path = f"{tmp_path}/table"
+    df = spark.range(3).toDF("n")
+    assert sinks.full_refresh(df, path).count() == 3
+    with pytest.raises(Exception, match="broken"):
+        sinks.full_refresh(df.select(F.when(F.col("n") > 1, F.raise_error(F.lit("broken"))).otherwise(F.col("n")).cast("long").alias("n")), path)
+    assert sinks.current_version(spark, path, df.schema).count() == 3
+    assert sinks.full_refresh(df.filter("n > 0"), path).count() == 2
+
+
+def test_refresh_of_a_table_from_itself(spark, tmp_path):
+    """Content read from a table can be written back to it, as the new version lies beside the old."""
+    path = f"{tmp_path}/table"
+    old = sinks.full_refresh(spark.range(3).toDF("n"), path)
+    assert sinks.full_refresh(old.unionByName(spark.range(3, 5).toDF("n")), path).count() == 5
