@@ -29,9 +29,13 @@ def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pii.replace_private(docs)
 
 
+#: Words a worker keeps while packing: fewer than op3 alone, as workers of earlier stages are still about.
+PACKING_WORDS = 700_000
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in the training sequences."""
-    return packing.pack(docs)
+    return packing.pack(docs, cached=PACKING_WORDS)
 
 
 STAGES = [

@@ -64,13 +64,14 @@ class WordTable:
 
     _plain = regex.compile(r"[^\t-\r -~¡-ɏ]")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int | None = None):
+        cached = cached or MOST_CACHED
         self.tokenizer = Tokenizer.from_file(path)
         made = json.loads(self.tokenizer.to_str())
         splits = [x["pattern"]["Regex"] for x in made["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"]
         self.cut = regex.compile(splits[0])
         self.special = [x["content"] for x in made["added_tokens"]]
-        self.words, self.others, self.parts = TwoHalves(MOST_CACHED), TwoHalves(MOST_CACHED // 4), TwoHalves(MOST_CACHED // 2)
+        self.words, self.others, self.parts = TwoHalves(cached), TwoHalves(cached // 4), TwoHalves(cached // 2)
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
     def _part(self, part: str) -> bytes:
@@ -101,21 +102,22 @@ class WordTable:
         return b"".join(got)
 
 
-_TABLES: dict[str, WordTable] = {}
+_TABLES: dict[tuple[str, int | None], WordTable] = {}
 
 
-def _table_of(path: str) -> WordTable:
-    if path not in _TABLES:
-        _TABLES[path] = WordTable(path)
-    return _TABLES[path]
+def _table_of(path: str, cached: int | None) -> WordTable:
+    if (path, cached) not in _TABLES:
+        _TABLES[path, cached] = WordTable(path, cached)
+    return _TABLES[path, cached]
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, most: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, most: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text",
+           cached: int | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, part, place): the ids of each document and end_id, cut
     where longer than a sequence. place counts the pieces of one length within their task's part."""
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, seen = _table_of(tokenizer), TaskContext.get().partitionId(), np.zeros(most + 1, np.int64)
+        words, part, seen = _table_of(tokenizer, cached), TaskContext.get().partitionId(), np.zeros(most + 1, np.int64)
         end, wide = np.array([end_id], "<u4").tobytes(), 4 * most
         for batch in batches:
             rows = []
@@ -207,15 +209,17 @@ def _open(tree: CapacityTree, bins: dict[int, deque], capacity: int, first: int,
         tree.put(capacity, True)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, most: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, most: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text",
+         cached: int | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is the end id alone; a document of more than ``most`` ids is cut into full pieces
     and a rest; rows with one id, or with none, are packed each by itself; further columns are not looked
-    at; an empty table gives an empty result. The driver gets one count for each length (at most ``most``),
+    at; an empty table gives an empty result. ``cached`` bounds a worker's word table (MOST_CACHED by default); it
+    only changes memory and time. The driver gets one count for each length (at most ``most``),
     and the runs of the plan, of which there are some for each length."""
     tokenizer = tokenizer or public_tokenizers.path("word_bpe_49k.json")
-    cut = cut_lineage(pieces(docs, tokenizer, end_id, most, id_col, text_col), "pieces")
+    cut = cut_lineage(pieces(docs, tokenizer, end_id, most, id_col, text_col, cached), "pieces")
     by_part = cut_lineage(cut.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")
     counts = {row.length: row.n for row in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     runs, _ = best_fit_decreasing(counts, most)
