@@ -2,6 +2,7 @@
 
 A text is cut into sentences, a sentence that speaks of a licence is normalised and named by the first
 sentence rule it meets, and the identifiers of a document, in order, are held against ordered licence rules.
+Lines are read one by one, and lines of one sentence also joined, so that a wrapped notice is found as well.
 Everything is an expression over the document's own row: no join, no shuffle, no Python.
 """
 
@@ -107,6 +108,11 @@ KEYWORDS = "(?i)licen[cs]e|copyright|redistribut|permission|warrant|public domai
 #: Keywords that leave a sentence without a rule worth a look by hand.
 UNKNOWN = "licen[cs]e|copyright"
 BLANK = r"[\x20\x09-\x0D]+"
+#: KEYWORDS, however wrapped and whatever comment marks stand at the wrap.
+SPREAD = KEYWORDS.replace(" ", "[^a-zA-Z0-9]+")
+#: Comment marks at the begin of a line, and marks of list items.
+COMMENT = r"(^|\n)[\x20\x09\x0B-\x0D]*(?:<!--|/[*]+!?|//+!?|[*]+/?|#+|--+|;+|%+|>+|(?:dnl|@?rem|REM)(?=[\x20\x09]))"
+ITEM = r"\n(?=[\x20\x09]*(?:[0-9]{1,2}[.)]|[(]?[a-z0-9]{1,3}[)]|[-+\u2022])[\x20\x09])"
 
 
 def _sentences(text: Column) -> Column:
@@ -131,6 +137,29 @@ def _identifier(sentence: Column) -> Column:
     return out.when(F.regexp_like(sentence, F.lit(UNKNOWN)), F.lit("unknown")).otherwise(F.lit(""))
 
 
+def _wrapped(text: Column) -> Column:
+    """Sentences over lines: lines, and parts of a line after 'v.', stay apart by one line feed in each."""
+    for pattern, into in ((COMMENT, "$1"), (f"([.!?;]){BLANK}", "$1\n\n"), (r"(^|[^A-Za-z0-9])([vV][.])\n\n", "$1$2\n"), (r"\n[\x20\x09\x0B-\x0D]+(?=\n)", "\n"), (ITEM, "\n\n")):
+        text = F.regexp_replace(text, pattern, into)
+    return F.split(text, r"\n\n+")
+
+
+def _all_identifiers(sentence: Column) -> Column:
+    """Every rule that a normalised sentence meets, in order: a rule takes its words from the rules after it."""
+    for name, phrase in SENTENCE_RULES:
+        pattern = _pattern(phrase).removesuffix("( |$)").replace(".*", "[^|]*")
+        sentence = F.regexp_replace(sentence, pattern + ("" if phrase.endswith("[a-z0-9]") else "(?= |$)"), f"$1|{name}| ")
+    return F.regexp_extract_all(sentence, F.lit(r"\|([^|]+)\|"), 1)
+
+
+def _identifiers(sentence: Column) -> Column:
+    """Of a sentence over lines: the identifiers of its lines, or of the lines joined if that finds others."""
+    lines = F.split(sentence, r"\n")
+    single = F.transform(F.filter(lines, lambda s: F.regexp_like(s, F.lit(KEYWORDS))), lambda s: _identifier(_normal(s)))
+    both = F.transform(F.array(F.struct(single.alias("single"), _all_identifiers(_normal(sentence)).alias("joined"))), lambda f: F.when(F.size(F.array_except(f["joined"], f["single"])) > 0, f["joined"]).otherwise(f["single"]))
+    return F.when(F.regexp_like(sentence, F.lit(r"[^\n]\n+[^\n]")), both[0]).otherwise(single)
+
+
 def _in_turn(names: list[str]) -> str:
     return ";" + ";([^;]+;)*".join(names) + ";"
 
@@ -138,12 +167,16 @@ def _in_turn(names: list[str]) -> str:
 def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_sentences, n_named, n_unknown, sentence_ids, licenses.
 
+    n_sentences counts lines and parts of lines that end with a stop. A sentence over several lines gives the
+    identifiers of its lines, or, if its lines joined meet further rules, those of the joined lines.
     sentence_ids joins the identifiers of the document in order by ';', licenses the licences found by ',' in
     the order of the rules. A null or empty text has no sentences; repeated rows give repeated results; further
     columns are not looked at; an empty table gives an empty result."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _sentences(F.coalesce(F.col(text_col), F.lit(""))).alias("sentences"))
-    about = F.transform(F.filter("sentences", lambda s: F.regexp_like(s, F.lit(KEYWORDS))), lambda s: _identifier(_normal(s)))
-    rows = rows.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), F.filter(about, lambda i: i != "").alias("ids"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    about = F.filter(_wrapped(text), lambda s: F.regexp_like(s, F.lit(SPREAD)))
+    ids = F.when(F.regexp_like(text, F.lit(SPREAD)), F.flatten(F.transform(about, _identifiers))).otherwise(F.array().cast("array<string>"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.size(_sentences(text)).cast("long").alias("n_sentences"), ids.alias("ids"))
+    rows = rows.select("doc_id", "n_sentences", F.filter("ids", lambda i: i != "").alias("ids"))
     rows = rows.withColumn("named", F.filter("ids", lambda i: i != "unknown"))
     turn = F.concat(F.lit(";"), F.array_join("named", ";"), F.lit(";"))
     found = F.array(*[

@@ -220,6 +220,27 @@ def test_licences(documents):
     assert licenses.licenses(documents([])).collect() == []
 
 
+def test_wrapped_licences(documents):
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above
+   copyright notice, this list of conditions and the following disclaimer.
+"""
+    name = "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one."
+    apache = "you may not use this file except in\ncompliance with the License.\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS."
+    rows = [(1, bsd + name), (2, bsd), (3, gpl), (4, mpl), (5, apache), (6, "Under the Mozilla Public License, v. 2.0."), (7, "Released under the MIT\nLicense\nLicensed under the Apache\nLicense, Version 2.0"),
+            (8, "Released under the MIT License\nLicensed under the Apache License, Version 2.0"), (9, "under the terms of the GNU\n\nGeneral Public License")]
+    rows += [(10 * d + k, "\n".join(mark + line for line in t.split("\n"))) for d, t in rows[:4] for k, mark in ((1, " * "), (2, "# "), (3, "// "), (4, "-- "))]
+    got = {r.doc_id: r.licenses for r in licenses.licenses(documents(rows)).collect()}
+    want = {1: "BSD-3-Clause", 2: "BSD-2-Clause", 3: "GPL-3.0", 4: "MPL-2.0", 5: "Apache-2.0", 6: "MPL-2.0", 7: "Apache-2.0,MIT", 8: "Apache-2.0,MIT", 9: ""}
+    assert got == want | {10 * d + k: want[d] for d in range(1, 5) for k in range(1, 5)}
+
+
 def test_quotations(session):
     rows = [(1, 0, "user", "Hello there.\nHow are you?"), (1, 1, "assistant", "> How are you?\nFine."), (1, 2, "user", "> Hello there. How are you?\nAgain"), (1, 3, "assistant", ">> how ARE  you?\n> Fine.\nOk"), (1, 4, "user", "> nothing known\nx"),
             (1, 5, "user", "> ok\n> Again\nx"), (2, 0, "user", None), (2, 1, "user", "> Fine."), (2, 2, "user", ""), (3, 5000, "u", "> a"), (3, 1, "u", "a"), (3, 4500, "u", "a"), (3, 9000, "u", "> a\n> b"), (3, 9001, "v", "b"), (3, 9001, "v", "b"), (4, 7, "u", "y " * 30_000)]
