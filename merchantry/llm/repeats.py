@@ -32,6 +32,8 @@ WINDOW = LENGTH - GRAM + 1
 RANGE_BYTES, LEAST_RANGES = 8_000_000, 1024
 #: An anchor with more different contexts is dealt out further, by what its windows have in common.
 CROWD, STEP = 5_000, 32
+#: Bodies with more in common than that go window by window instead of meeting in one task.
+MEETING = 5_000
 HELD = 400_000
 
 
@@ -212,6 +214,45 @@ def _repeated_windows(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"anchor": found["anchor"].to_numpy(), "whole": found["whole"].to_numpy(), "begin": first[new], "end": first[last]})
 
 
+def _meeting(wide: KeyFilter, within: bool):
+    """Bodies whose route is a wide one, or those of the other routes."""
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(wide.test(batch.column("route").to_numpy()) == within, pa.bool_()))
+    return run
+
+
+@tidied
+def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each window of each body by two hashes over its blocks: (anchor, whole, place, a, b)."""
+    for batch in batches:
+        for anchor, whole, skip, body in zip(*(batch.column(k).to_pylist() for k in ("anchor", "whole", "skip", "body")), strict=True):
+            data = np.frombuffer(body, np.uint8)
+            n = len(data) - LENGTH + 1
+            at = np.arange(n + LENGTH - BLOCK)
+            hashes = mix64(ranges(prefix_sums(BYTE[data]), at, at + BLOCK))
+            a, b = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+            for h in range(LENGTH // BLOCK):
+                block = hashes[BLOCK * h:][:n]
+                a, b = mix64(a + block), mix64((b ^ block) * np.uint64(0x9E3779B97F4A7C15))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, anchor, np.int64)), pa.array(np.full(n, whole, np.int64)), pa.array(np.arange(n) + skip), pa.array(_signed(a)), pa.array(_signed(b))], ["anchor", "whole", "place", "a", "b"])
+
+
+def _repeats_by_window(bodies: DataFrame) -> DataFrame:
+    """What _repeated_windows finds, without a group that holds all bearers of a passage: a window is a repeat if its hashes
+    have two places. Counted on the map side; the join back can be split where a window is everywhere."""
+    key = ["anchor", "a", "b"]
+    windows = cut_lineage(bodies.select("anchor", "whole", "skip", "body").mapInArrow(_single_windows, "anchor long, whole long, place long, a long, b long"), "windows")
+    spread = windows.groupBy(*key).agg(*[f(k).alias(f"{k}_{f.__name__}") for k in ("whole", "place") for f in (F.min, F.max)])
+    repeated = cut_lineage(spread.where("whole_min <> whole_max OR place_min <> place_max").select(*key), "repeated")
+    places = windows.join(repeated, key).groupBy("anchor", "whole").agg(F.collect_set("place").alias("places")).withColumn("places", F.array_sort("places"))
+    edge = lambda step: F.filter("places", lambda p: ~F.array_contains(F.col("places"), p + F.lit(step).cast("long")))
+    runs = F.arrays_zip(edge(-1).alias("begin"), edge(1).alias("end"))
+    return places.select("anchor", "whole", F.inline(runs).alias("begin", "end"))
+
+
 # --- the operator -------------------------------------------------------------------------------
 
 def _sent(contested: KeyFilter, several: KeyFilter, crowded: KeyFilter):
@@ -269,8 +310,12 @@ def removed_runs(docs: DataFrame) -> DataFrame:
     several = KeyFilter.of(known.where("contexts > 1"), "whole", counts[1] or 0)
     crowded = KeyFilter.of(known.where(F.col("contexts") > CROWD), "anchor", counts[2] or 0)
     sent = cut_lineage(docs.mapInArrow(_sent(contested, several, crowded), _SENT), "sent")
-    bodies = sent.where("body IS NOT NULL").select("anchor", "whole", "skip", "shard", "body", F.pmod(F.xxhash64("route"), F.lit(ranges_n)).alias("part"))
-    merged = bodies.groupBy("part").applyInPandas(_repeated_windows, "anchor long, whole long, begin long, end long")
+    bodies = sent.where("skip IS NOT NULL").select("anchor", "whole", "skip", "route", "shard", "body")
+    wide = cut_lineage(bodies.groupBy("route").count().where(F.col("count") > MEETING), "wide")
+    wide = KeyFilter.of(wide, "route", wide.count())
+    meeting = bodies.mapInArrow(_meeting(wide, False), bodies.schema).withColumn("part", F.pmod(F.xxhash64("route"), F.lit(ranges_n)))
+    merged = meeting.groupBy("part").applyInPandas(_repeated_windows, "anchor long, whole long, begin long, end long")
+    merged = merged.unionByName(_repeats_by_window(bodies.mapInArrow(_meeting(wide, True), bodies.schema)))
     runs = cut_lineage(merged.groupBy("anchor", "whole").agg(F.collect_list(F.struct("begin", "end")).alias("runs")), "merged")
     # Stored, so that both sides of the next join are dealt out for it and a context found everywhere can be split.
     judged = cut_lineage(known.join(runs, ["anchor", "whole"], "left").where("twice OR runs IS NOT NULL"), "judged")

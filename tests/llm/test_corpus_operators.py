@@ -159,6 +159,26 @@ def test_repeats(documents, monkeypatch, crowd):
     assert rows_of(got.drop("kept")) == plain_repeats(rows)
 
 
+@pytest.mark.parametrize("crowd", [5000, 0])
+def test_bearers_of_a_passage_do_not_meet(documents, monkeypatch, crowd):
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    monkeypatch.setattr(repeats, "MEETING", 5)
+    one = repeats._repeated_windows
+
+    def few(group):
+        if group.groupby("route").size().max() > 5:
+            raise ValueError("a task holds all bearers of a passage")
+        return one(group)
+
+    monkeypatch.setattr(repeats, "_repeated_windows", few)
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choices("abcde", k=rng.randint(1, 6))) for _ in range(n))
+    passage, other = text(130), text(130)
+    rows = [(i, text(80) + passage + text(80)) for i in range(30)] + [(100 + i, text(80) + other + text(80)) for i in range(2)]
+    rows += [(200, passage + passage), (201, text(200)), (3, rows[3][1])]
+    assert rows_of(repeats.without_repeats(documents(rows)).drop("kept")) == plain_repeats(rows)
+
+
 def test_repeats_of_nothing(documents):
     assert repeats.without_repeats(documents([])).collect() == []
 
