@@ -8,12 +8,14 @@ finds the overlaps, counting common beginnings once and leaving subtrees that th
 
 The work goes in rounds: first between some neighbours within each shared shingle, in an order of its own for
 each shingle, which links most of what belongs together; then between sets that share one and are not yet in
-one component, at first only the likeliest pairs of two components, at last all pairs. So a group of thousands of
+one component, at first only the likeliest pairs of two components, at last all pairs; a large shingle is dealt
+to cells for that, and a component is not compared with itself. So a group of thousands of
 near copies is never paired out, and no link between components is lost.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +46,8 @@ SALTS = 64
 NEIGHBOURS = 2
 #: Pairs of two components that a task offers in the second round.
 LIKELIEST = 2
+#: Entries of a shingle that are compared in one cell; more are dealt to blocks of about that size, and blocks meet in pairs.
+CELL = 1024
 #: Partners that one trie holds.
 TRIE = 512
 _FACTORS = mix64(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -354,42 +358,77 @@ class Join:
         likeliest of two components that a task sees, or all."""
         entries = self.shared.where(F.col("m") > NEIGHBOURS + 1).select("h", "sig", "n")
         placed = cut_lineage(entries.join(roots, F.col("sig") == F.col("node"), "left").select("h", "sig", "n", F.coalesce("root", "sig").alias("root")), "placed")
-        several = placed.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("h")
-        left = placed.join(several, "h").join(self.sketches.select("sig", "sketch"), "sig").select("h", "sig", "n", "root", "sketch")
-        pairs = left.repartition("h").sortWithinPartitions("h", "n", "sig").mapInArrow(_across(most), "x long, y long").distinct()
+        several = cut_lineage(component_counts(placed), "several")
+        left = in_cells(placed.join(several, "h")).join(self.sketches.select("sig", "sketch"), "sig")
+        cell = ["h", "p", "q"]
+        pairs = left.select(*cell, "side", "sig", "n", "root", "sketch").repartition(*cell).sortWithinPartitions(*cell, "n", "sig").mapInArrow(_across(most), "x long, y long").distinct()
         return self.verified(pairs)
 
 
+def component_counts(placed: DataFrame) -> DataFrame:
+    """Shingles of several components: their largest one, and into how many blocks its entries and the others go."""
+    per = placed.groupBy("h", "root").agg(F.count("*").alias("k"))
+    per = per.groupBy("h").agg(F.max_by("root", F.struct("k", "root")).alias("great"), F.max("k").alias("k"), F.sum("k").alias("all"), F.count("*").alias("roots")).where("roots > 1")
+    blocks = lambda k: F.when(F.col("all") <= CELL, 0).otherwise(F.ceil(k / CELL)).cast("int")
+    return per.select("h", "great", blocks(F.col("k")).alias("great_blocks"), blocks(F.col("all") - F.col("k")).alias("rest_blocks"))
+
+
+def in_cells(entries: DataFrame) -> DataFrame:
+    """Each entry once in every cell (h, p, q) where it is compared. A small shingle is one cell. Of a large one, block p of the
+    entries outside the largest component meets each block of that component (q < 0) and each block q >= p of its own kind.
+    Entries of a cell are compared if their sides differ, or if side is 2. The largest component is never paired with itself."""
+    g, r = F.col("great_blocks"), F.col("rest_blocks")
+    own = F.col("root") == F.col("great")
+    block = F.pmod(F.xxhash64("sig"), F.greatest(F.when(own, g).otherwise(r), F.lit(1))).cast("int")
+    cell = lambda p, q, side: F.struct(p.cast("int").alias("p"), q.cast("int").alias("q"), F.lit(side).cast("int").alias("side") if isinstance(side, int) else side.cast("int").alias("side"))
+    of_great = F.transform(F.sequence(F.lit(0), r - 1), lambda p: cell(p, -1 - block, 0))
+    with_great = F.transform(F.sequence(F.lit(0), g - 1), lambda q: cell(block, -1 - q, 1))
+    of_rest = F.transform(F.sequence(F.lit(0), r - 1), lambda o: cell(F.least(block, o), F.greatest(block, o), F.when(block == o, 2).when(block < o, 0).otherwise(1)))
+    cells = F.when(g == 0, F.array(cell(F.lit(0), F.lit(0), 2))).when(own, of_great).otherwise(F.concat(with_great, of_rest))
+    return entries.select("h", "sig", "n", "root", F.inline(cells))
+
+
 def _across(most: int | None):
-    """Pairs of different components within each shingle that sizes and sketches leave. Rows come by shingle and
-    ascending size, so a row meets those before it whose size is in reach."""
+    """Pairs of different components within each cell that sizes and sketches leave. Rows come by cell and
+    ascending size, so a row meets those of other components before it whose size is in reach; the others are let go."""
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, held, at, out, n_out = None, [], 0, {}, 0
+        cell, held, out, n_out = None, {}, {}, 0
         for batch in batches:
-            for one, sig, n, root, marks in zip(*(batch.column(k).to_pylist() for k in ("h", "sig", "n", "root", "sketch")), strict=True):
-                if one != h:
-                    h, held, at = one, [], 0
+            for h, p, q, side, sig, n, root, marks in zip(*(batch.column(k).to_pylist() for k in ("h", "p", "q", "side", "sig", "n", "root", "sketch")), strict=True):
+                if (h, p, q) != cell:
+                    cell, held = (h, p, q), {}
                 bits, size = int.from_bytes(marks, "little"), 8 * len(marks)
-                while at < len(held) and DEN * held[at][0] < NUM * n:
-                    at += 1
-                for m, other, its, theirs, width in held[at:]:
-                    if its == root or other == sig:
+                gone = []
+                for (its, at), group in held.items():
+                    if its == root or at == side != 2:
                         continue
-                    mine, small = bits, size
-                    while small > width:
-                        small //= 2
-                        mine = (mine & (1 << small) - 1) ^ mine >> small
-                    differ = (mine ^ theirs).bit_count()
-                    if differ <= m + n - 2 * least_overlap(m, n):
-                        key = (its, root) if its < root else (root, its)
-                        offers, pair = out.setdefault(key, {}), (sig, other) if sig < other else (other, sig)
-                        if pair not in offers:
-                            offers[pair], n_out = differ, n_out + 1
-                            if most and len(offers) > most:
-                                del offers[max(offers, key=lambda p: (offers[p], p))]
-                                n_out -= 1
-                held.append((n, sig, root, bits, size))
+                    while group and DEN * group[0][0] < NUM * n:
+                        group.popleft()
+                    if not group:
+                        gone.append((its, at))
+                    for m, other, theirs, width in group:
+                        if other == sig:
+                            continue
+                        mine, small = bits, size
+                        while small > width:
+                            small //= 2
+                            mine = (mine & (1 << small) - 1) ^ mine >> small
+                        differ = (mine ^ theirs).bit_count()
+                        if differ <= m + n - 2 * least_overlap(m, n):
+                            key = (its, root) if its < root else (root, its)
+                            offers, pair = out.setdefault(key, {}), (sig, other) if sig < other else (other, sig)
+                            if pair not in offers:
+                                offers[pair], n_out = differ, n_out + 1
+                                if most and len(offers) > most:
+                                    del offers[max(offers, key=lambda p: (offers[p], p))]
+                                    n_out -= 1
+                for name in gone:
+                    del held[name]
+                mine = held.setdefault((root, side), deque())
+                while mine and DEN * mine[0][0] < NUM * n:
+                    mine.popleft()
+                mine.append((n, sig, bits, size))
             if n_out >= 200_000:
                 yield _pairs([p for offers in out.values() for p in offers])
                 out, n_out = {}, 0

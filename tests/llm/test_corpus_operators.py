@@ -10,6 +10,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from merchantry.llm import components, licenses, line_dedup, ngram_join, quotes, repeats, rolling
 from tests.llm.conftest import rows_of
@@ -107,6 +108,34 @@ def test_sketches_never_hide_a_link():
             assert ngram_join.may_link(len(a), len(b), ngram_join.sketch(a), ngram_join.sketch(b))
 
 
+def test_large_shingles_are_compared_in_cells(session, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CELL", 8)
+    # (h, sig, n, root): one large component beside small ones; many single sets; two components of a size; one component alone.
+    rows = [(1, i, 100 + i % 40, 0 if i >= 3 else i + 900) for i in range(200)] + [(2, 1000 + i, 50 + i % 9, 1000 + i) for i in range(30)]
+    rows += [(3, 2000 + i, 80, i % 2) for i in range(40)] + [(4, 3000 + i, 80, 7) for i in range(50)] + [(5, 4000 + i, 80 + i, i % 3) for i in range(6)]
+    placed = session.createDataFrame(rows, "h long, sig long, n long, root long")
+    cells = ngram_join.in_cells(placed.join(ngram_join.component_counts(placed), "h")).withColumn("sketch", F.lit(bytes(8)).cast("binary")).repartition(3, "h", "p", "q").cache()
+    assert max(r["count"] for r in cells.groupBy("h", "p", "q").count().collect()) < 40
+    assert {r.h for r in cells.collect()} == {1, 2, 3, 5}
+    got = {tuple(r) for r in cells.sortWithinPartitions("h", "p", "q", "n", "sig").mapInArrow(ngram_join._across(None), "x long, y long").collect()}
+    assert got == {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[3] != b[3] and 100 * min(a[2], b[2]) >= 80 * max(a[2], b[2])}
+
+
+@pytest.mark.parametrize("cell", [1, 3])
+def test_cells_lose_no_link(documents, monkeypatch, cell):
+    base, rng = words(random.Random(31), 120), random.Random(32)
+    rows = []
+    for i in range(40):
+        own = list(base)
+        for _ in range(rng.randint(0, 4)):
+            own[rng.randrange(len(own))] = f"w{rng.randrange(10 ** 6)}"
+        rows.append((i, " ".join(own)))
+    rows += [(100 + i, " ".join(base[:60] + words(rng, 60))) for i in range(6)]
+    monkeypatch.setattr(ngram_join, "CELL", cell)
+    df = ngram_join.jaccard_components(documents(rows)).select("doc_id", "n_shingles", "component_id")
+    assert compare(df, in_duckdb(rows), ngram_join.SQL)[0] is None
+
+
 def test_components_of_a_chain(session):
     links = session.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95)], "x long, y long")
     got = dict(tuple(r) for r in components.components(links).collect())
