@@ -442,10 +442,10 @@ def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, n_links, set_id.
+    """One row per input row: doc_id, n_shingles, component_id, n_verified, set_id.
 
-    component_id is the least doc_id reachable by links, n_links the verified links that the row's set
-    has to other sets (links within a component that was already joined are not all listed), set_id a number
+    component_id is the least doc_id reachable by links, n_verified the links of the row's set that were verified to
+    find the components (not all links within a component: the number depends on the run), set_id a number
     that rows of one set share. A null or blank text has no shingles, component_id its own doc_id, and links
     with nothing; a row without an id gets no component_id and links with nothing; rows of equal sets are one
     set; rows of one id count as one document; further columns are not looked at; an empty table gives an empty
@@ -466,7 +466,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labels = cut_lineage(named.join(degree, "sig", "left"), "labels")
     out = join.rows.select("doc_id", "n", "sig").join(labels, "sig", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.col("sig").alias("set_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_verified"), F.col("sig").alias("set_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -136,6 +136,10 @@ def test_cells_lose_no_link(documents, monkeypatch, cell):
     assert compare(df, in_duckdb(rows), ngram_join.SQL)[0] is None
 
 
+def test_links_are_called_what_they_are(documents):
+    assert ngram_join.jaccard_components(documents([])).columns == ["doc_id", "n_shingles", "component_id", "n_verified", "set_id"]
+
+
 def test_components_of_a_chain(session):
     links = session.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95)], "x long, y long")
     got = dict(tuple(r) for r in components.components(links).collect())
