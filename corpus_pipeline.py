@@ -26,7 +26,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with pseudonyms in place of private data."""
-    return pii.replace_private(docs)
+    return pii.replace_private(docs, pii.key_of(spark))
 
 
 #: Words a worker keeps while packing: fewer than op3 alone, as workers of earlier stages are still about.

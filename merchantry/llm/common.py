@@ -30,6 +30,17 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that the frame does not have, whatever it has."""
+    taken, names = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        taken.add(stem.lower())
+        names.append(stem)
+    return names
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

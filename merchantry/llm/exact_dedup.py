@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from merchantry.llm.common import KeyFilter, mix64, table, tidied
+from merchantry.llm.common import KeyFilter, mix64, prepare, table, tidied, unused
 from merchantry.session import cut_lineage
 
 #: Digests to a filter; the number of buckets follows from it.
@@ -144,7 +144,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty, an empty text is a text like any other. The least id of a group stays; rows without an id never
     stay while the group has a row with one, and rows repeated with one id share their fate. Other
     columns, whatever their names, are not looked at. An empty table gives an empty result."""
-    spark = docs.sparkSession
+    prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), normalised(F.col(text_col)).alias("body"))
     digests = cut_lineage(rows.select("id", F.sha2("body", 256).alias("digest"), F.pmod(F.xxhash64("id"), F.lit(arrivals)).cast("int").alias("arrival")), "digests")
     groups = cut_lineage(exact_groups(digests, arrivals), "groups")
@@ -177,11 +177,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows that stay, one for each text, with all their columns; of rows repeated with one id and
-    text any one stays."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept")).distinct()
-    rows = docs.withColumn("__digest", F.sha2(normalised(F.col(text_col)), 256))
-    rows = rows.join(kept, [rows[id_col].cast("long").eqNullSafe(kept["__id"]), rows["__digest"] == kept["__kept"]], "left_semi")
-    return rows.dropDuplicates(["__digest"]).drop("__digest")
+    text any one stays. Columns may have any names."""
+    digest, own_id, own_digest = unused(docs, "digest", "own_id", "own_digest")
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(own_id), F.col("text_sha256").alias(own_digest)).distinct()
+    rows = docs.withColumn(digest, F.sha2(normalised(F.col(text_col)), 256))
+    rows = rows.join(kept, [rows[id_col].cast("long").eqNullSafe(kept[own_id]), rows[digest] == kept[own_digest]], "left_semi")
+    return rows.dropDuplicates([digest]).drop(digest)
 
 
 def op5_exact_dedup(spark, sf_dir):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merchantry.llm.common import KeyFilter, mix64, table, text_bytes, tidied
+from merchantry.llm.common import KeyFilter, mix64, prepare, table, text_bytes, tidied, unused
 from merchantry.llm.components import components
 from merchantry.llm.rolling import words_by_row
 from merchantry.session import cut_lineage
@@ -450,6 +450,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     with nothing; a row without an id gets no component_id and links with nothing; rows of equal sets are one
     set; rows of one id count as one document; further columns are not looked at; an empty table gives an empty
     result. Sets are told apart by 64-bit sums over their shingle hashes."""
+    prepare(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     join = Join(docs)
     links = join.first_round()
@@ -471,10 +472,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows of the least id of each component, with all their columns; rows without an id or without
-    words are in no component and stay."""
+    words are in no component and stay. Columns may have any names."""
+    [name] = unused(docs, "gone")
     found = jaccard_components(docs, id_col, text_col)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == gone[name], "left_anti")
 
 
 def op1_ngram_jaccard(spark, sf_dir):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from merchantry.llm.common import table, tidied
+from merchantry.llm.common import prepare, table, tidied
 from merchantry.session import cut_lineage
 
 SEQUENCE = 2048
@@ -218,6 +218,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, most: i
     at; an empty table gives an empty result. ``cached`` bounds a worker's word table (MOST_CACHED by default); it
     only changes memory and time. The driver gets one count for each length (at most ``most``),
     and the runs of the plan, of which there are some for each length."""
+    prepare(docs.sparkSession)
     tokenizer = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     cut = cut_lineage(pieces(docs, tokenizer, end_id, most, id_col, text_col, cached), "pieces")
     by_part = cut_lineage(cut.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")

@@ -18,7 +18,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merchantry.llm.common import table, tidied
+from merchantry.llm.common import prepare, table, tidied
 
 MARK = "▁"
 MOST_CACHED = 500_000
@@ -110,8 +110,9 @@ def _table_of(path: str) -> ChunkTable:
 def encoded(docs: DataFrame, model: str | None = None, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256; with_ids adds ids and decoded.
 
-    A null text is empty, and an empty text has no ids; repeated rows give repeated results; further columns
-    are not looked at; an empty table gives an empty result."""
+    A null text is empty, and an empty text has no ids; very long texts are read whole, word by word; repeated rows give
+    repeated results; further columns are not looked at; an empty table gives an empty result."""
+    prepare(docs.sparkSession)
     model = model or public_tokenizers.path("piece_bpe_32k.model")
 
     @tidied

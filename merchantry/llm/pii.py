@@ -11,25 +11,34 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import secrets
 from collections import Counter
 from collections.abc import Iterator
 from math import isqrt
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchantry.llm.common import table, tidied
+from merchantry.llm.common import prepare, table, tidied
 
 ROUNDS = 10
-#: Used where no key is given; give one of your own to keep pseudonyms from being undone.
-DEFAULT_KEY = b"merchantry pseudonyms"
+#: The session setting that holds the key.
+KEY_SETTING = "spark.merchantry.pii.key"
+_KEY_OF_RUN = secrets.token_bytes(32)
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The key of the session's settings; without one, a key drawn for this driver process alone, which nobody can use to undo
+    the pseudonyms afterwards, and under which equal values are linked within the run but not from run to run."""
+    named = spark.conf.get(KEY_SETTING, None)
+    return named.encode() if named else _KEY_OF_RUN
 
 
 class Feistel:
     """Keyed permutations of 0..size-1, one for each kind."""
 
-    def __init__(self, key: bytes = DEFAULT_KEY):
+    def __init__(self, key: bytes):
         self.key = hashlib.blake2b(key, digest_size=32).digest()
 
     def _round(self, kind: str, size: int, i: int, half: int) -> int:
@@ -258,19 +267,22 @@ def _mapped(text_col: str, key: bytes, counts: bool):
     return run
 
 
-def pseudonyms(docs: DataFrame, key: bytes = DEFAULT_KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonyms(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, text with pseudonyms, n_replaced, kinds ("email:2,ipv4:1").
 
-    A null text stays null and an empty one empty; a text without private data stays as it is; repeated rows
-    give repeated results; further columns are not looked at; an empty table gives an empty result."""
+    A null text stays null and an empty one empty; a text without private data stays as it is; very long texts are read
+    whole; where two kinds claim the same place, the one listed first in KINDS has it; repeated rows give repeated results;
+    further columns are not looked at; an empty table gives an empty result."""
+    prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_mapped("text", key, True), "doc_id long, text string, n_replaced long, kinds string")
 
 
-def replace_private(docs: DataFrame, key: bytes = DEFAULT_KEY, text_col: str = "text") -> DataFrame:
-    """The input with its texts replaced; all columns stay."""
+def replace_private(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
+    """The input with its texts replaced as pseudonyms() does; all columns and rows stay, null and empty texts too."""
+    prepare(docs.sparkSession)
     return docs.mapInArrow(_mapped(text_col, key, False), docs.schema)
 
 
 def op8_pii_pseudonyms(spark, sf_dir):
-    return pseudonyms(table(spark, sf_dir, "documents"))
+    return pseudonyms(table(spark, sf_dir, "documents"), key_of(spark))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merchantry.llm.common import table, tidied
+from merchantry.llm.common import prepare, table, tidied
 from merchantry.session import cut_lineage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -168,6 +168,8 @@ def _histograms(text: str | None, group: str, rules: Rules) -> tuple[np.ndarray,
 
 def features(docs: DataFrame, rules: Rules, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document with its counts and histograms. Stored, so that texts are read once."""
+    prepare(docs.sparkSession)
+
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,8 +211,9 @@ def quality(docs: DataFrame, rules: Rules | None = None, id_col: str = "doc_id",
     """One row per input row: the base counts, base_failed, both distances, kept.
 
     A null or empty text has no words and fails the base rules; a null or unlisted language is judged by
-    characters against all such documents; repeated rows are judged alike; further columns are not looked
-    at; an empty table gives an empty result."""
+    characters against all such documents; very long texts are read whole; distances equal to a threshold pass; repeated rows
+    are judged alike, and each counts in the references; further columns are not looked at; an empty table gives an empty
+    result."""
     rules = rules or Rules()
     found = cut_lineage(features(docs, rules, id_col, text_col, lang_col), "quality")
     refs = references(found, rules)
@@ -228,8 +231,8 @@ def quality(docs: DataFrame, rules: Rules | None = None, id_col: str = "doc_id",
 
 
 def keep_good(docs: DataFrame, rules: Rules | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The input rows that pass, with all their columns. The second reading judges each row in place, so no
-    text is shuffled."""
+    """The input rows that pass, with all their columns, as quality() judges them: rows with a null or empty text go, as does an
+    empty table's nothing. The second reading judges each row in place, so no text is shuffled."""
     rules = rules or Rules()
     refs = references(cut_lineage(features(docs, rules, id_col, text_col, lang_col).select("lang", "base_failed", "chars", "words"), "quality"), rules)
 

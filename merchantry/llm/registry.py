@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from merchantry.llm import exact_dedup, licenses, line_dedup, ngram_join, packing, pieces, pii, quality, quotes, repeats
+from merchantry.llm import exact_dedup, hard_negatives, licenses, line_dedup, ngram_join, packing, pieces, pii, quality, quotes, repair, repeats, toxicity
 from merchantry.session import configure
 
 QUERIES = [
     ngram_join.op1_ngram_jaccard, licenses.op2_license_scan, packing.op3_best_fit_packing, line_dedup.op4_line_dedup, exact_dedup.op5_exact_dedup, quality.op6_quality_divergence, pieces.op7_sentencepiece,
-    pii.op8_pii_pseudonyms, repeats.op9_suffix_repeats, quotes.op10_quotation_links,
+    pii.op8_pii_pseudonyms, repeats.op9_suffix_repeats, quotes.op10_quotation_links, hard_negatives.op11_hard_negatives, toxicity.op12_toxicity, repair.op13_conversation_repair,
 ]
 SQL = {
     "op1_ngram_jaccard": ngram_join.SQL, "op2_license_scan": licenses.sql(), "op4_line_dedup": line_dedup.SQL, "op5_exact_dedup": exact_dedup.SQL, "op10_quotation_links": quotes.SQL,
+    "op11_hard_negatives": hard_negatives.SQL, "op13_conversation_repair": repair.SQL,
 }
 
 

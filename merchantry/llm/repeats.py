@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merchantry.llm.common import KeyFilter, mix64, table, text_bytes, tidied
+from merchantry.llm.common import KeyFilter, mix64, prepare, table, text_bytes, tidied
 from merchantry.llm.rolling import BYTE, SLICE, prefix_sums, ranges, slices
 from merchantry.session import cut_lineage
 
@@ -345,39 +345,44 @@ def _cut(text: bytes, runs: list[dict]) -> tuple[bytes, int]:
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept (binary, as a cut may fall within a character;
-    null if nothing was removed), kept_sha256.
+    null if nothing was removed), kept_sha256, text (what is left; the pieces of a character that a cut went through
+    read as U+FFFD).
 
-    A null text is empty; texts under LENGTH bytes hold no repeat; repeated rows are repeats of one another; rows
-    without an id are treated like others; further columns are not looked at; an empty table gives an empty result."""
+    A null text is empty; texts under LENGTH bytes hold no repeat; very long texts are read whole, in overlapping slices; repeated
+    rows are repeats of one another; rows without an id are treated like others; further columns are not looked at; an empty table
+    gives an empty result."""
+    prepare(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     runs = cut_lineage(removed_runs(docs), "runs")
     touched = KeyFilter.of(runs, "key", runs.count())
 
-    @tidied
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, keys = _row_keys(batch)
-            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            maybe = touched.test(keys) if len(keys) else []
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(ids), pa.array(keys), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array([t if m else None for t, m in zip(texts, maybe, strict=True)], pa.binary())],
-                ["doc_id", "id", "key", "n_bytes", "sha", "body"])
+    def parted(within: bool):
+        """Rows that can have a run, or all others. Only the first kind travels to the join."""
+        @tidied
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids, keys = _row_keys(batch)
+                at = np.flatnonzero(touched.test(keys) == within) if len(keys) else []
+                if len(at):
+                    texts = [(t or "").encode() for t in batch.column("text").take(pa.array(at)).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), pa.array(ids[at]), pa.array(keys[at]), pa.array(texts, pa.binary())], ["doc_id", "id", "key", "body"])
+        return run
 
     @tidied
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, n, sha, body, spans in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "n_bytes", "sha", "body", "runs")), strict=True):
-                if spans is None:
-                    rows.append((doc_id, n, 0, 0, None, sha))
-                else:
-                    kept, n_spans = _cut(body, spans)
-                    rows.append((doc_id, n, n - len(kept), n_spans, kept, hashlib.sha256(kept).hexdigest()))
+            for doc_id, body, spans in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "body", "runs")), strict=True):
+                kept, n_spans = _cut(body, spans or [])
+                rows.append((doc_id, len(body), len(body) - len(kept), n_spans, kept if n_spans else None, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(),) * 4 + (pa.binary(), pa.string(), pa.string()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "text"])
 
-    every = docs.mapInArrow(split, "doc_id long, id long, key long, n_bytes long, sha string, body binary")
-    return every.join(runs, ["id", "key"], "left").select("doc_id", "n_bytes", "sha", "body", "runs").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    schema = "doc_id long, id long, key long, body binary"
+    joined = docs.mapInArrow(parted(True), schema).join(runs, ["id", "key"], "left").select("doc_id", "body", "runs")
+    apart = docs.mapInArrow(parted(False), schema).select("doc_id", "body", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"))
+    result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, text string"
+    return joined.mapInArrow(finish, result).unionByName(apart.mapInArrow(finish, result))
 
 
 def op9_suffix_repeats(spark, sf_dir):

@@ -189,7 +189,10 @@ def test_repeats(documents, monkeypatch, crowd):
         rows.append((i, own))
     rows += [(None, passages[0]), (7, None), (8, ""), (3, rows[3][1]), (3, rows[3][1]), (500, passages[3][:399]), (501, passages[3][:400]), (502, "z" * 399), (503, "q" * 400), (504, "y" * 401), (505, "w" * 30_000)]
     got = repeats.without_repeats(documents(rows))
-    assert rows_of(got.drop("kept")) == plain_repeats(rows)
+    assert rows_of(got.drop("kept", "text")) == plain_repeats(rows)
+    texts = sorted(t or "" for _, t in rows)
+    for r in got.collect():
+        assert r.text == r.kept.decode("utf-8", "replace") if r.n_removed else r.text in texts and r.kept is None
 
 
 @pytest.mark.parametrize("crowd", [5000, 0])
@@ -209,7 +212,7 @@ def test_bearers_of_a_passage_do_not_meet(documents, monkeypatch, crowd):
     passage, other = text(130), text(130)
     rows = [(i, text(80) + passage + text(80)) for i in range(30)] + [(100 + i, text(80) + other + text(80)) for i in range(2)]
     rows += [(200, passage + passage), (201, text(200)), (3, rows[3][1])]
-    assert rows_of(repeats.without_repeats(documents(rows)).drop("kept")) == plain_repeats(rows)
+    assert rows_of(repeats.without_repeats(documents(rows)).drop("kept", "text")) == plain_repeats(rows)
 
 
 def test_repeats_of_nothing(documents):

@@ -24,7 +24,7 @@ def test_pipeline(session):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", rows[d].text or ""), d)
     left = [(d, rows[d].text) for d in sorted(first.values())]
     ends = [d for d, _, c in plain_components(left) if d == c]
-    net = pii.Feistel()
+    net = pii.Feistel(pii.key_of(session))
     lengths = {}
     for d in ends:
         ids = [*WHOLE.encode(pii.pseudonymise(rows[d].text, net)[0] or "", add_special_tokens=False).ids, 0]

@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from merchantry.llm import exact_dedup, packing, pieces, pii, quality
+from merchantry.llm import exact_dedup, ngram_join, packing, pieces, pii, quality
 from tests.llm.conftest import rows_of
 
 ODD = ["", " ", "  a  b ", " a", "a ", "▁", "a▁b ▁", "x\n\ny \n z", "<|endoftext|> hi <|startoftext|>x", "it's 'stuff ''s I'll can't'tx", "ΑΣ ΑΣ. İstanbul ŉ ﬁ é ́a 가",
@@ -51,6 +51,15 @@ def test_exact_dedup(documents, arrivals):
     assert sorted(re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "") for r in kept.collect()) == sorted({t for _, t in norm})
 
 
+def test_columns_may_have_any_names(documents):
+    rows = [(1, "a b"), (2, "a  b"), (3, "c d e f g h")]
+    taken = {"id": "__id", "key": "own_id", "n": "gone", "sig": "__digest", "body": "own_digest", "kept": "__kept", "at": "__gone"}
+    odd = documents(rows).withColumnsRenamed(taken)
+    for stage, left in ((exact_dedup.keep_first, {1, 3}), (ngram_join.keep_one, {1, 3})):
+        kept = stage(odd)
+        assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == left
+
+
 def test_exact_dedup_of_nothing(documents):
     assert exact_dedup.exact_dedup(documents([])).collect() == []
 
@@ -143,7 +152,7 @@ def test_equal_values_stay_linked_and_clean_text_stays(documents):
     assert got[3].text == rows[2][1] and got[3].n_replaced == 0 and got[4].text is None and got[5].text == "" and got[None].kinds == "ipv4:1"
     assert got[9].text.endswith(got[None].text) and "555" not in got[1].kinds
     assert pii.replace_private(documents(rows), b"k").columns == documents(rows).columns
-    assert pii.pseudonyms(documents([])).collect() == []
+    assert pii.pseudonyms(documents([]), b"k").collect() == []
 
 
 # ---- tokens and packing --------------------------------------------------------------------------
@@ -248,3 +257,12 @@ def test_packed_table(documents):
         left.append(64 - at)
     assert sorted(left) == plain_best_fit([w[3] for w in want], 64)
     assert packing.pack(documents([])).collect() == []
+
+
+def test_key_of_the_session(session):
+    session.conf.unset(pii.KEY_SETTING)
+    drawn = pii.key_of(session)
+    assert len(drawn) == 32 and pii.key_of(session) == drawn
+    session.conf.set(pii.KEY_SETTING, "own key")
+    assert pii.key_of(session) == b"own key"
+    session.conf.unset(pii.KEY_SETTING)
