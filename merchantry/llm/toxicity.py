@@ -21,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from merchantry.llm.common import prepare, table, tidied
+from merchantry.llm.common import KeyFilter, prepare, table, tidied
 from merchantry.session import cut_lineage
 
 BUCKETS = 1 << 18
+ALL = BUCKETS
 BEGINNINGS = (3, 4, 5, 6)
 FACTORS = 8
 #: The machine is fitted on about so many labelled documents; the evidence is counted over all of them.
@@ -69,11 +70,11 @@ class Terms:
 
 @tidied
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task (bucket, documents with it, toxic ones)."""
-    terms, n, toxic = Terms(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    """Per task (bucket, documents with it, toxic ones); bucket ALL is every document."""
+    terms, n, toxic = Terms(), np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, np.int64)
     for batch in batches:
         for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            found = np.fromiter(terms(text), np.int64)
+            found = np.array([*terms(text), ALL], np.int64)
             n[found] += 1
             if label:
                 toxic[found] += 1
@@ -81,15 +82,20 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at]), pa.array(toxic[at])], ["bucket", "n", "toxic"])
 
 
-def evidence(taught: DataFrame, n: int, toxic: int) -> DataFrame:
-    """(bucket, value) of the buckets that speak. taught: (text, toxic) of n documents, so many of them toxic."""
-    counts = taught.select("text", "toxic").mapInArrow(_counted, "bucket int, n long, toxic long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+def bucket_counts(taught: DataFrame) -> DataFrame:
+    """(bucket, n, toxic) over documents (text, toxic); combined within tasks, at most a row per bucket in the end."""
+    counts = taught.select("text", "toxic").mapInArrow(_counted, "bucket int, n long, toxic long")
+    return counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+
+
+def evidence(counts: DataFrame, n: int, toxic: int) -> DataFrame:
+    """(bucket, value) of the buckets that speak, where n documents were counted, so many of them toxic."""
     held, both, total, marked = F.col("n").cast("double"), F.col("toxic").cast("double"), F.lit(float(n)), F.lit(float(toxic))
     gap = total * both - held * marked
     spread = held * (total - held) * marked * (total - marked)
     chi_square = F.when(spread > 0, total * gap * gap / spread).otherwise(0.0)
     left = chi_square - 2 * float(np.log(BUCKETS))
-    return counts.where(left > 0).select("bucket", (SCALE * F.sqrt(left / total)).cast("float").alias("value"))
+    return counts.where((F.col("bucket") != ALL) & (left > 0)).select("bucket", (SCALE * F.sqrt(left / total)).cast("float").alias("value"))
 
 
 # --- the machine --------------------------------------------------------------------------------
@@ -162,6 +168,15 @@ def _sampled(speaking: dict[int, int], scale: np.ndarray):
     return run
 
 
+def _screened(labelled: KeyFilter):
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(labelled.test(batch.column("doc_id").to_numpy())))
+    return run
+
+
 def _scored(model):
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,24 +196,30 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str =
     """One row per input row: doc_id, held_out, score (0 to 1), predicted (score of 0.5 or more). labels: (id, label).
 
     Learns from documents that have a label and aren't held out; only their texts are looked at. Several labels of one id count as
-    their greatest. A null or empty text has no terms and gets the score of a text that says nothing; a null label or id teaches
-    nothing, and a row without an id is not held out; very long texts are read whole; repeated rows get equal scores and each
-    teach; further columns are not looked at; without labels, or with labels of one kind only, no term speaks and every score is their
+    their greatest; of several rows with one id each counts as evidence, and one is in the sample that the machine is fitted on. A null or empty text has no terms and gets the score of a text that says nothing; a null label or id teaches
+    nothing, and a row without an id is not held out; very long texts are read whole; repeated rows get equal scores;
+    further columns are not looked at; without labels, or with labels of one kind only, no term speaks and every score is their
     smoothed rate; an empty table gives an empty result."""
     spark = prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    taught = rows.where("NOT held_out").join(known, "doc_id").select("doc_id", "text", "toxic")
-    n, toxic = taught.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).head()
+    known = cut_lineage(known, "labels")
+    # Only texts that can have a label travel to theirs.
+    labelled = KeyFilter.of(known, "doc_id", known.count())
+    free = rows.where("doc_id IS NOT NULL AND NOT held_out").select("doc_id", "text")
+    counts = cut_lineage(bucket_counts(free.mapInArrow(_screened(labelled), free.schema).join(known, "doc_id")), "counts")
+    n, toxic = counts.where(F.col("bucket") == ALL).select("n", "toxic").head() or (0, 0)
     bias = float(np.log((toxic + 0.1) / (n - toxic + 0.9)))
     # At most one row per bucket, then as many numbers for each: bounded however many documents there are.
-    spoken = sorted((r.bucket, r.value) for r in evidence(taught, n, toxic).collect()) if 0 < toxic < n else []
+    spoken = sorted((r.bucket, r.value) for r in evidence(counts, n, toxic).collect()) if 0 < toxic < n else []
     speaking, scale = {b: i for i, (b, _) in enumerate(spoken)}, np.array([v for _, v in spoken], float)
     weights = np.zeros((0, 1 + FACTORS))
     if speaking:
-        sample = taught.where(F.rand(7) < FIT_ROWS / n).select(F.xxhash64("doc_id").alias("key"), "text", "toxic")
-        entries = sample.mapInArrow(_sampled(speaking, scale), "key long, toxic int, at binary, values binary")
+        # Labels of the sample are at most twice FIT_ROWS, so they go to the texts.
+        share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(FIT_ROWS / n, 1)))
+        sample = free.join(F.broadcast(known.where(share).limit(2 * FIT_ROWS)), "doc_id").select(F.col("doc_id").alias("key"), "text", "toxic")
+        entries = sample.mapInArrow(_sampled(speaking, scale), "key long, toxic int, at binary, values binary").groupBy("key", "toxic").agg(F.min(F.struct("at", "values")).alias("e")).select("key", "toxic", "e.at", "e.values")
         fitted = cut_lineage(entries.repartition(1).mapInArrow(_fitted(speaking, scale, bias), "at int, weights array<double>"), "machine")
         numbers = [r.weights for r in sorted(fitted.collect(), key=lambda r: r["at"])]
         weights, bias = np.array(numbers[:-1]), numbers[-1][0]
