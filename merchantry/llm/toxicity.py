@@ -5,7 +5,7 @@ different words of the text fall into it. Each bucket has a weight and a vector,
 their vectors, so that an insult counts for more beside a group that it is aimed at, which no sum of weights can say.
 
 The evidence of every bucket is counted over all labelled documents that may teach: its chi-square with the label, less what
-the best of so many buckets reaches by chance. Buckets without any left are silent, the others' values are scaled by it. The
+the best of so many buckets reaches by chance and what a slight tendency makes of so many documents. Buckets without any left are silent, the others' values are scaled by it. The
 machine itself is fitted by gradient steps on a sample of about FIT_ROWS of those documents.
 """
 
@@ -29,7 +29,9 @@ ALL = BUCKETS
 BEGINNINGS = (3, 4, 5, 6)
 FACTORS = 8
 #: The machine is fitted on about so many labelled documents; the evidence is counted over all of them.
-FIT_ROWS = 50_000
+FIT_ROWS = 10_000
+#: Evidence that chance or a slight tendency explains does not count: that much of a correlation.
+SLIGHT = 0.03
 EPOCHS, BATCH, RATE, DECAY = 40, 1024, 0.1, 1e-5
 #: The scale of values, and words whose terms a worker remembers.
 SCALE, REMEMBERED = 4.0, 500_000
@@ -94,19 +96,22 @@ def evidence(counts: DataFrame, n: int, toxic: int) -> DataFrame:
     gap = total * both - held * marked
     spread = held * (total - held) * marked * (total - marked)
     chi_square = F.when(spread > 0, total * gap * gap / spread).otherwise(0.0)
-    left = chi_square - 2 * float(np.log(BUCKETS))
+    left = chi_square - 2 * float(np.log(BUCKETS)) - SLIGHT ** 2 * total
     return counts.where((F.col("bucket") != ALL) & (left > 0)).select("bucket", (SCALE * F.sqrt(left / total)).cast("float").alias("value"))
 
 
 # --- the machine --------------------------------------------------------------------------------
 
+def _summed(numbers: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Rows of numbers added up by their places among n."""
+    return np.stack([np.bincount(at, column, n) for column in numbers.T], axis=1)
+
+
 def raised(weights: np.ndarray, bias: float, at: np.ndarray, values: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of n documents, given as entries (row, bucket, value): their log-odds, sums of weights and vectors, and the scaled entries."""
     scaled = weights[at] * values[:, None]
-    sums = np.zeros((n, weights.shape[1]))
-    np.add.at(sums, row, scaled)
-    squares = np.zeros(n)
-    np.add.at(squares, row, (scaled[:, 1:] ** 2).sum(axis=1))
+    sums = _summed(scaled, row, n)
+    squares = np.bincount(row, (scaled[:, 1:] ** 2).sum(axis=1), n)
     return bias + sums[:, 0] + 0.5 * ((sums[:, 1:] ** 2).sum(axis=1) - squares), sums, scaled
 
 
@@ -130,10 +135,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, speaking:
             row = np.repeat(np.arange(len(part)), [len(rows[i][0]) for i in part])
             log_odds, sums, scaled = raised(weights, bias, at, values, row, len(part))
             error = (chance(log_odds) - labels[part]) / len(part)
-            step = np.zeros_like(weights)
             own = (error[row] * values)[:, None]
-            np.add.at(step, at, np.concatenate([own, own * (sums[row, 1:] - scaled[:, 1:])], axis=1))
-            step += DECAY * weights
+            step = _summed(np.concatenate([own, own * (sums[row, 1:] - scaled[:, 1:])], axis=1), at, speaking) + DECAY * weights
             seen += step ** 2
             weights -= RATE * step / np.sqrt(seen)
             seen_bias += error.sum() ** 2
@@ -141,10 +144,12 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, speaking:
     return weights, float(bias)
 
 
-def _entries(text: str | None, terms: Terms, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    counts = terms(text)
-    at = np.array(sorted(counts), np.int64)
-    return at, scale[at] * np.log2(1.0 + np.array([counts[i] for i in at.tolist()], float))
+def entries(texts: list[str | None], terms: Terms, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts: row, bucket and value of each entry, by rows."""
+    counts = [terms(t) for t in texts]
+    row = np.repeat(np.arange(len(texts)), [len(c) for c in counts])
+    at = np.fromiter((b for c in counts for b in c), np.int64, len(row))
+    return row, at, scale[at] * np.log2(1.0 + np.fromiter((k for c in counts for k in c.values()), float, len(row)))
 
 
 def _fitted(speaking: dict[int, int], scale: np.ndarray, bias: float):
@@ -163,8 +168,10 @@ def _sampled(speaking: dict[int, int], scale: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(speaking)
         for batch in batches:
-            found = [_entries(t, terms, scale) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("toxic"), pa.array([a.tobytes() for a, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], ["key", "toxic", "at", "values"])
+            row, at, values = entries(batch.column("text").to_pylist(), terms, scale)
+            ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            packed = [pa.array([x[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()) for x in (at, values)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("toxic"), *packed], ["key", "toxic", "at", "values"])
     return run
 
 
@@ -183,11 +190,9 @@ def _scored(model):
         speaking, scale, weights, bias = model.value
         terms = Terms(speaking)
         for batch in batches:
-            found = [_entries(t, terms, scale) for t in batch.column("text").to_pylist()]
-            if found:
-                row = np.repeat(np.arange(len(found)), [len(a) for a, _ in found])
-                at, values = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-                score = chance(raised(weights, bias, at, values, row, len(found))[0])
+            if n := batch.num_rows:
+                row, at, values = entries(batch.column("text").to_pylist(), terms, scale)
+                score = chance(raised(weights, bias, at, values, row, n)[0])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
     return run
 
@@ -219,8 +224,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str =
         # Labels of the sample are at most twice FIT_ROWS, so they go to the texts.
         share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(FIT_ROWS / n, 1)))
         sample = free.join(F.broadcast(known.where(share).limit(2 * FIT_ROWS)), "doc_id").select(F.col("doc_id").alias("key"), "text", "toxic")
-        entries = sample.mapInArrow(_sampled(speaking, scale), "key long, toxic int, at binary, values binary").groupBy("key", "toxic").agg(F.min(F.struct("at", "values")).alias("e")).select("key", "toxic", "e.at", "e.values")
-        fitted = cut_lineage(entries.repartition(1).mapInArrow(_fitted(speaking, scale, bias), "at int, weights array<double>"), "machine")
+        found = sample.mapInArrow(_sampled(speaking, scale), "key long, toxic int, at binary, values binary").groupBy("key", "toxic").agg(F.min(F.struct("at", "values")).alias("e")).select("key", "toxic", "e.at", "e.values")
+        fitted = cut_lineage(found.repartition(1).mapInArrow(_fitted(speaking, scale, bias), "at int, weights array<double>"), "machine")
         numbers = [r.weights for r in sorted(fitted.collect(), key=lambda r: r["at"])]
         weights, bias = np.array(numbers[:-1]), numbers[-1][0]
     model = spark.sparkContext.broadcast((speaking, scale, weights, bias))
