@@ -77,7 +77,7 @@ def sales_basket(t: DriverTables) -> DataFrame:
     return baskets.sales_basket(t.sales(False, False), stock, t.items())
 
 
-# With blocks of one item every pair of classes is a row of its own; the companions are the same.
+# With blocks of one item each item meets a voucher's others in a row of its own; the companions are the same.
 @case("basket_item_classes", f"""
     WITH {basket_sql("f_received", "grnvoucher")}
     SELECT zid, itemcode, other, round_even(support, 8) AS support, CAST(rank AS INTEGER) AS rank FROM ranked""")
@@ -93,18 +93,28 @@ def basket_item_classes(t: DriverTables) -> DataFrame:
 
 
 @case("basket_matrix", f"""
-    WITH {basket_sql("f_sales", "voucher")},
-    rowsum AS (
-        SELECT c.zid, c.itemcode, CAST(COALESCE(sum(k.shared), 0) AS DOUBLE) / c.n AS s
-        FROM counts c LEFT JOIN (SELECT r.zid, r.itemcode, k.shared FROM ranked r JOIN candidates k
-             ON k.zid = r.zid AND k.itemcode = r.itemcode AND k.other = r.other) k ON k.zid = c.zid AND k.itemcode = c.itemcode
-        GROUP BY c.zid, c.itemcode, c.n),
+    WITH presence AS (
+        SELECT zid, voucher, itemcode FROM f_sales WHERE voucher IS NOT NULL GROUP BY zid, voucher, itemcode HAVING sum(quantity) >= 1),
+    counts AS (
+        SELECT zid, itemcode, count(DISTINCT CASE WHEN q >= 1 THEN voucher END) AS n
+        FROM (SELECT zid, voucher, itemcode, sum(quantity) AS q FROM f_sales WHERE voucher IS NOT NULL GROUP BY zid, voucher, itemcode)
+        GROUP BY zid, itemcode),
+    -- The best codes of a number of shared vouchers, not all pairs in order: five lists to an item at most.
+    pairs AS (
+        SELECT a.zid, a.itemcode, b.itemcode AS other, count(*) AS shared
+        FROM presence a JOIN presence b ON a.zid = b.zid AND a.voucher = b.voucher AND a.itemcode <> b.itemcode GROUP BY ALL),
     best AS (
+        SELECT zid, itemcode, unnest(min(struct_pack(rest := -shared, other := other), 5)) AS b FROM pairs GROUP BY zid, itemcode),
+    cells AS (
+        SELECT b.zid, b.itemcode, b.b.other AS other, -b.b.rest AS shared, c.n FROM best b JOIN counts c ON c.zid = b.zid AND c.itemcode = b.itemcode),
+    rowsum AS (
+        SELECT c.zid, c.itemcode, COALESCE(CAST(sum(k.shared) AS DOUBLE) / c.n, 0) AS s
+        FROM counts c LEFT JOIN cells k ON k.zid = c.zid AND k.itemcode = c.itemcode GROUP BY c.zid, c.itemcode, c.n),
+    chosen AS (
         SELECT zid, itemcode, s / count(*) OVER (PARTITION BY zid) AS mean_support FROM rowsum
         QUALIFY row_number() OVER (PARTITION BY zid ORDER BY s DESC, itemcode) <= 100)
-    SELECT r.zid, r.itemcode, r.other, round_even(r.support, 4) AS support, round_even(b.mean_support, 8) AS mean_support
-    FROM ranked r JOIN best b ON b.zid = r.zid AND b.itemcode = r.itemcode
-         JOIN best o ON o.zid = r.zid AND o.itemcode = r.other
-    WHERE r.support > 0""")
+    SELECT r.zid, r.itemcode, r.other, round_even(CAST(r.shared AS DOUBLE) / r.n, 4) AS support, round_even(b.mean_support, 8) AS mean_support
+    FROM cells r JOIN chosen b ON b.zid = r.zid AND b.itemcode = r.itemcode
+         JOIN chosen o ON o.zid = r.zid AND o.itemcode = r.other""")
 def basket_matrix(t: DriverTables) -> DataFrame:
     return baskets.basket_matrix(t.sales(False, False))

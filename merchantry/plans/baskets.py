@@ -12,8 +12,10 @@ from merchantry.operators.figures import stored_figure
 from merchantry.session import cut_lineage
 
 TOP = 5
-#: Item classes of a voucher that one row of the pair count holds on each side. Only spreads the work.
+#: Items of a voucher that meet all its others in one place. Only spreads the work.
 BLOCK = 256
+#: At most so many of an item's largest vouchers are skipped. More only saves work where as many large vouchers hold the same items.
+DEPTH = 4
 
 
 def voucher_items(df: DataFrame, voucher: str) -> DataFrame:
@@ -45,74 +47,85 @@ def item_counts(presence: DataFrame) -> DataFrame:
         F.sum(F.col("present").cast("int")).cast("long").alias("vouchers"))
 
 
-def item_classes(present: DataFrame) -> DataFrame:
-    """Items that are in exactly the same vouchers form one class: (zid, itemcode, class).
+def skipped_vouchers(rows: DataFrame, top: int = TOP, depth: int = DEPTH) -> DataFrame:
+    """Per item its largest vouchers, in which companions need not be counted one by one: (zid, itemcode, skipped).
 
-    The class is named by its least item. Equal sums over hashed vouchers only propose a class; an item stays in it
-    when each of its vouchers also holds that least item, otherwise it is a class of its own.
+    The largest one always; further ones as long as more than ``top`` items have the same largest vouchers, at most ``depth``.
+    Those items are found together that often, which is a floor for the companions of each: one that is found less often
+    can't be among the best, and one found more often is also met in another voucher.
     """
-    marks = present.groupBy("zid", "itemcode").agg(
-        F.count("*").alias("n"), F.sum(F.xxhash64("voucher").cast("decimal(20,0)")).alias("mark"))
-    alike = ["zid", "n", "mark"]
-    least = marks.groupBy(*alike).agg(F.min("itemcode").alias("class"), F.count("*").alias("members"))
-    proposed = cut_lineage(marks.join(least, alike).select("zid", "itemcode", "n", "class", "members"))
-    joining = proposed.filter(F.col("itemcode") != F.col("class")).select("zid", "itemcode", "class")
-    leading = proposed.filter((F.col("itemcode") == F.col("class")) & (F.col("members") > 1)).select("zid", "itemcode")
-    held = present.join(leading, ["zid", "itemcode"], "left_semi").select("zid", "voucher", F.col("itemcode").alias("class"))
-    agreed = (
-        present.join(joining, ["zid", "itemcode"]).join(held, ["zid", "voucher", "class"])
-        .groupBy("zid", "itemcode").agg(F.count("*").alias("agreed")))
-    stays = (F.col("itemcode") == F.col("class")) | (F.col("agreed") == F.col("n"))
-    return proposed.join(agreed, ["zid", "itemcode"], "left").select(
-        "zid", "itemcode", F.when(F.coalesce(stays, F.lit(False)), F.col("class")).otherwise(F.col("itemcode")).alias("class"))
-
-
-def class_pairs(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Shared vouchers per ordered pair of classes, a class with itself included: (zid, class, other_class, shared).
-
-    ``rows`` is (zid, voucher, class). The classes of a voucher are dealt into blocks by hash, as many as its size
-    asks for, and each pair of blocks is a row of its own: no task holds a whole large voucher.
+    sizes = rows.groupBy("zid", "voucher").agg(F.count("*").alias("size"))
+    largest = top_k_per_group(rows.join(sizes, ["zid", "voucher"]), ["zid", "itemcode"], [F.desc("size"), F.asc("voucher")], depth)
+    listed = F.array_sort(F.collect_list(F.struct("rank", "voucher")))
+    largest = cut_lineage(largest.groupBy("zid", "itemcode").agg(listed["voucher"].alias("largest")))
+    # Longer beginnings can only be shared by items that share the first two vouchers.
+    two = F.slice("largest", 1, 2)
+    alike = largest.filter(F.size("largest") > 1).groupBy("zid", two.alias("two")).agg(F.count("*").alias("n")).filter(F.col("n") > top)
+    alike = largest.withColumn("two", two).join(alike, ["zid", "two"], "left_semi")
+    begins = F.transform(F.sequence(F.lit(2), F.size("largest")), lambda n: F.slice("largest", 1, n))
+    begins = alike.select("zid", "itemcode", F.explode(begins).alias("skipped"))
+    crowded = begins.groupBy("zid", "skipped").agg(F.count("*").alias("n")).filter(F.col("n") > top)
+    longest = begins.join(crowded, ["zid", "skipped"], "left_semi").groupBy("zid", "itemcode").agg(
+        F.max(F.struct(F.size("skipped"), "skipped")).alias("longest"))
+    return largest.join(longest, ["zid", "itemcode"], "left").select(
+        "zid", "itemcode", F.coalesce(F.col("longest.skipped"), F.slice("largest", 1, 1)).alias("skipped"))
+
+
+def leading_items(rows: DataFrame, skipped: DataFrame, top: int = TOP) -> DataFrame:
+    """The first codes of the items that are in all of the skipped vouchers: (zid, skipped, other)."""
+    last = skipped.select("zid", "skipped").distinct().withColumn("voucher", F.element_at("skipped", -1))
+    inside = last.join(rows, ["zid", "voucher"]).select("zid", "skipped", F.col("itemcode").alias("other"))
+    # One of several vouchers says nothing about the others.
+    asked = inside.filter(F.size("skipped") > 1).withColumn("voucher", F.explode("skipped"))
+    in_all = asked.join(rows.withColumnRenamed("itemcode", "other"), ["zid", "voucher", "other"]).groupBy("zid", "skipped", "other").agg(
+        F.count("*").alias("n")).filter(F.col("n") == F.size("skipped")).drop("n")
+    found = inside.filter(F.size("skipped") == 1).unionByName(in_all)
+    return top_k_per_group(found, ["zid", "skipped"], [F.asc("other")], top + 1).drop("rank")
+
+
+def met_pairs(rows: DataFrame, skipped: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(zid, itemcode, other), itemcode < other, for each voucher that holds both and is not skipped by both.
+
+    The items that don't skip a voucher are dealt into blocks of about ``block``, each of which meets the whole voucher: a large
+    voucher is work for many tasks.
     """
-    sizes = rows.groupBy("zid", "voucher").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, ["zid", "voucher"]).withColumn(
-        "mine", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    cells = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).groupBy(
-        "zid", "voucher", F.least("mine", "with").alias("low"), F.greatest("mine", "with").alias("high"),
-    ).agg(
-        F.sort_array(F.collect_list(F.when(F.col("mine") <= F.col("with"), F.col("class")))).alias("left"),
-        F.sort_array(F.collect_list(F.when(F.col("mine") >= F.col("with"), F.col("class")))).alias("right"))
-    # Within one block both lists are the same: each class meets itself and those after it.
-    firsts = cells.select("zid", "low", "high", "right", F.posexplode("left").alias("at", "class"))
-    met = F.when(F.col("low") == F.col("high"), F.slice("right", F.col("at") + 1, F.size("right"))).otherwise(F.col("right"))
-    pairs = firsts.select("zid", "class", F.explode(met).alias("other_class")).select(
-        "zid", F.least("class", "other_class").alias("class"), F.greatest("class", "other_class").alias("other_class"))
-    counted = pairs.groupBy("zid", "class", "other_class").agg(F.count("*").alias("shared"))
-    one = F.struct(F.col("class"), F.col("other_class"))
-    back = F.struct(F.col("other_class").alias("class"), F.col("class").alias("other_class"))
-    ways = F.when(F.col("class") == F.col("other_class"), F.array(one)).otherwise(F.array(one, back))
-    return counted.select("zid", F.inline(ways), "shared")
-
-
-def top_associates(presence: DataFrame, block: int = BLOCK, top: int = TOP) -> DataFrame:
+    rows = rows.join(skipped, ["zid", "itemcode"]).select(
+        "zid", "voucher", "itemcode", (~F.array_contains("skipped", F.col("voucher"))).alias("asks"))
+    blocks = rows.groupBy("zid", "voucher").agg(F.ceil(F.count_if("asks") / block).cast("int").alias("blocks")).filter("blocks > 0")
+    rows = rows.join(blocks, ["zid", "voucher"])
+    asking = rows.filter("asks").select("zid", "voucher", "itemcode", F.pmod(F.xxhash64("itemcode"), F.col("blocks")).cast("int").alias("part"))
+    present = rows.select(
+        "zid", "voucher", F.col("itemcode").alias("other"), "asks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
+    # Two that both ask meet once.
+    met = asking.join(present, ["zid", "voucher", "part"]).filter(
+        (F.col("itemcode") < F.col("other")) | ((F.col("itemcode") > F.col("other")) & ~F.col("asks")))
+    return met.select("zid", F.least("itemcode", "other").alias("itemcode"), F.greatest("itemcode", "other").alias("other"))
+
+
+def shared_vouchers(rows: DataFrame, skipped: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(zid, itemcode, other, shared), both ways, of pairs that meet in a voucher which one of them doesn't skip."""
+    counted = met_pairs(rows, skipped, block).groupBy("zid", "itemcode", "other").agg(F.count("*").alias("n"))
+    theirs = skipped.select("zid", F.col("itemcode").alias("other"), F.col("skipped").alias("other_skipped"))
+    both = counted.join(skipped, ["zid", "itemcode"]).join(theirs, ["zid", "other"])
+    # What both skip holds both, and was not counted.
+    shared = F.col("n") + F.size(F.array_intersect("skipped", "other_skipped"))
+    one, back = F.struct("itemcode", "other"), F.struct(F.col("other").alias("itemcode"), F.col("itemcode").alias("other"))
+    return both.select("zid", F.inline(F.array(one, back)), shared.alias("shared"))
+
+
+def top_associates(presence: DataFrame, block: int = BLOCK, top: int = TOP, depth: int = DEPTH) -> DataFrame:
     """The ``top`` items most often found with each item: (zid, itemcode, other, shared, rank).
 
-    Ties, and places left over when an item has too few companions, go by item code. Pairs are counted between
-    item classes, so one huge voucher of items sold nowhere else is a single pair; the first items of the best
-    classes are the only ones that can reach the top.
+    Ties, and places left over when an item has too few companions, go by item code. A search with bounds: an item
+    meets its companions in all but its largest vouchers. Whoever it meets only there has all of them in common at most, so that
+    the first codes found in all of them are the only ones that matter.
     """
-    present = presence.filter("present").select("zid", "voucher", "itemcode")
-    classes = cut_lineage(item_classes(present))
-    # Every voucher of a class holds its least item, so the rows of that item stand for the class.
-    named = classes.filter(F.col("itemcode") == F.col("class")).select("zid", "class")
-    rows = present.withColumnRenamed("itemcode", "class").join(named, ["zid", "class"], "left_semi")
-    weights = class_pairs(rows, block)
-    # The first top + 1 codes of a class are enough: the item itself may be one of them, and goes at the end.
+    rows = cut_lineage(presence.filter("present").select("zid", "voucher", "itemcode"))
+    skipped = cut_lineage(skipped_vouchers(rows, top, depth))
     order = [F.desc("shared"), F.asc("other")]
-    leading = top_k_per_group(classes.select("zid", F.col("class").alias("other_class"), F.col("itemcode").alias("other")),
-                              ["zid", "other_class"], [F.asc("other")], top + 1).drop("rank")
-    best_of_class = top_k_per_group(weights.join(leading, ["zid", "other_class"]).select("zid", "class", "other", "shared"),
-                                    ["zid", "class"], order, top + 1).drop("rank")
-    best = classes.join(best_of_class, ["zid", "class"]).select("zid", "itemcode", "other", "shared")
+    met = top_k_per_group(shared_vouchers(rows, skipped, block), ["zid", "itemcode"], order, top).drop("rank")
+    leading = skipped.join(leading_items(rows, skipped, top), ["zid", "skipped"]).select(
+        "zid", "itemcode", "other", F.size("skipped").cast("long").alias("shared"))
 
     # The first codes of the company fill up with support 0.
     universe = item_counts(presence)
@@ -122,7 +135,7 @@ def top_associates(presence: DataFrame, block: int = BLOCK, top: int = TOP) -> D
     filling = universe.filter("vouchers > 0").join(fill_lists, "zid").select(
         "zid", "itemcode", F.explode("others").alias("other"), F.lit(0).cast("long").alias("shared"))
     candidates = (
-        best.unionByName(filling).filter(F.col("itemcode") != F.col("other"))
+        met.unionByName(leading).unionByName(filling).filter(F.col("itemcode") != F.col("other"))
         .groupBy("zid", "itemcode", "other").agg(F.max("shared").alias("shared"))
     )
     return top_k_per_group(candidates, ["zid", "itemcode"], order, top)

@@ -55,15 +55,46 @@ def test_every_block_size_gives_the_exact_companions(spark, block):
     assert found(presence, block) == by_hand(rows)[0]
 
 
-def test_hot_voucher_forms_one_class_not_all_pairs(spark):
+def test_hot_voucher_is_not_paired_out(spark):
     rows = [("hot", f"i{k:05d}", 1.0) for k in range(20_000)] + [("v", "i00000", 1.0), ("v", "i00001", 1.0)]
-    presence = baskets.item_presence(baskets.voucher_items(frame(spark, rows), "voucher"))
-    classes = baskets.item_classes(presence.select("zid", "voucher", "itemcode"))
-    assert {r["class"]: r["count"] for r in classes.groupBy("class").count().collect()} == {"i00000": 2, "i00002": 19_998}
-    got = found(presence, 256)
+    # A voucher of its own for each, some with a neighbour: no two items are in the same vouchers.
+    rows += [(f"own{k}", f"i{m:05d}", 1.0) for k in range(20_000) for m in ({k, k + 1} if k % 10 == 0 else {k})]
+    present = baskets.item_presence(baskets.voucher_items(frame(spark, rows), "voucher")).filter("present").drop("present")
+    assert baskets.met_pairs(present, baskets.skipped_vouchers(present)).count() < 10_000
+    got = found(present.selectExpr("*", "true AS present"), 256)
     assert len(got) == 20_000
-    assert got["i00000"] == [("i00001", 2), *[(f"i0000{k}", 1) for k in range(2, 6)]]
+    assert got["i00000"] == [("i00001", 3), *[(f"i0000{k}", 1) for k in range(2, 6)]]
     assert got["i00003"] == [(f"i0000{k}", 1) for k in (0, 1, 2, 4, 5)]
+    assert got["i00030"] == [("i00031", 2), *[(f"i0000{k}", 1) for k in range(4)]]
+
+
+def test_several_large_vouchers_of_the_same_items(spark):
+    """Three vouchers hold 2,000 items, a fourth half of them; counting their pairs would take millions of rows."""
+    rows = [(f"hot{v}", f"i{k:04d}", 1.0) for v in range(3) for k in range(2000)] + [("half", f"i{k:04d}", 1.0) for k in range(0, 2000, 2)]
+    rows += [(f"own{k}", f"i{m:04d}", 1.0) for k in range(2000) for m in {k, (k * 7 + 1) % 2000}]
+    present = baskets.item_presence(baskets.voucher_items(frame(spark, rows), "voucher")).filter("present").drop("present")
+    assert baskets.met_pairs(present, baskets.skipped_vouchers(present)).count() < 20_000
+    got = found(present.selectExpr("*", "true AS present"), 256)
+    few = sorted(random.Random(2).sample(range(2000), 40))
+    holding = {}
+    for v, i, _ in rows:
+        holding.setdefault(i, set()).add(v)
+    for k in few:
+        item = f"i{k:04d}"
+        want = sorted((-len(holding[item] & holding[j]), j) for j in holding if j != item)[:5]
+        assert got[item] == [(j, -n) for n, j in want]
+
+
+@pytest.mark.parametrize(("depth", "seed"), [(1, 1), (2, 2), (4, 3), (4, 4)])
+def test_companions_at_random(spark, depth, seed):
+    rng = random.Random(seed)
+    rows = [(f"v{v}", f"i{rng.randrange(30):02d}", 1.0) for v in range(40) for _ in range(rng.choice([1, 2, 5, 25]))]
+    rows += [(f"w{v}", f"i{k:02d}", 1.0) for v in range(4) for k in range(v, 28)]
+    presence = baskets.item_presence(baskets.voucher_items(frame(spark, rows), "voucher"))
+    got = {}
+    for r in sorted(baskets.top_associates(presence, 4, depth=depth).collect(), key=lambda r: (r["itemcode"], r["rank"])):
+        got.setdefault(r["itemcode"], []).append((r["other"], r["shared"]))
+    assert got == by_hand(rows)[0]
 
 
 def test_large_voucher_of_different_items_in_blocks(spark):
