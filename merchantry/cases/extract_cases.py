@@ -91,7 +91,7 @@ def parametrised_source(t: DriverTables) -> DataFrame:
     FROM f_account a JOIN f_label l ON a.ac_lv4 = l.ac_lv4 GROUP BY a.ac_lv4, l.statement, l.line""")
 def label_dimension(t: DriverTables) -> DataFrame:
     labels = catalog.label_dimension(t.spark, LABELS)
-    return t.accounts().join(F.broadcast(labels), "ac_lv4").groupBy("ac_lv4", "statement", "line").agg(
+    return t.accounts().join(labels, "ac_lv4").groupBy("ac_lv4", "statement", "line").agg(
         F.count("*").alias("accounts"))
 
 

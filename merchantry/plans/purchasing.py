@@ -121,14 +121,16 @@ def project_stock(base: DataFrame, as_of: str) -> DataFrame:
 
     Stock falls by a month's mean every 30 days, never below 0, and rises with each shipment;
     one further month is taken off at the end. Needs stockqty, n_mean, shipments (sorted) and
-    on_order (shipmentname -> quantity); adds steps and final_stock.
+    on_order (shipmentname -> quantity); adds steps and final_stock. A shipment whose arrival date can't be read is an
+    error that names it: no stock after it would mean anything.
     """
     empty = F.array().cast("array<struct<shipmentname:string,arrival:string,stock_before:double,quantity:double>>")
     start = F.struct(
         F.col("stockqty").cast("double").alias("stock"), F.lit(as_of).cast("date").alias("day"), empty.alias("steps"))
 
     def arrive(state: Column, shipment: Column) -> Column:
-        day = shipment["arrival"].try_cast("date")
+        unreadable = F.raise_error(F.concat(F.lit("no readable arrival date in shipment "), shipment["shipmentname"])).cast("date")
+        day = F.coalesce(shipment["arrival"].try_cast("date"), unreadable)
         months = F.datediff(day, state["day"]) / F.lit(30.0)
         before = F.greatest(state["stock"] - months * F.col("n_mean"), F.lit(0.0))
         quantity = F.coalesce(F.try_element_at("on_order", shipment["shipmentname"]), F.lit(0.0))

@@ -52,6 +52,7 @@ def margin_summary(sales: DataFrame, returns: DataFrame) -> DataFrame:
         (F.col("margin") + F.col("total_return_cost") - F.col("total_returns")).alias("total_gross_margin")))
 
 
+# The ratios a report shows, each with its numerator and denominator.
 RATIOS = {
     "Net Sales per Order": ("net_sales", "orders"),
     "Net Sales per Customer": ("net_sales", "customers"),

@@ -94,6 +94,13 @@ def test_stock_never_falls_below_zero(spark):
     assert row["final_stock"] == 0.0
 
 
+@pytest.mark.parametrize("text", ["soon", "2001-13-45", None])
+def test_unreadable_arrival_is_an_error_that_names_the_shipment(spark, text):
+    shipments = [("2001-01-16", "MDKF-1,2001-01-16"), (text, f"MDKF-2,{text}")]
+    with pytest.raises(Exception, match=f"no readable arrival date in shipment MDKF-2,{text}"):
+        purchasing.project_stock(base(spark, 100, 3, shipments, {}), "2001-01-01").collect()
+
+
 def test_no_shipments(spark):
     row = purchasing.project_stock(base(spark, 9, 2, [], {}), "2001-01-01").first()
     assert row["steps"] == [] and row["final_stock"] == 7.0
