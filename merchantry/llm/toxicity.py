@@ -42,6 +42,10 @@ def _bucket(term: str) -> int:
     return zlib.crc32(term.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
+def words_of(text: str | None) -> set[str]:
+    return set(_WORD.findall((text or "").lower()))
+
+
 def buckets_of(word: str) -> tuple[int, ...]:
     return tuple({_bucket(word), *(_bucket(f"^{word[:k]}") for k in BEGINNINGS if len(word) >= k)})
 
@@ -58,7 +62,7 @@ class Terms:
 
     def __call__(self, text: str | None) -> Counter:
         counts: Counter = Counter()
-        for word in set(_WORD.findall((text or "").lower())):
+        for word in words_of(text):
             if (found := self.known.get(word)) is None:
                 if len(self.known) >= REMEMBERED:
                     self.known.clear()
@@ -176,11 +180,14 @@ def _sampled(speaking: dict[int, int], scale: np.ndarray):
 
 
 def _screened(labelled: KeyFilter):
+    """Rows that can have a label, each with its different words once: all that is counted, and less to send."""
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield batch.filter(pa.array(labelled.test(batch.column("doc_id").to_numpy())))
+                found = batch.filter(pa.array(labelled.test(batch.column("doc_id").to_numpy())))
+                words = [" ".join(sorted(words_of(t))) for t in found.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([found.column("doc_id"), pa.array(words, pa.string())], ["doc_id", "text"])
     return run
 
 

@@ -64,3 +64,9 @@ def test_labels_that_teach_nothing(documents, session, marks):
     got = tox.toxicity(documents([(1, "a"), (2, "b"), (3, None)]), labels, F.lit(False)).collect()
     assert len(got) == 3 and len({r.score for r in got}) == 1 and {r.predicted for r in got} == {0}
     assert tox.toxicity(documents([]), labels, F.lit(False)).collect() == []
+
+
+def test_words_found_again_are_the_same():
+    for text in ("Ein GROẞES Maß, l'Été İstanbul ΟΔΟΣ ΣΑΣ.", "a_b 1a2 don’t ẋy ǅ ﬁ", "", None, "日本語 テスト 한국"):
+        words = tox.words_of(text)
+        assert tox.words_of(" ".join(sorted(words))) == words
