@@ -9,7 +9,7 @@ from merchantry.cases import CASES, case
 from merchantry.operators import prep, sync
 from merchantry.plans import sync_run
 from merchantry.session import new_folder
-from merchantry.sources import sinks
+from merchantry.sources import commits, sinks
 from merchantry.sources.driver_tables import SCHEMAS, DriverTables
 from merchantry.streaming import sync_stream
 
@@ -93,6 +93,33 @@ for _table, _extract in {"sales": "etl_sales", "return": "etl_return"}.items():
     case(f"sync_all_{_table}", f"SELECT * FROM ({CASES[_extract].sql}) WHERE zid IS NOT NULL")(_whole_run(_table))
 
 
+@case("source_marks", """
+    SELECT 'opdor' AS table_name, max(ztime) AS itime, max(zutime) AS utime FROM f_opdor
+    UNION ALL SELECT 'opddt', max(ztime), max(zutime) FROM f_opddt
+    UNION ALL SELECT 'imtrn', max(ztime), max(zutime) FROM f_movement""")
+def source_marks(t: DriverTables) -> DataFrame:
+    """What the log says after a run: the marks of the ERP tables it read."""
+    folder = new_folder(t.spark, "synchronised")
+    sync_run.run_logged(t.erp_tables(), folder, ["sales"])
+    marks = commits.last_commit(t.spark, folder).marks
+    rows = [(table, at["itime"], at["utime"]) for table, at in marks.items()]
+    times = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("itime", "utime")]
+    return t.spark.createDataFrame(rows, "table_name string, itime string, utime string").select("table_name", *times)
+
+
+def _second_run(name: str):
+    def run(t: DriverTables) -> DataFrame:
+        """The table after two logged runs. Between them headers were changed before the newest line known to the first."""
+        folder = new_folder(t.spark, "synchronised")
+        sync_run.run_logged(t.erp_tables_on("2000-01-01", "2000-06-01"), folder, [name])
+        return prep.decimal_to_double(sync_run.run_logged(t.erp_tables(), folder, [name])[name])
+    return run
+
+
+for _table in ("sales", "return", "purchase"):
+    case(f"sync_logged_{_table}", CASES[f"sync_all_{_table}"].sql)(_second_run(_table))
+
+
 @case("sync_stream", "SELECT * FROM f_source")
 def streamed(t: DriverTables) -> DataFrame:
     # The pattern matches the one table, be it a single file or a folder of part files.

@@ -25,7 +25,7 @@ def watermarks(tables: Mapping[str, DataFrame]) -> DataFrame:
     return result
 
 
-def changed_since(df: DataFrame, itime: datetime | None, utime: datetime | None, inclusive: bool = False) -> DataFrame:
+def changed_since(df: DataFrame, itime: datetime | str | None, utime: datetime | str | None, inclusive: bool = False) -> DataFrame:
     """Rows inserted or updated after the watermark, or at it if inclusive; no watermark means a first sync of all rows."""
     marks = {name: at for name, at in (("itime", itime), ("utime", utime)) if at is not None}
     if not marks:

@@ -397,6 +397,20 @@ class DriverTables:
             "poord": self.poord(), "poodt": self.poodt(), "pogrn": self.pogrn(), "opdor": self.opdor(), "opddt": self.opddt(),
             "opcrn": self.opcrn(), "opcdt": self.opcdt(), "imtrn": self.movements()}
 
+    def erp_tables_on(self, heads: str, others: str) -> dict[str, DataFrame]:
+        """All ERP tables as they stood, headers on one day and all other tables on another, later one. Rows changed after
+        that are in their state before the change, where headers name another person or shipment."""
+        value = {"opdor": "xsp", "opcrn": "xemp", "poord": "xcounterno"}
+        then = {}
+        for name, rows in self.erp_tables().items():
+            day = F.lit(f"{heads if name in value else others} 00:00:00").cast("timestamp_ntz")
+            later = F.coalesce(F.col("zutime") > day, F.lit(False))
+            rows = rows.filter(F.col("ztime") <= day)
+            if name in value:
+                rows = rows.withColumn(value[name], F.when(later, F.lit("X")).otherwise(F.col(value[name])))
+            then[name] = rows.withColumn("zutime", F.when(~later, F.col("zutime")))
+        return then
+
     def outdated(self, name: str) -> DataFrame:
         """An analytical table as a run on some day had left it: rows created since are not there, some documents got
         lost on the way, and rows of which header, line or movement changed since still have an older value."""
