@@ -125,3 +125,15 @@ def streamed(t: DriverTables) -> DataFrame:
     # The pattern matches the one table, be it a single file or a folder of part files.
     return sync_stream.run_available(
         t.spark, f"{t.root}/orders*.parquet", SCHEMAS["orders"], new_folder(t.spark, "stream"), KEYS, t.sync_rows)
+
+
+@case("sync_stream_compacted", "SELECT * FROM f_source")
+def compacted(t: DriverTables) -> DataFrame:
+    """The table after three landings: what an old run had, the newest versions of every third voucher, all vouchers;
+    the first is the base, the second a change, the third leads to a new base."""
+    landing, folder = new_folder(t.spark, "landing"), new_folder(t.spark, "stream")
+    source = t.sync_source()
+    for rows in (t.sync_target(), source.filter(F.pmod(F.xxhash64("o_orderkey"), F.lit(6)) == 0), source):
+        rows.write.mode("append").parquet(landing)
+        found = sync_stream.run_available(t.spark, landing, source.schema, folder, KEYS, lambda landed: landed)
+    return found
