@@ -11,7 +11,7 @@ from merchantry.plans import sync_run
 from merchantry.session import new_folder
 from merchantry.sources import commits, sinks
 from merchantry.sources.driver_tables import SCHEMAS, DriverTables
-from merchantry.streaming import sync_stream
+from merchantry.streaming import document_stream, sync_stream
 
 KEYS = ["o_orderkey", "o_custkey"]
 
@@ -137,3 +137,25 @@ def compacted(t: DriverTables) -> DataFrame:
         rows.write.mode("append").parquet(landing)
         found = sync_stream.run_available(t.spark, landing, source.schema, folder, KEYS, lambda landed: landed)
     return found
+
+
+def _streamed_documents(name: str):
+    def run(t: DriverTables) -> DataFrame:
+        """The table after two landings. Movements come first, then lines and last the headers; the first landing is of an
+        earlier day, the second one of today."""
+        folder, landing = new_folder(t.spark, "documents"), new_folder(t.spark, "landing")
+        reads = dict(reversed(sync_run.FOLLOWED[name].reads.items()))
+        now, then = t.erp_tables(), t.erp_tables_on("2000-01-01", "2000-06-01")
+        landings = {table: f"{landing}/{table}" for table in reads}
+        for step in (then, now):
+            for table, number in reads.items():
+                # A document's rows in one file.
+                step[table].repartition("zid", number).write.mode("append").parquet(landings[table])
+            schemas = {table: now[table].schema for table in reads}
+            found = document_stream.run_documents(t.spark, name, landings, schemas, folder, buckets=8)
+        return prep.decimal_to_double(found)
+    return run
+
+
+for _table in ("sales", "purchase"):
+    case(f"sync_streamed_{_table}", CASES[f"sync_all_{_table}"].sql)(_streamed_documents(_table))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,10 +55,10 @@ def publish(spark: SparkSession, folder: str, commit: Commit) -> None:
         source, hadoop.fs.Path(f"{folder}/log/run={commit.number}"), keep_existing)
 
 
-def write_version(df: DataFrame, folder: str, name: str) -> tuple[str, str]:
-    """The table in a folder of its own, for an entry to name."""
+def write_version(df: DataFrame, folder: str, name: str, by: Sequence[str] = ()) -> tuple[str, str]:
+    """The table in a folder of its own, for an entry to name; with ``by``, one folder in it for each of these columns' values."""
     place = f"tables/{name}/{os.urandom(8).hex()}"
-    df.write.parquet(f"{folder}/{place}")
+    (df.repartition(*by).write.partitionBy(*by) if by else df.write).parquet(f"{folder}/{place}")
     return place, df.schema.json()
 
 
