@@ -9,9 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from merchantry.functions import calendar, numeric
-from merchantry.operators.ordered import first_per_key, latest_per_key, seasonal_mean
+from merchantry.operators.ordered import latest_per_key, seasonal_mean
 from merchantry.operators.prep import PLANNED_ITEM_GROUPS, item_group_filter, require_keys
 from merchantry.operators.figures import stored_figure
+from merchantry.session import cut_lineage
 
 WEEKS = list(range(1, calendar.COHORT_WEEKS + 1))
 WEEK_COLUMNS = [f"week_{k}" for k in WEEKS]
@@ -104,20 +105,9 @@ def open_shipments(orders: DataFrame) -> DataFrame:
         numeric.total(F.col("quantity")).cast("double").alias("quantity"))
 
 
-def shipment_calendar(orders: DataFrame) -> DataFrame:
-    """Per company: its open shipments in order of arrival, as one array.
-
-    Every shipment is a column of the requisition, so there are few of them by nature.
-    """
-    named = require_keys(orders, ["zid", "shipmentname"]).filter(
-        F.col("shipmentname").contains(SHIPMENT_MARK))
-    arrival = F.split("shipmentname", ",")[1]
-    distinct = named.select("zid", F.struct(arrival.alias("arrival"), "shipmentname").alias("s")).distinct()
-    return distinct.groupBy("zid").agg(F.sort_array(F.collect_list("s")).alias("shipments"))
-
-
 def project_stock(base: DataFrame, as_of: str) -> DataFrame:
-    """Fold the shipments of each item in order of arrival.
+    """Fold the shipments of each item in order of arrival, for frames that hold them as an array; ``stock_walk`` is the
+    same over rows.
 
     Stock falls by a month's mean every 30 days, never below 0, and rises with each shipment;
     one further month is taken off at the end. Needs stockqty, n_mean, shipments (sorted) and
@@ -146,35 +136,81 @@ def project_stock(base: DataFrame, as_of: str) -> DataFrame:
         "final_stock", F.greatest(F.col("state.stock") - F.col("n_mean"), F.lit(0.0))).drop("state")
 
 
-def _requisition_base(cohort: DataFrame, orders: DataFrame, stock: DataFrame, sales: DataFrame,
-                      groups: Sequence[str]) -> DataFrame:
+def arrivals(orders: DataFrame, as_of: str) -> DataFrame:
+    """The open shipments of each company in order of arrival: (zid, shipmentname, arrival, step, steps, months), where
+    ``months`` is the time since the shipment before, or since ``as_of``.
+
+    Every shipment is a column of the requisition, so there are few of them by nature. One whose arrival date can't be
+    read is an error that names it.
+    """
+    named = require_keys(orders, ["zid", "shipmentname"]).filter(F.col("shipmentname").contains(SHIPMENT_MARK))
+    distinct = named.select("zid", "shipmentname", F.split("shipmentname", ",")[1].alias("arrival")).distinct()
+    unreadable = F.raise_error(F.concat(F.lit("no readable arrival date in shipment "), "shipmentname")).cast("date")
+    company = W.partitionBy("zid")
+    in_order = company.orderBy("arrival", "shipmentname")
+    before = F.coalesce(F.lag("day").over(in_order), F.lit(as_of).cast("date"))
+    return (
+        distinct.withColumn("day", F.coalesce(F.col("arrival").try_cast("date"), unreadable))
+        .withColumn("step", F.row_number().over(in_order))
+        .withColumn("steps", F.count("*").over(company))
+        .withColumn("months", F.datediff("day", before) / F.lit(30.0))
+        .drop("day")
+    )
+
+
+def stock_walk(items: DataFrame, shipments: DataFrame, on_order: DataFrame) -> DataFrame:
+    """Stock of each item just before each of its company's shipments, as a prefix scan.
+
+    ``items`` has zid, itemcode, stockqty and n_mean, one row per item; ``shipments`` comes from ``arrivals``; ``on_order``
+    is (zid, itemcode, shipmentname, quantity). Stock falls by n_mean a month, never below 0, and rises with a shipment.
+
+    Clamping at 0 is a fold, but max(x + p, 0) composes: where the plain running sum reaches a new minimum below 0, the
+    clamped stock is 0 and starts anew. A first running sum finds these points, a second one adds up from the last of
+    them, in the order of the fold. Rows are (item, shipment, fall or rise); all windows share one exchange by item.
+    """
     item = ["zid", "itemcode"]
-    planned = item_group_filter(stock, groups)
-    names = first_per_key(planned.select(*item, "itemname", "itemgroup"), item, ["itemname", "itemgroup"])
-    on_hand = require_keys(planned, item).groupBy(*item).agg(
-        numeric.total(F.col("stockqty")).cast("double").alias("stockqty"))
-    on_order = open_shipments(orders).groupBy(*item).agg(
-        F.map_from_entries(F.collect_list(F.struct("shipmentname", "quantity"))).alias("on_order"))
+    falls = -(F.col("months") * F.col("n_mean"))
+    first = F.when(F.col("step") == 1, F.col("stockqty").cast("double") + falls).otherwise(falls)
+    moves = F.array(
+        F.struct(F.lit(0).alias("phase"), first.alias("move")), F.struct(F.lit(1).alias("phase"), F.col("quantity").alias("move")))
+    rows = (
+        items.select(*item, "stockqty", "n_mean")
+        .join(shipments, "zid")
+        .join(on_order, [*item, "shipmentname"], "left")
+        .withColumn("quantity", F.coalesce(F.col("quantity").cast("double"), F.lit(0.0)))
+        .select(*item, "shipmentname", "arrival", "step", "steps", "quantity", F.inline(moves))
+    )
+    so_far = W.partitionBy(*item).orderBy("step", "phase").rowsBetween(W.unboundedPreceding, W.currentRow)
+    earlier = W.partitionBy(*item).orderBy("step", "phase").rowsBetween(W.unboundedPreceding, -1)
+    # Only a fall can touch the floor; what a shipment brings is never clamped.
+    lowest = F.least(F.coalesce(F.min(F.when(F.col("phase") == 0, F.col("plain"))).over(earlier), F.lit(0.0)), F.lit(0.0))
+    anew = (F.col("phase") == 0) & (F.col("plain") < F.col("lowest"))
+    since = W.partitionBy(*item, "since").orderBy("step", "phase").rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
-        on_hand.join(names, item)
-        .join(latest_cohort(cohort), item, "left")
-        .join(on_order, item, "left")
-        .join(seasonal_mean(sales), item, "left")
-        .join(stored_figure(shipment_calendar(orders)), "zid", "left")
-        .fillna(0, ["n_mean", "cost", "average_sales_price", "quantity", *WEEK_COLUMNS[:4]])
-        .withColumns({
-            "on_order": F.coalesce("on_order", F.create_map().cast("map<string,double>")),
-            "shipments": F.coalesce(
-                "shipments", F.array().cast("array<struct<arrival:string,shipmentname:string>>")),
-        })
+        rows.withColumn("plain", F.sum("move").over(so_far))
+        .withColumn("lowest", lowest)
+        .withColumn("anew", anew)
+        .withColumn("since", F.coalesce(F.max(F.when(F.col("anew"), F.col("step"))).over(so_far), F.lit(0)))
+        .withColumn("stock", F.sum(F.when(F.col("anew"), 0.0).otherwise(F.col("move"))).over(since))
+        .filter("phase = 0")
+        .select(*item, "shipmentname", "arrival", "step", "steps",
+                F.greatest("stock", F.lit(0.0)).alias("stock_before"), "quantity")
     )
 
 
+def _planned_items(stock: DataFrame, sales: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Stock, least name and monthly mean of each planned item."""
+    item = ["zid", "itemcode"]
+    on_hand = require_keys(item_group_filter(stock, groups), item).groupBy(*item).agg(
+        numeric.total(F.col("stockqty")).cast("double").alias("stockqty"), F.min("itemname").alias("itemname"))
+    return on_hand.join(seasonal_mean(sales), item, "left").fillna(0, ["n_mean"])
+
+
 def stock_projection(cohort: DataFrame, orders: DataFrame, stock: DataFrame, sales: DataFrame, as_of: str,
                      groups: Sequence[str] = PLANNED_ITEM_GROUPS, digits: int | None = 0) -> DataFrame:
-    """Long form: one row per item and open shipment."""
-    projected = project_stock(_requisition_base(cohort, orders, stock, sales, groups), as_of)
-    return projected.select("zid", "itemcode", F.inline("steps")).select(
+    """Long form: one row per item and open shipment. The projection doesn't depend on ``cohort``."""
+    walk = stock_walk(_planned_items(stock, sales, groups), stored_figure(arrivals(orders, as_of)), open_shipments(orders))
+    return walk.select(
         "zid", "itemcode", "shipmentname", "arrival",
         _rounded(F.col("stock_before"), digits).alias("stock_before"),
         _rounded(F.col("quantity"), digits).alias("quantity"))
@@ -188,14 +224,26 @@ def purchase_requisition(cohort: DataFrame, orders: DataFrame, stock: DataFrame,
     ``steps`` holds each shipment with the stock just before it. Items with a shipment among
     the last three come first, then the lowest final stock, then the fastest sellers.
     """
-    projected = project_stock(_requisition_base(cohort, orders, stock, sales, groups), as_of)
-    last_three = F.slice("steps", F.greatest(F.size("steps") - 2, F.lit(1)), 3)
-    arriving = F.aggregate(last_three, F.lit(0.0), lambda total, s: total + s["quantity"]) > 0
+    item = ["zid", "itemcode"]
+    planned = cut_lineage(_planned_items(stock, sales, groups), "planned")
+    walk = stock_walk(planned, stored_figure(arrivals(orders, as_of)), open_shipments(orders))
+    step = F.struct("step", "shipmentname", "arrival", "stock_before", "quantity")
+    walked = walk.groupBy(*item).agg(
+        F.max_by(F.col("stock_before") + F.col("quantity"), "step").alias("stock"),
+        (F.sum(F.when(F.col("step") > F.col("steps") - 3, F.col("quantity"))) > 0).alias("has_shipments"),
+        F.count("*").cast("int").alias("shipments"),
+        F.transform(F.sort_array(F.collect_list(step)), lambda s: s.dropFields("step")).alias("steps"))
+    none = F.array().cast(walked.schema["steps"].dataType)
     figures = ["stockqty", "cost", "average_sales_price", "quantity", *WEEK_COLUMNS[:4], "n_mean", "final_stock"]
-    result = projected.withColumn("has_shipments", arriving).select(
-        "zid", "itemcode", "itemname", "combinedate", "has_shipments",
-        *[_rounded(F.col(c), digits).alias(c) for c in figures],
-        F.size("steps").alias("shipments"), "steps")
+    result = (
+        planned.join(walked, item, "left").join(latest_cohort(cohort), item, "left")
+        .fillna(0, ["cost", "average_sales_price", "quantity", *WEEK_COLUMNS[:4], "shipments"])
+        .fillna(False, ["has_shipments"])
+        .withColumn("steps", F.coalesce("steps", none))
+        .withColumn("final_stock", F.greatest(F.coalesce("stock", "stockqty") - F.col("n_mean"), F.lit(0.0)))
+        .select("zid", "itemcode", "itemname", "combinedate", "has_shipments",
+                *[_rounded(F.col(c), digits).alias(c) for c in figures], "shipments", "steps")
+    )
     if not ordered:
         return result
     return result.orderBy("zid", F.desc("has_shipments"), "final_stock", F.desc("n_mean"), "itemcode")

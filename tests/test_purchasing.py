@@ -138,3 +138,52 @@ def test_seasonal_mean_drops_weak_months(spark):
     weak = df.filter("itemcode = 'a'").withColumn(
         "quantity", F.when(F.col("month") == 3, F.lit(1)).otherwise(F.col("quantity")).cast("decimal(18,4)"))
     assert seasonal_mean(weak).first()["n_mean"] == pytest.approx(214.3 / 3)
+
+
+def test_walk_equals_the_fold_on_random_items(spark):
+    rng = random.Random(11)
+    day = dt.date(2001, 1, 1)
+    names = {zid: [f"MDKF-{k},{day + dt.timedelta(days=rng.randrange(-20, 300))}" for k in range(9)] for zid in (1, 2)}
+    items, ordered, want = [], [], {}
+    for n in range(150):
+        zid, code = 1 + n % 2, f"i{n}"
+        stock, mean = float(rng.randrange(-20, 120)), rng.choice([0.0, 1.0, 7.25, rng.random() * 60])
+        items.append((zid, code, stock, mean))
+        quantities = {s: float(rng.randrange(1, 90)) for s in names[zid] if rng.random() < 0.4}
+        ordered += [(zid, code, s, q) for s, q in quantities.items()]
+        last = day
+        for s in sorted(names[zid], key=lambda s: (s.split(",")[1], s)):
+            arrives = dt.date.fromisoformat(s.split(",")[1])
+            stock = max(stock - (arrives - last).days / 30.0 * mean, 0.0)
+            want[code, s] = stock
+            stock, last = stock + quantities.get(s, 0.0), arrives
+    orders = spark.createDataFrame([(z, s) for z in names for s in names[z]], "zid int, shipmentname string")
+    walk = purchasing.stock_walk(
+        spark.createDataFrame(items, "zid int, itemcode string, stockqty double, n_mean double"),
+        purchasing.arrivals(orders, "2001-01-01"),
+        spark.createDataFrame(ordered, "zid int, itemcode string, shipmentname string, quantity double"))
+    got = {(r["itemcode"], r["shipmentname"]): r["stock_before"] for r in walk.collect()}
+    assert got.keys() == want.keys() and sum(v == 0.0 for v in want.values()) > 50
+    for key, stock in want.items():
+        assert got[key] == pytest.approx(stock, abs=1e-9), key
+
+
+@pytest.mark.parametrize("text", ["soon", "2001-13-45"])
+def test_arrivals_name_the_shipment_without_a_readable_date(spark, text):
+    orders = spark.createDataFrame([(1, "MDKF-1,2001-01-16"), (1, f"MDKF-2,{text}")], "zid int, shipmentname string")
+    with pytest.raises(Exception, match=f"no readable arrival date in shipment MDKF-2,{text}"):
+        purchasing.arrivals(orders, "2001-01-01").collect()
+
+
+def test_walk_holds_no_arrays_and_exchanges_items_once(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        items = spark.range(9).selectExpr("1 as zid", "string(id) as itemcode", "5.0D as stockqty", "1.0D as n_mean")
+        orders = spark.createDataFrame([(1, "MDKF-1,2001-01-16")], "zid int, shipmentname string")
+        on_order = items.selectExpr("zid", "itemcode", "'MDKF-1,2001-01-16' as shipmentname", "2.0D as quantity")
+        walk = purchasing.stock_walk(items, purchasing.arrivals(orders, "2001-01-01"), on_order)
+        plan = walk._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "collect_list" not in plan and plan.count("hashpartitioning(zid#") <= 5
+    assert len([line for line in plan.splitlines() if "Window [" in line]) >= 3
