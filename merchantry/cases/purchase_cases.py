@@ -45,10 +45,10 @@ def windowed(t: DriverTables) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def planning(t: DriverTables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Cohort, open orders, stock and item sales, with the shared inputs computed once."""
+    """Cohort of the last receipts, open orders, stock and item sales, with the shared inputs computed once."""
     sales, received, orders = windowed(t)
     daily = cut_lineage(purchasing.daily_item_sales(sales))
-    cohort = purchasing.purchase_cohort(daily, received)
+    cohort = purchasing.purchase_cohort(daily, purchasing.latest_receipts(received))
     stock = extracts.scan_stock(t.stock_table(), t.items())
     return cohort, cut_lineage(purchasing.open_shipments(orders)), stock, daily
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from merchantry.functions import numeric
 from merchantry.operators.prep import decimal_to_double, require_keys
 from merchantry.operators.figures import stored_figure
+from merchantry.session import cut_lineage
 
 
 def sum_by(df: DataFrame, keys: Sequence[str], value: str, name: str | None = None) -> DataFrame:
@@ -28,64 +29,74 @@ def mean_by(df: DataFrame, keys: Sequence[str], value: str, name: str | None = N
     return require_keys(df, keys).groupBy(*keys).agg(mean.alias(name or value))
 
 
+def _narrowed(facts: DataFrame, bounds: DataFrame, keys: Sequence[str], bins: int) -> DataFrame:
+    """One round of ``quantiles_by``: the bounds shrink to the least and greatest value of the bin that holds the rank."""
+    v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
+    finite = lambda c: ~F.isnan(c) & (F.abs(c) != float("inf"))
+    # Bounds far apart would overflow as a difference; half of each does not.
+    scale = F.when(finite(hi - lo), 1.0).otherwise(0.5)
+    place = F.floor((v * scale - lo * scale) / (hi * scale - lo * scale) * bins)
+    # An infinite bound and NaN, the greatest value of all, are bins of their own until the bounds are finite.
+    unbounded = F.when(F.isnan(v), 3).when(v == float("inf"), 2).when(v == -float("inf"), 0).otherwise(1)
+    bin_no = F.when(finite(lo) & finite(hi), F.least(place, F.lit(bins - 1))).otherwise(unbounded)
+    group = [*keys, "quantile"]
+    counted = (
+        facts.join(bounds, list(keys)).filter((v >= lo) & (v <= hi)).withColumn("bin", bin_no)
+        .groupBy(*group, "bin").agg(
+            F.sum("copies").alias("copies"), F.min("v").alias("least"), F.max("v").alias("greatest"))
+    )
+    # A group has at most ``bins`` rows by now, however many values it has.
+    running = W.partitionBy(*group).orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return (
+        counted.withColumn("inside", F.sum("copies").over(running))
+        .join(bounds, group)
+        .filter((F.col("rank") <= F.col("below") + F.col("inside"))
+                & (F.col("rank") > F.col("below") + F.col("inside") - F.col("copies")))
+        .select(*group, "q", "n", "rank", F.col("least").alias("lo"), F.col("greatest").alias("hi"),
+                (F.col("below") + F.col("inside") - F.col("copies")).alias("below"),
+                (F.col("below") + F.col("inside")).alias("upto"))
+    )
+
+
 def quantiles_by(df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float],
                  accuracy: int = 10_000) -> DataFrame:
-    """Exact linear-interpolated quantiles per group, for groups of any size.
+    """Exact linear-interpolated quantiles per group, for groups of any size, by refined histograms.
 
-    One pass brackets each quantile with a bounded sketch; only rows inside the bracket
-    (about 4 in ``accuracy`` of a group) are then ranked exactly, equal values as one row.
+    Values become rows (group, value, copies) once. Between its bounds, each quantile's group is counted in ``accuracy``
+    bins of equal width; the bin that holds the wanted rank gives the next bounds, its least and greatest value. The
+    first and last bin always hold a value each, so bounds shrink in every round; a quantile is found when they are
+    equal. The upper neighbour that interpolation needs is the least value above. No group is ever ranked.
+
+    Nulls are left out, NaN counts as the greatest value; a group without values has no row.
     """
-    facts = require_keys(df.select(*keys, F.col(value).cast("double").alias("v")), [*keys, "v"])
-    slack = 2.0 / accuracy
+    keys = list(keys)
+    values = require_keys(df.select(*keys, F.col(value).cast("double").alias("v")), [*keys, "v"])
+    facts = cut_lineage(values.groupBy(*keys, "v").agg(F.count("*").alias("copies")), "values")
     names = list(quantiles)
-    sketch = facts.groupBy(*keys).agg(
-        F.count("v").alias("n"),
-        F.min("v").alias("low_end"),
-        F.max("v").alias("high_end"),
-        *[
-            F.percentile_approx(
-                "v", [max(q - slack, 0.0), min(q + slack, 1.0)], accuracy
-            ).alias(f"bracket_{i}")
-            for i, q in enumerate(quantiles.values())
-        ],
-    )
-    wanted = F.array(*[
-        F.struct(
-            F.lit(name).alias("quantile"),
-            F.lit(float(q)).alias("q"),
-            # Small groups keep their whole range: there the sketch saves nothing.
-            F.when(F.col("n") <= accuracy, F.col("low_end")).otherwise(F.col(f"bracket_{i}")[0]).alias("lo"),
-            F.when(F.col("n") <= accuracy, F.col("high_end")).otherwise(F.col(f"bracket_{i}")[1]).alias("hi"),
-        )
-        for i, (name, q) in enumerate(quantiles.items())
-    ])
-    targets = stored_figure(sketch.select(*keys, "n", F.inline(wanted)))
-    counted = facts.groupBy(*keys, "v").agg(F.count("*").alias("copies"))
-    matched = counted.join(targets, list(keys)).filter(F.col("v") <= F.col("hi"))
-    # Values below the bracket only matter as a count; the partial sum absorbs them.
-    below = (
-        matched.filter(F.col("v") < F.col("lo")).groupBy(*keys, "quantile")
-        .agg(F.sum("copies").alias("below"))
-    )
-    inside = matched.filter(F.col("v") >= F.col("lo"))
-    ordered = W.partitionBy(*keys, "quantile").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = (
-        inside.join(below, [*keys, "quantile"], "left")
-        .withColumn("upto", F.coalesce("below", F.lit(0)) + F.sum("copies").over(ordered))
-        .withColumn("position", F.col("q") * (F.col("n") - 1))
-        .withColumn("rank_lo", F.floor("position") + 1)
-        .withColumn("rank_hi", F.ceil("position") + 1)
-    )
-    def at(rank: str) -> Column:
-        return F.min(F.when(F.col("upto") >= F.col(rank), F.col("v")))
-    found = placed.groupBy(*keys, "quantile").agg(
-        at("rank_lo").alias("lower"), at("rank_hi").alias("upper"),
-        F.first("position").alias("position"),
+    wanted = F.array(*[F.struct(F.lit(name).alias("quantile"), F.lit(float(q)).alias("q")) for name, q in quantiles.items()])
+    ends = facts.groupBy(*keys).agg(F.sum("copies").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    bounds = stored_figure(
+        ends.select(*keys, "n", "lo", "hi", F.inline(wanted))
+        .withColumn("rank", F.floor(F.col("q") * (F.col("n") - 1)) + 1)
+        .withColumn("below", F.lit(0).cast("long")).withColumn("upto", F.col("n")))
+    found = bounds.filter("lo = hi")
+    # Rounds follow the spread of the values, not their number: a factor of ``accuracy`` of the range each.
+    while not (open_ones := bounds.filter("lo != hi")).isEmpty():
+        bounds = stored_figure(_narrowed(facts, open_ones, keys, accuracy))
+        found = found.unionByName(bounds.filter("lo = hi").select(found.columns))
+    found = stored_figure(found.withColumn("position", F.col("q") * (F.col("n") - 1)))
+    # Only where the next rank is not a copy of the same value does the neighbour matter.
+    apart = found.filter(F.col("upto") < F.ceil("position") + 1).select(*keys, "quantile", F.col("lo").alias("lower"))
+    above = (
+        facts.join(apart, keys).filter(F.col("v") > F.col("lower"))
+        .groupBy(*keys, "quantile").agg(F.min("v").alias("upper"))
     )
     share = F.col("position") - F.floor("position")
-    interpolated = F.col("lower") * (1 - share) + F.col("upper") * share
+    # Equal neighbours are the value itself, also where it is infinite.
+    figure = F.when(F.col("upper").isNull() | (share == 0), F.col("lo")).otherwise(
+        F.col("lo") * (1 - share) + F.col("upper") * share)
     return (
-        found.withColumn("figure", interpolated)
+        found.join(above, [*keys, "quantile"], "left").withColumn("figure", figure)
         .groupBy(*keys).pivot("quantile", names).agg(F.first("figure"))
     )
 

@@ -90,6 +90,12 @@ def purchase_cohort(sales: DataFrame, receipts: DataFrame, digits: int | None =
     )
 
 
+def latest_receipts(receipts: DataFrame) -> DataFrame:
+    """The last received line of each item. Which one it is doesn't depend on sales, so a report that only shows the
+    last receipt builds the cohort of these lines alone; only days_since_last_purchase needs the earlier ones."""
+    return latest_per_key(receipts, ["zid", "itemcode"], ["combinedate", *LINE_ORDER])
+
+
 def latest_cohort(cohort: DataFrame) -> DataFrame:
     """The last cohort row of each item."""
     kept = ["zid", "itemcode", "cost", "average_sales_price", "combinedate", "quantity", *WEEK_COLUMNS[:4]]

@@ -82,3 +82,26 @@ def test_quantile_plan_has_no_unbounded_collect(spark):
     df = spark.range(10).select(F.lit("a").alias("k"), F.col("id").cast("double").alias("v"))
     plan = aggregate.quantiles_by(df, ["k"], "v", {"m": 0.5})._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan and "percentile(" not in plan
+
+
+def test_quantiles_of_one_group_of_a_million_values(spark):
+    # 7919 is prime to 1,000,003, so every value below it occurs once.
+    df = spark.range(1_000_003).select(F.lit("a").alias("k"), ((F.col("id") * 7919) % 1_000_003).cast("double").alias("v"))
+    wanted = {"q1": 0.25, "mid": 0.5, "q999": 0.999}
+    got = aggregate.quantiles_by(df, ["k"], "v", wanted).first()
+    for name, q in wanted.items():
+        assert got[name] == pytest.approx(q * 1_000_002, rel=1e-12)
+
+
+def test_quantiles_of_infinite_missing_and_huge_values(spark):
+    inf, nan = float("inf"), float("nan")
+    groups = {"ends": [-inf, 1.0, 2.0, inf], "nan": [1.0, 2.0, nan], "wide": [-1.7e308, 0.0, 5e-324, 1.7e308],
+              "null": [None, 3.0, None], "same": [4.0] * 7, "none": [None], "inf": [inf, inf, inf]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double")
+    got = {r["k"]: r for r in aggregate.quantiles_by(df, ["k"], "v", {"low": 0.0, "mid": 0.5, "high": 1.0}, 4).collect()}
+    assert "none" not in got
+    assert tuple(got["ends"][1:]) == (-inf, 1.5, inf)
+    assert got["nan"]["low"] == 1.0 and got["nan"]["mid"] == 2.0 and np.isnan(got["nan"]["high"])
+    assert (got["wide"]["low"], got["wide"]["high"]) == (-1.7e308, 1.7e308) and got["wide"]["mid"] <= 5e-324
+    assert tuple(got["null"][1:]) == (3.0, 3.0, 3.0) and tuple(got["same"][1:]) == (4.0, 4.0, 4.0)
+    assert tuple(got["inf"][1:]) == (inf, inf, inf)

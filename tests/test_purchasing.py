@@ -187,3 +187,12 @@ def test_walk_holds_no_arrays_and_exchanges_items_once(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert "collect_list" not in plan and plan.count("hashpartitioning(zid#") <= 5
     assert len([line for line in plan.splitlines() if "Window [" in line]) >= 3
+
+
+def test_cohort_of_the_last_receipts_is_the_last_cohort_row(spark):
+    rng = random.Random(5)
+    sales = [(f"i{rng.randrange(5)}", rng.randrange(300), rng.randrange(1, 9), rng.randrange(1, 90)) for _ in range(300)]
+    lines = [(f"i{rng.randrange(5)}", f"IP--{rng.randrange(9)}", rng.randrange(20), rng.randrange(1, 50)) for _ in range(60)]
+    sold, received = frames(spark, sales, lines)
+    last = lambda receipts: sorted(tuple(r) for r in purchasing.latest_cohort(purchasing.purchase_cohort(sold, receipts)).collect())
+    assert last(received) == last(purchasing.latest_receipts(received))
