@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from merchantry.cases import case
 from merchantry.functions import calendar, numeric
-from merchantry.operators import aggregate, ordered, prep
+from merchantry.operators import aggregate, distinct, ordered, prep
 from merchantry.sources.driver_tables import DriverTables
 
 YEARS = list(range(1995, 2002))
@@ -88,6 +88,19 @@ def distinct_by_period(t: DriverTables) -> DataFrame:
         t.returns(False, False), {"customer_returns": "cusid", "product_returns": "itemcode"}))
 
 
+_SOLD = {"orders": "voucher", "customers": "cusid", "products": "itemcode"}
+_BACK = {"returns": "revoucher", "customer_returns": "cusid", "product_returns": "itemcode"}
+
+
+@case("distinct_rollup", " UNION ALL ".join(
+    f"SELECT zid, year, month, '{name}' AS figure, count(DISTINCT {column}) AS n FROM {facts} "
+    "GROUP BY GROUPING SETS ((zid, year, month), (zid, year), (zid))"
+    for facts, figures in (("f_sales", _SOLD), ("f_return", _BACK)) for name, column in figures.items()))
+def distinct_rollup(t: DriverTables) -> DataFrame:
+    sold = distinct.month_bitmaps(t.sales(False, False), _SOLD)
+    return distinct.distinct_rollup(sold.unionByName(distinct.month_bitmaps(t.returns(False, False), _BACK)))
+
+
 @case("multi_agg", """
     SELECT zid, itemgroup, count(voucher) AS count, CAST(sum(quantity) AS DOUBLE) AS total_quantity,
            CAST(sum(totalsales) AS DOUBLE) AS total_totalsales, CAST(sum(cost) AS DOUBLE) AS total_cost

@@ -93,6 +93,30 @@ def cross_relation(t: DriverTables) -> DataFrame:
     return netting.cross_relation(t.sales(False, True), t.returns(False, True), "salesman", "area")
 
 
+def _cross_sql(rows: str, columns: str) -> str:
+    row_keys, column_keys = netting.DIMENSIONS[rows], netting.DIMENSIONS[columns]
+    listed = ", ".join(["zid", *row_keys, *column_keys])
+    return f"""
+    SELECT zid, '{rows}' AS row_dimension, '{columns}' AS column_dimension,
+           CAST({row_keys[0]} AS VARCHAR) AS row_id, CAST({row_keys[-1]} AS VARCHAR) AS row_name,
+           CAST({column_keys[0]} AS VARCHAR) AS column_id, CAST({column_keys[-1]} AS VARCHAR) AS column_name,
+           round_even(CAST(net AS DOUBLE), 0) AS net,
+           round_even(CAST(sum(net) OVER (PARTITION BY zid, {", ".join(row_keys)}) AS DOUBLE), 0) AS grand_total
+    FROM (SELECT {listed}, sum(amount) AS net FROM signed GROUP BY {listed})"""
+
+
+_ALL_KEYS = ", ".join(["zid", *[c for keys in netting.DIMENSIONS.values() for c in keys]])
+
+
+# The union of the single reports over one signed table.
+@case("cross_relations", f"""
+    WITH signed AS MATERIALIZED (
+        SELECT {_ALL_KEYS}, totalsales AS amount FROM f_sales UNION ALL SELECT {_ALL_KEYS}, -treturnamt FROM f_return)
+    """ + " UNION ALL ".join(_cross_sql(a, b) for a, b in itertools.permutations(netting.DIMENSIONS, 2)))
+def cross_relations(t: DriverTables) -> DataFrame:
+    return netting.cross_relations(t.sales(True, True), t.returns(True, True))
+
+
 def month_sql(sale: str, back: str) -> str:
     names = ", ".join(f"'{m}'" for m in MONTHS)
     return f"""

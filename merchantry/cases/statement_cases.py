@@ -162,6 +162,15 @@ for _level, _columns in st.LEVELS.items():
         lambda t, level=_level: at_level(t, level))
 
 
+@case("statement_levels", f"WITH {YEARLY}" + " UNION ALL ".join(
+    f"SELECT zid, project, period, {_level} AS level, {_columns[0]} AS code, {_columns[-1]} AS name, CAST(sum(value) AS DOUBLE) AS value "
+    f"FROM (SELECT * FROM income_accounts UNION ALL SELECT * FROM balance_accounts) GROUP BY {', '.join(['zid', 'project', 'period', *_columns])}"
+    for _level, _columns in st.LEVELS.items()))
+def statement_levels(t: DriverTables) -> DataFrame:
+    books = yearly(t)
+    return st.statement_levels(books.yearly("income").unionByName(books.yearly("balance")))
+
+
 @case("account_series", f"""
     WITH {YEARLY}
     SELECT zid, project, line, period, CAST(sum(value) AS DOUBLE) AS value FROM income_accounts

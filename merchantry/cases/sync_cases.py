@@ -38,6 +38,28 @@ def missing_rows(t: DriverTables) -> DataFrame:
     return sync.missing_rows(t.sync_source(), t.sync_target(), KEYS)
 
 
+@case("missing_rows_reconciled", _MISSING)
+def missing_rows_reconciled(t: DriverTables) -> DataFrame:
+    return sync.reconciled_missing(t.sync_source(), t.sync_target(), KEYS)
+
+
+@case("serial_key", """
+    SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey, o_custkey) AS serial FROM orders""")
+def serial_key(t: DriverTables) -> DataFrame:
+    return sync.serial_key(t.raw("orders").select(*KEYS), KEYS)
+
+
+# What the target holds keeps its numbers; rows that come later are numbered on from there.
+@case("serial_key_continued", f"""
+    SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey, o_custkey) AS serial FROM f_target
+    UNION ALL
+    SELECT o_orderkey, o_custkey,
+           (SELECT count(*) FROM f_target) + row_number() OVER (ORDER BY o_orderkey, o_custkey) FROM ({_MISSING})""")
+def serial_key_continued(t: DriverTables) -> DataFrame:
+    target = sync.serial_key(t.sync_target().select(*KEYS), KEYS)
+    return sync.with_continued_serials(t.sync_source().select(*KEYS), target, KEYS)
+
+
 @case("sync_append", f"""
     SELECT * FROM f_target UNION ALL
     (SELECT * FROM ({_FRESH}) UNION SELECT * FROM ({_MISSING}))""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -137,13 +138,14 @@ def rows_by_period(df: DataFrame, name: str) -> DataFrame:
 
 
 def distinct_by_period(df: DataFrame, figures: dict[str, str]) -> DataFrame:
-    """Different values per month, all figures in one pass: (zid, year, month, figure, n). ``figures`` maps names to columns.
+    """Different values per month: (zid, year, month, figure, n). ``figures`` maps names to columns.
 
-    Each task exchanges a value once, however often it occurs there.
+    Each figure is an aggregate of its own over its column, so no row is multiplied; a task exchanges a value once,
+    however often it occurs there. ``operators/distinct`` gives counts that can be merged over months.
     """
     keys = ["zid", "year", "month"]
-    counted = require_keys(df, keys).groupBy(*keys).agg(*[F.count_distinct(c).alias(name) for name, c in figures.items()])
-    return counted.unpivot(keys, list(figures), "figure", "n")
+    parts = [nunique_by(df, keys, c, "n").select(*keys, F.lit(name).alias("figure"), "n") for name, c in figures.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def multi_agg(df: DataFrame, keys: Sequence[str], count: str, sums: Sequence[str]) -> DataFrame:

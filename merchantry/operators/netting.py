@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from merchantry.functions import calendar, numeric
 from merchantry.operators.prep import require_keys
+from merchantry.session import cut_lineage
 
 PERIOD = ["year", "month"]
 
@@ -110,6 +113,44 @@ def cross_relation(sales: DataFrame, returns: DataFrame, rows: str, columns: str
     )
 
 
+def cross_relations(sales: DataFrame, returns: DataFrame, digits: int | None = 0) -> DataFrame:
+    """``cross_relation`` of every dimension against every other, from one aggregate over grouping sets:
+    (zid, row_dimension, column_dimension, row_id, row_name, column_id, column_name, net, grand_total).
+
+    Each fact is read once. A pair and its mirror share their cells. Of a dimension with one column, id and name are equal.
+    """
+    columns = [c for dimension in DIMENSIONS.values() for c in dimension]
+    signed = (
+        require_keys(sales, ["zid"]).select("zid", *columns, F.col("totalsales").alias("amount"))
+        .unionByName(require_keys(returns, ["zid"]).select("zid", *columns, (-F.col("treturnamt")).alias("amount")))
+    )
+    pairs = list(combinations(DIMENSIONS, 2))
+    sets = [[F.col(c) for c in ["zid", *DIMENSIONS[a], *DIMENSIONS[b]]] for a, b in pairs]
+    # The number of a set has a bit for each column that it leaves out, the first column being the highest.
+    grouped = ["zid", *columns]
+    numbers = [
+        sum(1 << (len(grouped) - 1 - i) for i, c in enumerate(grouped) if c != "zid" and c not in (*DIMENSIONS[a], *DIMENSIONS[b]))
+        for a, b in pairs
+    ]
+    cells = signed.groupingSets(sets, *[F.col(c) for c in grouped]).agg(
+        numeric.total(F.col("amount")).alias("net"), F.grouping_id(*grouped).alias("set"))
+
+    def entry(a: str, b: str) -> Column:
+        ends = [(name, F.col(DIMENSIONS[d][i]).cast("string"))
+                for side, d in (("row", a), ("column", b)) for name, i in ((f"{side}_id", 0), (f"{side}_name", -1))]
+        return F.struct(F.lit(a).alias("row_dimension"), F.lit(b).alias("column_dimension"),
+                        *[value.alias(name) for name, value in ends])
+
+    both = F.coalesce(*[
+        F.when((F.col("set") == number) & reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in (*DIMENSIONS[a], *DIMENSIONS[b])]),
+               F.array(entry(a, b), entry(b, a)))
+        for number, (a, b) in zip(numbers, pairs)])
+    long = cut_lineage(cells.select("zid", "net", F.inline(both)), "cells")
+    row = ["zid", "row_dimension", "column_dimension", "row_id", "row_name"]
+    totals = long.groupBy(*row).agg(F.sum("net").alias("grand_total"))
+    return long.join(totals, row).select(*row, "column_id", "column_name", _rounded("net", digits), _rounded("grand_total", digits))
+
+
 def net_by_month(sales: DataFrame, returns: DataFrame, sale_value: str = "totalsales",
                  return_value: str = "treturnamt") -> DataFrame:
     """Sales, returns and net per month; months without any sale are left out."""

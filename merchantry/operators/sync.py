@@ -6,10 +6,12 @@ from collections.abc import Mapping, Sequence
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from merchantry.operators.figures import stored_figure
 from merchantry.operators.ordered import latest_per_key
+from merchantry.session import cut_lineage
 
 
 def watermarks(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -47,6 +49,78 @@ def missing_rows(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> D
     return source.join(target.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def _bucket(keys: Sequence[str], size: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(size))
+
+
+def _in_buckets(df: DataFrame, keys: Sequence[str], buckets: DataFrame | None, size: int) -> DataFrame:
+    if buckets is None:
+        return df
+    return df.withColumn("_bucket", _bucket(keys, size)).join(
+        buckets.withColumnRenamed("bucket", "_bucket"), "_bucket", "left_semi").drop("_bucket")
+
+
+def unequal_buckets(source: DataFrame, target: DataFrame, keys: Sequence[str], sizes: Sequence[int]) -> tuple[DataFrame, int]:
+    """Buckets of the keys in which the source holds others than the target, and the finest number of buckets.
+
+    Per bucket both sides give the number of keys and the exact sums of two hashes over them, combined on the map side: no
+    key is exchanged. Only buckets that differ are looked at again, with the next, finer number; each of ``sizes`` is a
+    multiple of the one before, so a finer bucket lies in one coarser.
+    """
+    found, size = None, sizes[0]
+    for finer in sizes:
+        def digest(df: DataFrame, name: str) -> DataFrame:
+            sums = [F.sum(F.xxhash64(*seed, *keys).cast("decimal(20,0)")) for seed in ([], [F.lit(1)])]
+            inside = _in_buckets(df.select(*keys).dropna(), keys, found, size)
+            return inside.groupBy(_bucket(keys, finer).alias("bucket")).agg(F.struct(F.count("*"), *sums).alias(name))
+        both = digest(source, "here").join(digest(target, "there"), "bucket", "left")
+        found = stored_figure(both.filter(~F.col("here").eqNullSafe(F.col("there"))).select("bucket"))
+        size = finer
+    return found, size
+
+
+def reconciled_missing(source: DataFrame, target: DataFrame, keys: Sequence[str],
+                       sizes: Sequence[int] = (1 << 12, 1 << 20)) -> DataFrame:
+    """The rows of ``missing_rows`` by set reconciliation: only keys of buckets that differ are compared.
+
+    For two large tables that hold nearly the same keys. Keys should be unique on both sides: repeated ones make buckets
+    unequal, which costs time and not rows. As in a join, a key with a null is never found in the target.
+    """
+    buckets, size = unequal_buckets(source, target, keys, sizes)
+    complete = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    compared = _in_buckets(source.filter(complete), keys, buckets, size).join(
+        _in_buckets(target.select(*keys).dropna(), keys, buckets, size), list(keys), "left_anti")
+    return compared.unionByName(source.filter(~complete))
+
+
+def serial_key(df: DataFrame, order: Sequence[str], name: str = "serial", after: int = 0) -> DataFrame:
+    """Serial numbers without gaps, after + 1 and on, in the order of ``order``, which should be unique.
+
+    Rows are sorted by ranges and written once; a number is the place in its range plus the rows of the ranges before.
+    The driver only sees one count per range.
+    """
+    spark = df.sparkSession
+    placed = cut_lineage(
+        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "serials")
+    in_range = F.shiftright("_at", 33).alias("_range")
+    sizes = sorted(tuple(r) for r in placed.groupBy(in_range).agg(F.count("*")).collect())
+    starts, start = [], after
+    for which, rows in sizes:
+        starts.append((which, start))
+        start += rows
+    first = stored_figure(spark.createDataFrame(starts, "_range long, _start long").coalesce(1))
+    place = F.col("_at") - F.shiftleft("_range", 33) + 1
+    return placed.withColumn("_range", in_range).join(first, "_range").withColumn(
+        name, F.col("_start") + place).drop("_at", "_range", "_start")
+
+
+def with_continued_serials(source: DataFrame, target: DataFrame, keys: Sequence[str], name: str = "serial") -> DataFrame:
+    """The target and the source rows it lacks, numbered on from the target's greatest serial."""
+    last = target.agg(F.max(name)).first()[0] or 0
+    new = serial_key(missing_rows(source, target, keys), keys, name, last)
+    return target.unionByName(new.select(target.columns))
+
+
 def surrogate_key(df: DataFrame, business_key: Sequence[str], name: str = "uuid") -> DataFrame:
     """A key computed from the business key: the same row gets the same key in every run."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in business_key]

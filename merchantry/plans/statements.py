@@ -165,6 +165,23 @@ def statement_at_level(statement: DataFrame, level: int) -> DataFrame:
     return statement.groupBy(*keys).agg(F.sum("value").cast("double").alias("value"))
 
 
+def statement_levels(statement: DataFrame) -> DataFrame:
+    """``statement_at_level`` for all levels, from one aggregate over grouping sets: (zid, project, period, level, code,
+    name, value). ``name`` is the account's name at level 0 and the code at the others."""
+    group = ["zid", "project", "period"]
+    columns = [*group, *[c for level in LEVELS.values() for c in level]]
+    sets = [[F.col(c) for c in [*group, *level]] for level in LEVELS.values()]
+    summed = statement.groupingSets(sets, *[F.col(c) for c in columns]).agg(
+        F.sum("value").cast("double").alias("value"), *[F.grouping(level[0]).alias(f"without_{n}") for n, level in LEVELS.items()])
+
+    def of(pick) -> Column:
+        return F.coalesce(*[F.when(F.col(f"without_{n}") == 0, pick(n, level)) for n, level in LEVELS.items()])
+
+    return summed.select(
+        *group, of(lambda n, level: F.lit(n)).alias("level"), of(lambda n, level: F.col(level[0])).alias("code"),
+        of(lambda n, level: F.col(level[-1])).alias("name"), "value")
+
+
 def account_series(statement: DataFrame, level: int, key: str) -> DataFrame:
     """One account or line over time."""
     column = "ac_name" if level == 0 else LEVELS[level][0]
