@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from merchantry.cases import case
 from merchantry.operators import prep
 from merchantry.session import new_folder
-from merchantry.sources import catalog, erp, extracts, schemas, sinks
-from merchantry.sources.driver_tables import LABELS, DriverTables
+from merchantry.sources import catalog, erp, extracts, layout, schemas, sinks
+from merchantry.sources.driver_tables import FIRST_COMPANY, LABELS, DriverTables
 
 
 def star_sql(fact: str, document: str, *figures: str) -> str:
@@ -36,6 +36,35 @@ def scan_returns(t: DriverTables) -> DataFrame:
         extracts.scan_returns(t.return_table(), t.employees(), t.customers(), t.items()))
 
 
+ASIA = "(SELECT r_regionkey + 100000 FROM region WHERE r_name = 'ASIA')"
+FOLDER_YEARS = [1997, 1998]
+
+
+def in_folders(t: DriverTables, facts: DataFrame, spread: list[str]) -> DataFrame:
+    """The company of one region in two years, of facts written by company and year."""
+    path = new_folder(t.spark, "facts")
+    facts = facts.withColumn("year", F.year("date"))
+    layout.write_facts(facts, path, spread)
+    asia = t.raw("region").filter(F.col("r_name") == "ASIA").select((F.col("r_regionkey") + FIRST_COMPANY).alias("zid"))
+    return layout.read_facts(t.spark, path, facts.schema, asia, FOLDER_YEARS).drop("year")
+
+
+@case("scan_sales_folders", f"""
+    SELECT * FROM ({star_sql("f_sales", "voucher", "quantity", "totalsales", "cost")})
+    WHERE zid IN {ASIA} AND year IN (1997, 1998)""")
+def scan_sales_folders(t: DriverTables) -> DataFrame:
+    sales = in_folders(t, t.sales_table(), ["voucher"])
+    return prep.decimal_to_double(extracts.scan_sales(sales, t.employees(), t.customers(), t.items()))
+
+
+@case("scan_returns_folders", f"""
+    SELECT * FROM ({star_sql("f_return", "revoucher", "returnqty", "treturnamt", "returncost")})
+    WHERE zid IN {ASIA} AND year IN (1997, 1998)""")
+def scan_returns_folders(t: DriverTables) -> DataFrame:
+    returns = in_folders(t, t.return_table(), ["revoucher"])
+    return prep.decimal_to_double(extracts.scan_returns(returns, t.employees(), t.customers(), t.items()))
+
+
 #: The code an item is ordered under: its pack code if it has a real one.
 ORDER_CODE = "coalesce(nullif(nullif(packcode, ''), 'NO'), itemcode)"
 #: The code it is stocked under: as above, but packs that begin with KH keep the item's own code.

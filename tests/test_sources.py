@@ -224,3 +224,22 @@ def test_refresh_of_a_table_from_itself(spark, tmp_path):
     path = f"{tmp_path}/table"
     old = sinks.full_refresh(spark.range(3).toDF("n"), path)
     assert sinks.full_refresh(old.unionByName(spark.range(3, 5).toDF("n")), path).count() == 5
+
+
+def test_facts_in_folders_open_only_what_is_asked_for(spark, tmp_path):
+    from merchantry.sources import layout
+    rows = [(z, y, f"v{n}", n) for n, (z, y) in enumerate((z, y) for z in (1, 2, None) for y in (2000, 2001, 2002) for _ in range(20))]
+    facts = spark.createDataFrame(rows, "zid int, year int, voucher string, n int").select("voucher", "zid", "n", "year")
+    path, dimension = f"{tmp_path}/facts", f"{tmp_path}/companies"
+    layout.write_facts(facts, path, ["voucher"], files=3)
+    layout.write_facts(facts, path, ["voucher"], files=3)
+    spark.createDataFrame([(1, "one"), (2, "two"), (3, "three")], "zid int, name string").write.parquet(dimension)
+    one = spark.read.parquet(dimension).filter("name = 'one'")
+    got = layout.read_facts(spark, path, facts.schema, one, [2000, 2002])
+    want = sorted((v, z, n, y) for z, y, v, n in rows if z == 1 and y != 2001)
+    assert got.columns == facts.columns and sorted(tuple(r) for r in got.collect()) == want
+    scan = next(line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "facts" in line)
+    assert "PartitionFilters" in scan and "dynamicpruning" in scan and "year#" in scan.split("PartitionFilters")[1]
+    assert all(len(list(folder.glob("*.parquet"))) <= 3 for folder in tmp_path.glob("facts/zid=*/year=*"))
+    listed = lambda **kw: layout.read_facts(spark, path, facts.schema, **kw).count()
+    assert (listed(), listed(companies=[2]), listed(years=[]), listed(companies=[1, 2], years=[2001])) == (180, 60, 0, 40)
