@@ -36,6 +36,10 @@ class Ledger:
     def yearly(self, kind: str) -> DataFrame:
         return st.statement_yearly(*self.part(kind), END_YEAR)
 
+    def lines(self, kind: str) -> DataFrame:
+        # Few rows, which a statement reads several times.
+        return cut_lineage(st.statement_lines(*self.part(kind), END_YEAR), "lines")
+
     def monthly(self, kind: str) -> DataFrame:
         return st.statement_monthly(
             *self.part(kind), END_YEAR, AS_OF_MONTH, balance_sheet=kind == "balance")
@@ -47,7 +51,7 @@ def yearly(t: DriverTables) -> Ledger:
 
 def three(t: DriverTables) -> tuple[DataFrame, DataFrame, DataFrame]:
     books = yearly(t)
-    return st.financial_statements(books.yearly("income"), books.yearly("balance"))
+    return st.financial_statements(books.lines("income"), books.lines("balance"))
 
 
 _TYPES = {"income": "'Asset', 'Liability'", "balance": "'Income', 'Expenditure'"}
@@ -229,7 +233,7 @@ BALANCE = f"""
 
 @case("income_statement", f"WITH {YEARLY}, {INCOME} SELECT * FROM income_rows")
 def income_statement(t: DriverTables) -> DataFrame:
-    return st.income_statement(yearly(t).yearly("income"))
+    return st.income_statement(yearly(t).lines("income"))
 
 
 _YEAR_COLUMNS = ", ".join(f"COALESCE(sum(CASE WHEN period = '{y}' THEN value END), 0) AS \"{y}\"" for y in YEARS)
@@ -237,7 +241,7 @@ _YEAR_COLUMNS = ", ".join(f"COALESCE(sum(CASE WHEN period = '{y}' THEN value END
 
 @case("statement_wide", f"WITH {YEARLY}, {INCOME} SELECT zid, project, line, {_YEAR_COLUMNS} FROM income_rows GROUP BY zid, project, line")
 def statement_wide(t: DriverTables) -> DataFrame:
-    return st.statement_wide(st.income_statement(yearly(t).yearly("income")), [str(y) for y in YEARS])
+    return st.statement_wide(st.income_statement(yearly(t).lines("income")), [str(y) for y in YEARS])
 
 
 @case("balance_sheet", f"WITH {YEARLY}, {INCOME}, {BALANCE} SELECT * FROM balance_rows")

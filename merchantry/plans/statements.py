@@ -127,6 +127,30 @@ def statement_yearly(accounts: DataFrame, rollup: DataFrame, projects: DataFrame
     return _on_grid(accounts, projects, figures, periods, labels, account_digits)
 
 
+def statement_lines(accounts: DataFrame, rollup: DataFrame, projects: DataFrame, labels: Mapping[str, str],
+                    end_year: int, years: int = 5, account_digits: int | None = 1) -> DataFrame:
+    """The lines of ``statement_yearly``, without its accounts: (zid, project, period, line, value).
+
+    Account figures are rounded and summed to lines straight from the roll-up. Lines of the chart of accounts without
+    postings come from a frame of lines x projects x periods, which no account and no posting multiplies.
+    """
+    periods = [str(y) for y in range(end_year - years + 1, end_year + 1)]
+    money = "decimal(28,4)"
+    labelled = label_accounts(accounts, labels).select("zid", "ac_code", "line")
+    sums = (
+        rollup.withColumn("period", F.col("year").cast("string")).filter(F.col("period").isin(periods))
+        .groupBy("zid", "project", "ac_code", "period").agg(_rounded(F.sum("value"), account_digits).alias("value"))
+        .join(labelled, ["zid", "ac_code"])
+        .select(*GROUP, "line", numeric.zero_if_null(F.col("value")).cast(money).alias("value"))
+    )
+    frame = (
+        stored_figure(labelled.select("zid", "line").distinct()).join(projects, "zid")
+        .withColumn("period", F.explode(F.array(*[F.lit(p) for p in periods])))
+        .select(*GROUP, "line", F.lit(0).cast(money).alias("value"))
+    )
+    return sums.unionByName(frame).groupBy(*GROUP, "line").agg(F.sum("value").alias("value"))
+
+
 def _month_labels(months: Mapping[int, Sequence[int]]) -> list[str]:
     return [f"{year}-{m:02d}" for year in sorted(months) for m in months[year]]
 

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +119,21 @@ def test_wide_statement_orders_lines(books):
     wide = st.statement_wide(books[0], ["2000", "2001"])
     lines = [r["line"] for r in wide.collect()]
     assert lines == sorted(lines) and wide.columns == ["zid", "project", "line", "2000", "2001"]
+
+
+def test_lines_from_the_rollup_equal_the_sums_of_the_account_grid(spark):
+    rng = random.Random(12)
+    accounts = spark.createDataFrame(
+        [(z, f"A{n}", f"name {n}", "Income", "a", "b", "c", rng.choice(["K00", "K01", "K02", None])) for z in (1, 2) for n in range(12)],
+        "zid int, ac_code string, ac_name string, ac_type string, ac_lv1 string, ac_lv2 string, ac_lv3 string, ac_lv4 string")
+    rollup = spark.createDataFrame(
+        [(rng.choice([1, 2]), rng.choice("PQ"), f"A{rng.randrange(14)}", rng.randrange(1999, 2003), rng.randrange(1, 13),
+          Decimal(rng.randrange(-9999, 9999)) / 100) for _ in range(200)],
+        "zid int, project string, ac_code string, year int, month int, value decimal(18,4)")
+    projects = spark.createDataFrame([(1, "P"), (1, "Q"), (2, "P"), (2, "Q"), (2, "R")], "zid int, project string")
+    args = (accounts, rollup, projects, {"K00": "01-1-Revenue", "K01": "02-1-Cost of Revenue"}, 2002, 3)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    lines = st.statement_lines(*args)
+    grid = st.statement_yearly(*args).groupBy(*st.GROUP, "line").agg(F.sum("value").alias("value"))
+    assert rows(lines) == rows(grid) and lines.filter("project = 'R'").count() > 0
+    assert rows(st.income_statement(lines)) == rows(st.income_statement(st.statement_yearly(*args)))
