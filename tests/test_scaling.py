@@ -52,3 +52,28 @@ def test_documents_are_exchanged_four_times_and_keep_their_rows(shuffled):
     assert found == sorted([
         (1, "d1", "i", D(20), D(44)), (1, "d1", None, D(2), None), (None, "d2", None, None, None),
         (None, "d3", None, None, None), (None, None, None, None, None)], key=str)
+
+
+def test_equal_rows_are_told_by_their_numbers(spark):
+    rows = lambda *values: spark.createDataFrame([(v, None) for v in values], "a int, b string")
+    assert sync_run._same_rows(rows(1, 1, None), rows(None, 1, 1))
+    assert not sync_run._same_rows(rows(1, 1, 2), rows(1, 2, 2))
+    assert not sync_run._same_rows(rows(1), rows(1, 1))
+
+
+def test_a_run_reads_stored_tables(spark, tmp_path, monkeypatch):
+    """Each ERP table that a run reads is derived once."""
+    seen = []
+
+    class Tables:
+        def erp_stored(self, *names):
+            seen.append(names)
+            return dict.fromkeys(names, spark.range(1))
+
+        def outdated(self, name, tables):
+            return spark.range(1)
+
+    run = cases.load()["sync_all_sales"].build
+    monkeypatch.setattr(sync_run, "sync_table", lambda name, tables, target: target)
+    run(Tables()).collect()
+    assert seen == [("opdor", "opddt", "imtrn")]
