@@ -77,3 +77,10 @@ def test_a_run_reads_stored_tables(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sync_run, "sync_table", lambda name, tables, target: target)
     run(Tables()).collect()
     assert seen == [("opdor", "opddt", "imtrn")]
+
+
+def test_a_folder_is_written_by_all_tasks(spark, tmp_path):
+    rows = spark.range(0, 4000, 1, 4).withColumn("part", F.col("id") % 2)
+    place, _ = commits.write_version(rows, str(tmp_path), "t", ["part"])
+    assert all(len(list((tmp_path / place / f"part={k}").glob("*.parquet"))) == 4 for k in (0, 1))
+    assert commits.read_version(spark, str(tmp_path), (place, rows.schema.json())).count() == 4000
