@@ -100,23 +100,31 @@ def label_accounts(accounts: DataFrame, labels: Mapping[str, str]) -> DataFrame:
     return accounts.select(*ACCOUNT_COLUMNS, F.coalesce(line, F.lit(UNMAPPED)).alias("line"))
 
 
+def account_projects(accounts: DataFrame, projects: DataFrame) -> DataFrame:
+    """Every account of a company, for each of its projects."""
+    per_company = stored_figure(projects.groupBy("zid").agg(F.sort_array(F.collect_set("project")).alias("projects")))
+    return accounts.join(per_company, "zid").withColumn("project", F.explode("projects")).drop("projects")
+
+
 def account_grid(accounts: DataFrame, projects: DataFrame, periods: Sequence[str]) -> DataFrame:
     """Every account of a company, for each of its projects and each period."""
-    per_company = stored_figure(projects.groupBy("zid").agg(F.sort_array(F.collect_set("project")).alias("projects")))
-    return (
-        accounts.join(per_company, "zid").withColumn("project", F.explode("projects")).drop("projects")
-        .withColumn("period", F.explode(F.array(*[F.lit(p) for p in periods])))
-    )
+    return account_projects(accounts, projects).withColumn("period", F.explode(F.array(*[F.lit(p) for p in periods])))
 
 
 def _on_grid(accounts: DataFrame, projects: DataFrame, figures: DataFrame, periods: Sequence[str],
              labels: Mapping[str, str], account_digits: int | None) -> DataFrame:
-    keys = ["zid", "project", "ac_code", "period"]
-    sums = figures.groupBy(*keys).agg(_rounded(F.sum("value"), account_digits).alias("value"))
-    grid = account_grid(label_accounts(accounts, labels), projects, periods)
-    return grid.join(sums, keys, "left").select(
+    """Figures on the grid of accounts x projects x periods. An account meets its figures of all periods as one row and is
+    spread over the periods afterwards, so what is exchanged does not grow with their number."""
+    keys = ["zid", "project", "ac_code"]
+    sums = figures.repartition(*keys).groupBy(*keys, "period").agg(_rounded(F.sum("value"), account_digits).alias("value"))
+    cells = sums.filter(F.col("period").isNotNull()).groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("period", "value"))).alias("cells"))
+    met = account_projects(label_accounts(accounts, labels), projects).join(cells, keys, "left")
+    spread = met.withColumn("period", F.explode(F.array(*[F.lit(p) for p in periods])))
+    value = F.try_element_at(F.col("cells"), F.col("period"))
+    return spread.select(
         "zid", "project", *ACCOUNT_COLUMNS[1:], "line", "period",
-        numeric.zero_if_null(F.col("value")).cast("decimal(28,4)").alias("value"))
+        numeric.zero_if_null(value).cast("decimal(28,4)").alias("value"))
 
 
 def statement_yearly(accounts: DataFrame, rollup: DataFrame, projects: DataFrame, labels: Mapping[str, str],

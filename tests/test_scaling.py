@@ -54,6 +54,22 @@ def test_documents_are_exchanged_four_times_and_keep_their_rows(shuffled):
         (None, "d3", None, None, None), (None, None, None, None, None)], key=str)
 
 
+def test_periods_are_spread_after_the_account_met_its_figures(shuffled):
+    accounts = shuffled.createDataFrame(
+        [(1, "A1", "a", "Income", "T", "G", "H", "K00"), (1, "A2", "b", "Income", "T", "G", "H", "K99")],
+        "zid int, ac_code string, ac_name string, ac_type string, ac_lv1 string, ac_lv2 string, ac_lv3 string, ac_lv4 string")
+    rollup = shuffled.createDataFrame(
+        [(1, "P", "A1", 2000, 3, D("1.25")), (1, "P", "A1", 2000, 4, None), (1, "Q", "A1", 2001, 1, D("2.5"))],
+        "zid int, project string, ac_code string, year int, month int, value decimal(18,4)")
+    projects = rollup.select("zid", "project").distinct()
+    found = statements.statement_monthly(accounts, rollup, projects, {"K00": "line"}, 2001, 3)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode([2000-01") < plan.index("Join LeftOuter")
+    assert found.count() == 2 * 2 * 14
+    assert {(r["project"], r["ac_code"], r["period"], r["value"]) for r in found.filter("value != 0").collect()} == {
+        ("P", "A1", "2000-03", D("1.2000")), ("Q", "A1", "2001-01", D("2.5000"))}
+
+
 def test_equal_rows_are_told_by_their_numbers(spark):
     rows = lambda *values: spark.createDataFrame([(v, None) for v in values], "a int, b string")
     assert sync_run._same_rows(rows(1, 1, None), rows(None, 1, 1))
