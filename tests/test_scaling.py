@@ -95,6 +95,17 @@ def test_a_run_reads_stored_tables(spark, tmp_path, monkeypatch):
     assert seen == [("opdor", "opddt", "imtrn")]
 
 
+def test_pairs_of_a_basket_matrix_are_counted_once(spark, monkeypatch):
+    sales = spark.createDataFrame(
+        [(1, v, i, D(1)) for v, items in (("a", "xy"), ("b", "xyz"), ("c", "xz")) for i in items],
+        "zid int, voucher string, itemcode string, quantity decimal(18,4)")
+    labels, keep = [], baskets.cut_lineage
+    monkeypatch.setattr(baskets, "cut_lineage", lambda df, label="step": (labels.append(label), keep(df, label))[1])
+    found = baskets.basket_matrix(sales)
+    assert "cells" in labels
+    assert {(r["itemcode"], r["other"], r["support"]) for r in found.collect()} >= {("x", "y", 0.6667), ("y", "x", 1.0)}
+
+
 def test_a_folder_is_written_by_all_tasks(spark, tmp_path):
     rows = spark.range(0, 4000, 1, 4).withColumn("part", F.col("id") % 2)
     place, _ = commits.write_version(rows, str(tmp_path), "t", ["part"])
