@@ -54,6 +54,19 @@ def test_documents_are_exchanged_four_times_and_keep_their_rows(shuffled):
         (None, "d3", None, None, None), (None, None, None, None, None)], key=str)
 
 
+def test_an_exchange_has_partitions_for_its_input(spark, tmp_path):
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    (tmp_path / "t.parquet").write_bytes(b"0" * (session.PARTITION_INPUT * 60))
+    try:
+        session.sized_for(spark, [f"{tmp_path}/t.parquet", f"{tmp_path}/absent.parquet"])
+        assert int(spark.conf.get(name)) == 60
+        session.sized_for(spark, [])
+        assert spark.conf.get(name) == spark.conf.get("spark.sql.shuffle.partitions")
+    finally:
+        spark.conf.unset(name)
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
 def test_periods_are_spread_after_the_account_met_its_figures(shuffled):
     accounts = shuffled.createDataFrame(
         [(1, "A1", "a", "Income", "T", "G", "H", "K00"), (1, "A2", "b", "Income", "T", "G", "H", "K99")],
