@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from merchantry import cases, session
 from merchantry.plans import baskets, statements, sync_run
 from merchantry.sources import commits, erp
+from merchantry.sources.driver_tables import DriverTables
 
 TIMES = "ztime timestamp_ntz, zutime timestamp_ntz"
 
@@ -124,3 +125,15 @@ def test_a_folder_is_written_by_all_tasks(spark, tmp_path):
     place, _ = commits.write_version(rows, str(tmp_path), "t", ["part"])
     assert all(len(list((tmp_path / place / f"part={k}").glob("*.parquet"))) == 4 for k in (0, 1))
     assert commits.read_version(spark, str(tmp_path), (place, rows.schema.json())).count() == 4000
+
+
+def test_rows_per_company_are_no_small_dimension(spark, tmp_path):
+    """Their estimated size counts them for each company, so that they are not broadcast."""
+    size = lambda df: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    spark.range(5).selectExpr("int(id) r_regionkey", "'r' r_name").write.parquet(f"{tmp_path}/region.parquet")
+    spark.range(1000).selectExpr("id p_partkey", "'n' p_name", "'b' p_brand", "'t' p_type", "1 p_size", "1d p_retailprice").write.parquet(
+        f"{tmp_path}/part.parquet")
+    tables = DriverTables(spark, str(tmp_path))
+    part = tables.raw("part").select("p_partkey")
+    assert size(tables.accounts().select("zid", "ac_code")) >= 5 * size(part)
+    assert tables.accounts().count() == 5000
