@@ -131,6 +131,14 @@ def test_all_cross_relations_equal_the_single_reports(spark):
     assert got == sorted(want) and len({w[1:3] for w in want}) == 20
 
 
+def test_cross_relations_exchange_their_cells_once(spark):
+    sales, returns = sides(spark)
+    plan = plan_of(netting.cross_relations(sales, returns))
+    assert "Expand" not in plan and "Join" not in plan
+    # One aggregate for the cells of each of the ten pairs, none for their totals.
+    assert plan.count("Aggregate [") == 10
+
+
 def test_all_levels_equal_the_single_levels(spark):
     rows = [(1, p, f"a{n % 6}", f"name {n % 6}", "x", f"l{n % 3}", None if n % 4 == 0 else "m", "k", f"line {n % 2}", y, float(n))
             for n, (p, y) in enumerate((p, y) for p in ("P", "Q") for y in ("2000", "2001") for _ in range(8))]
