@@ -97,6 +97,25 @@ def test_companions_at_random(spark, depth, seed):
     assert got == by_hand(rows)[0]
 
 
+@pytest.mark.parametrize("large", [0, 1, 4, 20, 64])
+def test_companions_whatever_counts_as_a_large_voucher(spark, large):
+    rng = random.Random(large)
+    rows = hot_voucher_rows() + [(f"w{v}", f"i{k:02d}", 1.0) for v in range(4) for k in range(v, 28)]
+    rows += [(f"u{v}", f"i{rng.randrange(30):02d}", 1.0) for v in range(20) for _ in range(rng.choice([1, 5, 25]))]
+    presence = baskets.item_presence(baskets.voucher_items(frame(spark, rows), "voucher"))
+    got = {}
+    for r in sorted(baskets.top_associates(presence, 4, large=large).collect(), key=lambda r: (r["itemcode"], r["rank"])):
+        got.setdefault(r["itemcode"], []).append((r["other"], r["shared"]))
+    assert got == by_hand(rows)[0]
+
+
+def test_ordinary_vouchers_are_not_skipped(spark):
+    rows = [(f"v{v}", f"i{(v * 3 + k) % 50:02d}", 1.0) for v in range(60) for k in range(7)]
+    present = baskets.item_presence(baskets.voucher_items(frame(spark, rows), "voucher")).filter("present").drop("present")
+    assert baskets.skipped_vouchers(present).count() == 0
+    assert baskets.listed_pairs(present).count() == 60 * 21
+
+
 def test_large_voucher_of_different_items_in_blocks(spark):
     """Every item is also in a voucher of its own, or in two or three: no two are alike, all pairs are counted."""
     rows = [("hot", f"i{k:03d}", 1.0) for k in range(300)] + [
