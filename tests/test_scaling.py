@@ -137,3 +137,39 @@ def test_rows_per_company_are_no_small_dimension(spark, tmp_path):
     part = tables.raw("part").select("p_partkey")
     assert size(tables.accounts().select("zid", "ac_code")) >= 5 * size(part)
     assert tables.accounts().count() == 5000
+
+
+def shuffle_files(spark) -> int:
+    return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+
+def test_a_stored_step_leaves_no_shuffle_files(shuffled):
+    name = next(iter(session.RELEASED))
+    before, setting = shuffle_files(shuffled), shuffled.conf.get(name)
+    rows = shuffled.range(1000).withColumn("k", F.col("id") % 7)
+    stored = session.cut_lineage(rows.join(rows.groupBy("k").count(), "k"))
+    assert shuffle_files(shuffled) <= before
+    assert stored.count() == 1000 and shuffled.conf.get(name) == setting
+
+
+def test_fetched_documents_are_exchanged_once(shuffled):
+    """Rows of three tables, and the wanted documents beside each; the same rows as dealt by document and item."""
+    heads, lines, moves = documents(shuffled)
+    sources = {"opdor": heads, "opddt": lines, "imtrn": moves}
+    wanted = shuffled.createDataFrame([(1, "d1"), (1, "d2"), (1, "d9")], "zid int, number string")
+    followed = sync_run.FOLLOWED["sales"]
+    fresh = sync_run._extracted(followed, sources, wanted)
+    with session.settings(shuffled, session.TOGETHER):
+        assert exchanges(fresh) <= 6
+    plain = lambda rows: sorted(map(str, rows.collect()))
+    assert plain(sync_run.stored_documents(fresh)) == plain(erp.etl_sales(
+        heads, lines, moves).filter("ordernumber = 'd1' and zid = 1").drop(*erp.TRAILING_TIMES))
+
+
+def test_what_waited_is_removed_after_the_entry(spark, tmp_path):
+    path = tmp_path / "landed" / "since=0"
+    path.mkdir(parents=True)
+    (path / "part").write_text("x")
+    commits.forget(spark, f"{tmp_path}/landed/since=0")
+    commits.forget(spark, f"{tmp_path}/landed/since=0")
+    assert not path.exists() and (tmp_path / "landed").exists()
