@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from merchantry import cases, session
+from merchantry.operators import netting
 from merchantry.plans import baskets, statements, sync_run
-from merchantry.sources import commits, erp
+from merchantry.sources import commits, erp, extracts
 from merchantry.sources.driver_tables import DriverTables
 
 TIMES = "ztime timestamp_ntz, zutime timestamp_ntz"
@@ -170,6 +171,53 @@ def test_what_waited_is_removed_after_the_entry(spark, tmp_path):
     path = tmp_path / "landed" / "since=0"
     path.mkdir(parents=True)
     (path / "part").write_text("x")
-    commits.forget(spark, f"{tmp_path}/landed/since=0")
-    commits.forget(spark, f"{tmp_path}/landed/since=0")
+    session.forget(spark, f"{tmp_path}/landed/since=0")
+    session.forget(spark, f"{tmp_path}/landed/since=0")
     assert not path.exists() and (tmp_path / "landed").exists()
+
+
+def test_a_star_in_steps_keeps_its_rows(shuffled, monkeypatch):
+    make = shuffled.createDataFrame
+    sales = make([(1, f"v{n % 5}", None, f"s{n % 3}", f"c{n % 2}", f"i{n % 4}", D(n), D(n), None) for n in range(40)],
+                 "zid int, ordernumber string, date date, sp_id string, cusid string, itemcode string, quantity decimal(18,4), "
+                 "totalsales decimal(18,4), cost decimal(18,4)")
+    people = make([(1, "s0", "a"), (1, "s0", "a"), (1, "s1", None)], "zid int, spid string, spname string")
+    buyers = make([(1, "c0", "b", "x"), (1, "c1", "c", None)], "zid int, cusid string, cusname string, cuscity string")
+    goods = make([(1, "i1", "d", "g"), (1, "i2", "e", "g"), (1, None, "f", "g")], "zid int, itemcode string, itemname string, itemgroup2 string")
+    plain = lambda rows: sorted(map(str, rows.collect()))
+    whole, before = plain(extracts.scan_sales(sales, people, buyers, goods)), shuffle_files(shuffled)
+    stepped = extracts.scan_sales(sales, people, buyers, goods, steps=True)
+    assert shuffle_files(shuffled) <= before and exchanges(stepped) == 2
+    assert len(whole) > 10 and plain(stepped) == whole
+
+
+def net_facts(spark, value):
+    rows = [(n % 2, f"s{n % 3}", "n", f"a{n % 2}", f"c{n % 5}", "m", f"i{n % 4}", "o", None if n % 7 == 0 else f"g{n % 2}", D(n)) for n in range(60)]
+    return spark.createDataFrame(rows, "zid int, spid string, spname string, area string, cusid string, cusname string, "
+                                       f"itemcode string, itemname string, itemgroup string, {value} decimal(18,4)")
+
+
+def test_cross_relations_in_steps_keep_one_exchange_at_a_time(shuffled, monkeypatch):
+    labels, keep = [], netting.cut_lineage
+    monkeypatch.setattr(netting, "cut_lineage", lambda df, label="step": (labels.append(label), keep(df, label))[1])
+    sales, returns = net_facts(shuffled, "totalsales"), net_facts(shuffled, "treturnamt").filter("itemcode = 'i1'")
+    plain = lambda rows: sorted(map(str, rows.collect()))
+    stepped = netting.cross_relations(sales, returns, steps=True)
+    assert labels.count("cells") == 10 and exchanges(stepped) == 0
+    assert plain(stepped) == plain(netting.cross_relations(sales, returns))
+
+
+def test_a_stored_frame_takes_the_place_of_another(spark):
+    first = session.cut_lineage(spark.range(10).withColumn("b", F.lit(1)))
+    second = session.stored_instead(first.filter("id > 3"), first)
+    assert second.count() == 6
+    gone = spark._jvm.org.apache.hadoop.fs.Path(first.inputFiles()[0].rpartition("/")[0])
+    assert not gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(gone)
+
+
+def test_pairs_of_a_basket_are_gone_before_its_report(shuffled):
+    """The report joins stored companions and exchanges no pair again."""
+    rows = shuffled.createDataFrame([(1, v, i, True) for v in "abc" for i in "wxyz" if (v, i) != ("a", "z")],
+                                    "zid int, voucher string, itemcode string, present boolean")
+    best = baskets.top_associates(rows)
+    assert exchanges(best) == 0 and best.filter("itemcode = 'w' and rank = 1").first()["other"] == "x"
